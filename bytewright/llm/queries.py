@@ -2,20 +2,58 @@
 
 from __future__ import annotations
 
+import os
+import zlib
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from . import mixing
 from .common import table
+from .embeddings import embedding_duplicates
 from .minhash import near_duplicates
+from .packing import PackParams, pack_documents
+
+#: Where the public tokenizer files lie; a parameter of every query that needs one.
+TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
+
+
+def word_tokenizer() -> str:
+    return f"{TOKENIZERS}/word_bpe_49k.json"
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
+def _piece_digests(batch: pa.RecordBatch) -> pa.RecordBatch:
+    crc = [zlib.crc32(ids.values.to_numpy().astype("<u4").tobytes()) for ids in batch.column("ids")]
+    names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset"]
+    return pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(crc, pa.int64())], names=[*names, "ids_crc32"])
+
+
+def op4_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids_crc32 long"
+    packed = pack_documents(table(spark, sf_dir, "documents"), PackParams(word_tokenizer()), _piece_digests, schema)
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_embedding_near_dedup": op2_embedding_near_dedup,
+    "op3_mix_sources": op3_mix_sources,
+    "op4_pack_sequences": op4_pack_sequences,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_mix_sources": mixing.ORACLE,
+}
