@@ -25,11 +25,11 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{scratch_root(spark)}/bytewright/{tag}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, tag: str) -> DataFrame:
+def settle(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut, lost executors cost nothing."""
     spark = df.sparkSession
     path = scratch_path(spark, tag)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._scratch_path = path
     return back

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import zlib
 from collections.abc import Callable
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import mixing
 from .common import table
 from .embeddings import embedding_duplicates
+from .media import sniff_media, stored, text_media
 from .minhash import near_duplicates
 from .packing import PackParams, pack_documents
 
@@ -47,11 +49,29 @@ def op4_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def _media_digests(batch: pa.RecordBatch) -> pa.RecordBatch:
+    rows = []
+    for media, payload, actual, fixed, rate, bits, parts in zip(*(batch.column(c).to_pylist() for c in ("media", "payload", "actual", "corrected", "rate", "bits", "parts"))):
+        inner = ",".join(f"{p['type']}@{p['start']}-{p['end']}" for p in parts if p["start"])
+        level = sum(payload) / len(payload)
+        feature = f"{actual};corrected={int(fixed)};rate={rate};bits={bits};samples={len(payload)};mean={level:.3f};embedded={inner}"
+        rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature))
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds))], names=["doc_id", "n_bytes", *names])
+
+
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return sniff_media(stored(text_media(table(spark, sf_dir, "documents"))), finish=_media_digests, schema=schema)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_mix_sources": op3_mix_sources,
     "op4_pack_sequences": op4_pack_sequences,
+    "op5_media_columns": op5_media_columns,
 }
 
 ORACLE_SQL: dict[str, str] = {
