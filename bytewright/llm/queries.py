@@ -10,7 +10,7 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import mixing, warc
 from .common import table
 from .embeddings import embedding_duplicates
 from .media import sniff_media, stored, text_media
@@ -66,14 +66,20 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sniff_media(stored(text_media(table(spark, sf_dir, "documents"))), finish=_media_digests, schema=schema)
 
 
+def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_mix_sources": op3_mix_sources,
     "op4_pack_sequences": op4_pack_sequences,
     "op5_media_columns": op5_media_columns,
+    "op6_warc_round_trip": op6_warc_round_trip,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_mix_sources": mixing.ORACLE,
+    "op6_warc_round_trip": warc.ORACLE,
 }
