@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..runtime import map_arrow
@@ -119,6 +120,25 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_arrow(rows, _confirm(percent), "a long, b long")
 
 
+def _prefix_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of ``rest(rep, n, comp)`` in different components that can still reach the similarity.
+
+    Shingles are ordered by how many of these documents hold them, rarest first.  Similar sets share one within
+    their first n - ceil(s * n) + 1, and after the first one they share, at places i and j, at most
+    min(n - i, m - j) can be common.  Copies that differ too much have rare shingles in front and meet nobody.
+    """
+    grams = map_arrow(sets.join(rest.select("rep"), "rep").select("rep", "grams"), _explode_grams, "gram long, rep long")
+    common = grams.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
+    own = W.partitionBy("rep")
+    placed = grams.join(common, "gram").join(rest, "rep")
+    placed = placed.withColumn("at", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "gram")) - 1)
+    front = settle(placed.where(f"at < n - ({percent} * n + 99) div 100 + 1").select("gram", "rep", "n", "comp", "at"), "dup-front")
+    x = front.select("gram", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"), F.col("at").alias("aa"))
+    y = front.select("gram", F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bc"), F.col("at").alias("ba"))
+    on = (x["gram"] == y["gram"]) & F.expr(f"a < b AND ac <> bc AND {100 + percent} * least(an - aa, bn - ba) >= {percent} * (an + bn)")
+    return x.join(y, on).select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) -> DataFrame:
     """Group the documents of ``docs(doc_id, text, ...)`` whose word shingles are similar.
 
@@ -131,8 +151,8 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) ->
 
     Steps: signatures (one pass, text never shuffled) -> tuples that occur twice -> representatives with two shared
     tuples -> their full sets -> an exact upper bound from shingles nobody else has -> per table key a star around
-    the member with the fewest such shingles -> confirm -> components -> whatever a key still has in different
-    components is compared as well -> components.
+    the member with the fewest such shingles -> confirm -> components -> an exact prefix join of what a key still has
+    in different components -> components.
     """
     p = params
     pruned = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -167,14 +187,11 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) ->
     links = settle(_verified(pairs, sets, p.percent), "dup-links")
     first = connected_components(links)
 
-    # What a key still holds in different components: all of it is compared, except pairs already seen.
-    named = keys.join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+    # Keys that still hold different components: their members are joined exactly, by prefix and position.
+    named = keys.join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
     split = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    rest = settle(named.join(split, "key"), "dup-rest")
-    x = rest.select("key", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("v").alias("av"), F.col("comp").alias("ac"))
-    y = rest.select("key", F.col("rep").alias("b"), "n", "v", F.col("comp").alias("bc"))
-    on = (x["key"] == y["key"]) & F.expr("a < b AND ac <> bc") & F.expr(bound.format(m=100 + p.percent, q=p.percent, v="av", n="an"))
-    more = x.join(y, on).select("a", "b").distinct().join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    rest = settle(named.join(split, "key").select("rep", "n", "comp").distinct(), "dup-rest")
+    more = _prefix_pairs(rest, sets, p.percent).join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     extra = settle(_verified(more, sets, p.percent), "dup-more")
     labels = connected_components(links.unionAll(extra)) if extra.limit(1).count() else first
     for done in (keys, rest, sets, chosen):
