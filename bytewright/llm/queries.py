@@ -17,6 +17,7 @@ from .embeddings import embedding_duplicates
 from .media import sniff_media, stored, text_media
 from .minhash import near_duplicates
 from .packing import PackParams, pack_documents
+from .passages import passage_digests, remove_repeated_passages
 from .secret_scan import KINDS, scan_secrets
 from .toxicity import fit_toxicity, held_out, score_toxicity
 
@@ -87,6 +88,10 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(kept), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_digests(remove_repeated_passages(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
@@ -96,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_warc_round_trip": op6_warc_round_trip,
     "op7_toxicity": op7_toxicity,
     "op8_secret_scan": op8_secret_scan,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
