@@ -28,16 +28,14 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the first document of each near-duplicate group.
+    """Keep the first document of each near-duplicate group, and one row of each that is repeated.
 
-    Rows that repeat a kept doc_id are copies of it and stay out; rows without a doc_id stay.
+    Rows without a doc_id stay, once per text.
     """
     docs = docs.select(*COLUMNS)
-    groups = near_duplicates(docs)
-    gone = groups.where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
-    named = left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return named.unionByName(left.where("doc_id IS NULL")).select(*COLUMNS)
+    gone = near_duplicates(docs).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti").withColumn("_tag", F.when(F.col("doc_id").isNull(), F.xxhash64("text")))
+    return left.dropDuplicates(["doc_id", "_tag"]).select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
