@@ -23,7 +23,9 @@ from .textkit import slices
 _SIMPLE = regex.compile("[!-~¡-¬®-ɏ]+")
 #: Fixed by the tokenizer file: how it cuts lower-cased text into pieces.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-_CACHE = 300_000
+_CACHE = 500_000
+#: Text encoded at a time: large enough that a word is looked up once for many of its occurrences.
+_SLICE = 6 << 20
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -180,7 +182,7 @@ def _pack(p: PackParams, spec: str, finish: Callable[[pa.RecordBatch], pa.Record
         group: list[tuple] = []
         held = 0
         for batch in batches:
-            for i, j in slices(batch.column(1), 1 << 20):
+            for i, j in slices(batch.column(1), _SLICE):
                 ids, at = words.encode(batch.column(1).slice(i, j - i))
                 names = batch.column(0).slice(i, j - i).to_pylist()
                 for k, name in enumerate(names):
