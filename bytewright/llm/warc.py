@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -72,10 +73,21 @@ def warc_records(pages: DataFrame, params: WarcParams = WarcParams()) -> DataFra
 def write_warc(pages: DataFrame, path: str, params: WarcParams = WarcParams()) -> None:
     """Write archives below ``path`` on any file system Spark reaches.
 
-    A record ends with two CRLF, which is the text sink's line separator, so a part file is an archive as it is.
+    A record ends with two CRLF, which is the text sink's line separator, so a part file is an archive as it is,
+    compressed as a whole with gzip.
     """
     out = warc_records(pages, params).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", params.records_per_archive)
-    out.text(path)
+    out.option("compression", "gzip").text(path)
+
+
+def _plain(data: bytes) -> bytes:
+    """The records of an archive that may be compressed, as a whole or record by record."""
+    parts = []
+    while data[:2] == b"\x1f\x8b":
+        stream = zlib.decompressobj(31)
+        parts.append(stream.decompress(data))
+        data = stream.unused_data
+    return b"".join(parts) if parts else data
 
 
 def _fields(head: bytes) -> dict[bytes, bytes]:
@@ -101,7 +113,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for archive, cell in zip(batch.column(0).to_pylist(), batch.column(1)):
-            data = cell.as_py() or b""
+            data = _plain(cell.as_py() or b"")
             rows, at = [], data.find(VERSION)
             while at >= 0:
                 head = data.find(_END, at, at + (1 << 16))
