@@ -304,6 +304,7 @@ def sniff_media(table: DataFrame, media: str = "media", declared: str = "declare
     of their format count for nothing.  ``finish`` maps output batches inside the task, for callers that keep only
     digests of the payload.
     """
+    table = table.drop("actual", "corrected", "payload", "rate", "bits", "parts")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

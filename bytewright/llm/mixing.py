@@ -141,16 +141,16 @@ def repeat_documents(docs: DataFrame, params: MixParams = MixParams(), quality:
 
     The document that a source takes in part keeps that many first words, joined by one space.
     """
-    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    keyed = with_keys(docs, quality)
+    row = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "source")
+    keyed = with_keys(row, quality)
     plan, count = mixing_plan(settle(keyed.select("doc_id", "_src", "_size", "_rank", "_tie"), "mix-keyed"), params)
     out = apply_plan(keyed, plan, count, params)
     cut = F.array_join(F.slice(F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD), F.lit(0)), F.lit(1), F.greatest("extra", F.lit(1)).cast("int")), " ")
     whole = F.array_repeat(F.struct(F.col("text").alias("text"), F.lit(False).alias("cut")), F.col("times").cast("int"))
     part = F.when(F.col("extra") > 0, F.array(F.struct(cut.alias("text"), F.lit(True).alias("cut"))))
     out = out.withColumn("_copy", F.explode(F.concat(whole, F.coalesce(part, F.array().cast("array<struct<text:string,cut:boolean>>")))))
-    made = {"text": F.col("_copy.text")} | ({"n_chars": F.when(F.col("_copy.cut"), F.length("_copy.text")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
-    return out.withColumns(made).select(*docs.columns)
+    made = {"text": F.col("_copy.text"), "n_chars": F.when(F.col("_copy.cut"), F.length("_copy.text").cast("long")).otherwise(F.col("_row.n_chars")) if "n_chars" in docs.columns else None}
+    return out.select(*[made.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
 
 
 ORACLE = """
