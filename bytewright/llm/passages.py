@@ -215,6 +215,8 @@ def remove_repeated_passages(docs: DataFrame, params: PassageParams = PassagePar
     repeated = uses.groupBy("phrase").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("phrase")
     per_doc = uses.join(repeated, "phrase").groupBy("doc_id", "tag").agg(F.collect_set("phrase").alias("phrases"))
     shards = settle(rows.join(per_doc, ["doc_id", "tag"]).select("doc_id", "text", "tag", "phrases"), "pas-shards")
+    whole = settle(found.select("doc_id", "tag", "n_words", "whole_sha256"), "pas-whole")
+    discard(found)
     windows = settle(map_arrow(shards, _locate(p), "hash long, doc_id long, tag long, at int"), "pas-windows")
     owners = windows.groupBy("hash").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("hi")).where("owner < hi").select("hash", "owner")
     later = windows.join(owners, "hash").where("doc_id > owner").groupBy("doc_id", "tag").agg(F.collect_set("at").alias("at"))
@@ -222,7 +224,7 @@ def remove_repeated_passages(docs: DataFrame, params: PassageParams = PassagePar
     cleaned = settle(map_arrow(cleaned, _remove(p), "doc_id long, tag long, n_words long, n_removed long, text string"), "pas-cleaned")
     for done in (windows, shards):
         discard(done)
-    return PassageResult(cleaned, found.select("doc_id", "tag", "n_words", "whole_sha256"))
+    return PassageResult(cleaned, whole)
 
 
 def passage_digests(result: PassageResult) -> DataFrame:
