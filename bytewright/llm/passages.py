@@ -232,3 +232,23 @@ def passage_digests(result: PassageResult) -> DataFrame:
     less = result.cleaned.select("doc_id", "tag", "n_removed", F.sha2("text", 256).alias("kept")).dropDuplicates(["doc_id", "tag"])
     out = result.whole.join(less, ["doc_id", "tag"], "left")
     return out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept", "whole_sha256").alias("kept_sha256"))
+
+
+ORACLE = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), win AS (
+  SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w)
+), own AS (
+  SELECT t, min(doc_id) AS owner FROM win GROUP BY t
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM win JOIN own USING (t) WHERE owner < doc_id
+), words AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM w
+), kept AS (
+  SELECT words.doc_id, string_agg(word, ' ' ORDER BY words.p) AS kept, count(*) AS n FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.p = words.p
+  WHERE gone.p IS NULL GROUP BY words.doc_id
+)
+SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""

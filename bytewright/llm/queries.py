@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, pii, warc
+from . import embeddings, minhash, mixing, passages, pii, warc
 from .common import table
 from .embeddings import embedding_duplicates
 from .media import sniff_media, stored, text_media
@@ -119,6 +119,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_minhash_near_dedup": minhash.ORACLE,
+    "op2_embedding_near_dedup": embeddings.ORACLE,
     "op3_mix_sources": mixing.ORACLE,
     "op6_warc_round_trip": warc.ORACLE,
+    "op9_substring_dedup": passages.ORACLE,
 }
