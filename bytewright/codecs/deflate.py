@@ -336,8 +336,8 @@ def optimal_tokens(data: bytes, matches: Matches, passes: int) -> list[Token]:
     return best
 
 
-def deflate(data: bytes, level: int = 5, master: int = 1_000_000) -> bytes:
-    """A raw DEFLATE stream of ``data``; empty input is one fixed block."""
+def deflate(data: bytes, level: int = 5, master: int = 1_000_000, passes: int | None = None) -> bytes:
+    """A raw DEFLATE stream of ``data``; empty input is one fixed block.  ``passes`` overrides the level's."""
     p = LEVELS[max(1, min(level, 9))]
     w = BitWriter()
     if not data:
@@ -345,7 +345,7 @@ def deflate(data: bytes, level: int = 5, master: int = 1_000_000) -> bytes:
         return w.finish()
     for lo in range(0, len(data), master):
         part = data[lo : lo + master]
-        tokens = optimal_tokens(part, Matches(part, p.chain), p.passes)
+        tokens = optimal_tokens(part, Matches(part, p.chain), p.passes if passes is None else passes)
         cuts = [0, *(split_points(tokens, p.least_split) if p.split else []), len(tokens)]
         at = 0
         for a, b in zip(cuts, cuts[1:]):
@@ -364,7 +364,7 @@ def inflate(data: bytes, limit: int = 0) -> bytes:
     return out
 
 
-def best_deflate(data: bytes, level: int = 6) -> bytes:
+def best_deflate(data: bytes, level: int = 6, passes: int | None = None) -> bytes:
     """The smallest of zlib's strategies at its best effort and, from level 2 on, this encoder for small inputs."""
     found = []
     for strategy in (zlib.Z_DEFAULT_STRATEGY, zlib.Z_FILTERED, zlib.Z_RLE, zlib.Z_HUFFMAN_ONLY, zlib.Z_FIXED):
@@ -373,5 +373,5 @@ def best_deflate(data: bytes, level: int = 6) -> bytes:
         if level <= 1:
             break
     if level >= 3 and len(data) <= 1 << 16:
-        found.append(deflate(data, level))
+        found.append(deflate(data, level, passes=passes))
     return min(found, key=len)

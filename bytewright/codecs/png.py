@@ -545,11 +545,41 @@ def same_image(a: Image, b: Image, hidden: bool = True) -> bool:
     return bool((x == y).all())
 
 
+def palette_orders(palette: tuple[tuple[int, ...], ...], counts: dict[tuple[int, ...], int], indexes: np.ndarray, limit: int) -> list[tuple[tuple[int, ...], ...]]:
+    """At most ``limit`` distinct orders out of 120: sorted as a whole, or chained from there to the nearest colour, the
+    nearest popular colour or the commonest neighbour; by five keys, three places of clear entries, both directions."""
+    pairs = neighbours(indexes, len(palette))
+    place = {c: k for k, c in enumerate(palette)}
+
+    def chained(start: tuple[tuple[int, ...], ...], how: str) -> tuple[tuple[int, ...], ...]:
+        if how == "global":
+            return start
+        left, out = list(start[1:]), [start[0]]
+        while left:
+            last = out[-1]
+            apart = lambda c: sum((a - b) ** 2 for a, b in zip(c, last))  # noqa: E731, B023
+            score = {"nearest": apart, "nearest weighted": lambda c: apart(c) / max(counts.get(c, 1), 1), "neighbour": lambda c: -int(pairs[place[last], place[c]])}[how]  # noqa: B023
+            nxt = min(left, key=lambda c: (score(c), left.index(c)))  # noqa: B023
+            left.remove(nxt)
+            out.append(nxt)
+        return tuple(out)
+
+    made: dict[tuple, None] = {}
+    for how in ("global", "nearest", "nearest weighted", "neighbour"):
+        for key in ("popularity", "rgb", "yuv", "lab", "msb"):
+            for alpha in ("first", "ignore", "last"):
+                for descending in (False, True):
+                    if len(made) >= limit:
+                        return list(made)
+                    made[chained(order_palette(palette, counts, key, alpha, descending), how)] = None
+    return list(made)
+
+
 #: Filter strategies tried by level.
 LEVEL_STRATEGIES = {1: ("0", "minsum"), 2: ("0", "distinct_bigrams"), 3: ("0", "deflate"), 4: ("0", "incremental")}
 
 
-def optimize(data: bytes, level: int = 3, strict: bool = True, strip_extra: bool = False, reuse: bool = False, all_filters: bool = False) -> bytes:
+def optimize(data: bytes, level: int = 3, strict: bool = True, strip_extra: bool = False, reuse: bool = False, all_filters: bool = False, palette_sort: int = 0, passes: int | None = None) -> bytes:
     """The smallest verified rewrite, never larger than the input.
 
     Animated and signed files are returned as they are.  Candidates are every filter strategy of the level with and
@@ -564,17 +594,19 @@ def optimize(data: bytes, level: int = 3, strict: bool = True, strip_extra: bool
     start = image if strict or reuse else clean_alpha(image)
 
     def compress(raw: bytes) -> bytes:
-        body = best_deflate(raw, level)
+        body = best_deflate(raw, level, passes)
         return b"\x78\xda" + body + struct.pack(">I", zlib.adler32(raw))
 
     strategies = ("given",) if reuse else STRATEGIES if all_filters else LEVEL_STRATEGIES[min(max(level, 1), 4)]
     modes = [choose_mode(start)]
     if modes[0].color == 3:
-        counts = {}
-        if level >= 5:
-            s = color_statistics(start)
-            counts = {tuple(int(v) for v in c): int(n) for c, n in zip(s["colors"], s["counts"])}
-        modes += [Mode(3, modes[0].depth, order_palette(modes[0].palette, counts, k, a)) for k in ("popularity", "rgb", "msb") for a in ("first",) if level >= 5]
+        tries = palette_sort or (6 if level >= 5 else 0)
+        if tries:
+            stats = color_statistics(start)
+            scale = 257 if start.deep else 1
+            counts = {tuple(int(v) // scale for v in c): int(n) for c, n in zip(stats["colors"], stats["counts"])}
+            orders = palette_orders(modes[0].palette, counts, to_samples(start, modes[0])[:, :, 0], tries)
+            modes += [Mode(3, modes[0].depth, order) for order in orders]
         if start.pixels.shape[0] * start.pixels.shape[1] <= 4096:
             modes.append(choose_mode(start, allow_palette=False))
     best = strip(data) if strip_extra else data

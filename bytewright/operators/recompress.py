@@ -67,7 +67,7 @@ def optimize_files(files: DataFrame, options: Options = Options()) -> DataFrame:
         if kind == "gzip":
             return containers.gzip_optimize(data, o.level, o.strict, path)
         if kind == "png":
-            return png.optimize(data, o.level, o.strict, o.strip, o.reuse, o.all_filters), ""
+            return png.optimize(data, o.level, o.strict, o.strip, o.reuse, o.all_filters, o.palette_sort, o.iterations), ""
         return (containers.jpeg_strip(data) if o.strip else data), ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
