@@ -213,12 +213,15 @@ def remove_repeated_passages(docs: DataFrame, params: PassageParams = PassagePar
     found = settle(map_arrow(rows, _find_anchors(p), "doc_id long, tag long, n_words long, whole_sha256 string, phrases array<binary>"), "pas-anchors")
     uses = found.where("doc_id IS NOT NULL").select("doc_id", "tag", F.explode(F.array_distinct("phrases")).alias("phrase"))
     repeated = uses.groupBy("phrase").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("phrase")
+    # The sides that hot phrases and windows are joined with are tables, so that AQE can split a hot partition.
+    repeated = settle(repeated, "pas-repeated")
     per_doc = uses.join(repeated, "phrase").groupBy("doc_id", "tag").agg(F.collect_set("phrase").alias("phrases"))
     shards = settle(rows.join(per_doc, ["doc_id", "tag"]).select("doc_id", "text", "tag", "phrases"), "pas-shards")
     whole = settle(found.select("doc_id", "tag", "n_words", "whole_sha256"), "pas-whole")
     discard(found)
     windows = settle(map_arrow(shards, _locate(p), "hash long, doc_id long, tag long, at int"), "pas-windows")
     owners = windows.groupBy("hash").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("hi")).where("owner < hi").select("hash", "owner")
+    owners = settle(owners, "pas-owners")
     later = windows.join(owners, "hash").where("doc_id > owner").groupBy("doc_id", "tag").agg(F.collect_set("at").alias("at"))
     cleaned = shards.join(later, ["doc_id", "tag"]).select("doc_id", "text", "tag", F.sort_array("at").alias("at"))
     cleaned = settle(map_arrow(cleaned, _remove(p), "doc_id long, tag long, n_words long, n_removed long, text string"), "pas-cleaned")
