@@ -207,6 +207,7 @@ def embedding_duplicates(vectors: DataFrame, params: CollisionParams = Collision
     keyed = settle(keyed.withColumn("keys", F.expr("transform(keys, k -> xxhash64(k, label))")), "emb-keyed")
     single = keyed.select("rep", F.explode("keys").alias("key"))
     buckets = single.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key", F.ceil(F.col("c") / p.block_rows).cast("int").alias("parts"))
+    buckets = settle(buckets, "emb-buckets")
     members = single.join(buckets, "key").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     # Each row meets every part of its bucket once: a block is a pair of parts.
     blocks = members.select("key", "rep", "part", F.expr("explode(sequence(0, parts - 1))").alias("q"))

@@ -128,7 +128,7 @@ def _prefix_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     min(n - i, m - j) can be common.  Copies that differ too much have rare shingles in front and meet nobody.
     """
     grams = map_arrow(sets.join(rest.select("rep"), "rep").select("rep", "grams"), _explode_grams, "gram long, rep long")
-    common = grams.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
+    common = settle(grams.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1"), "dup-common")
     own = W.partitionBy("rep")
     placed = grams.join(common, "gram").join(rest, "rep")
     placed = placed.withColumn("at", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "gram")) - 1)
@@ -163,7 +163,8 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) ->
     reps = settle(reps.select("rep", "digest", "tuples").dropDuplicates(["rep"]), "dup-reps")
 
     single = reps.select("rep", F.explode("tuples").alias("k"))
-    shared = single.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k")
+    # Sides that a hot key is joined with are tables: only then does AQE see two exchanges and split the partition.
+    shared = settle(single.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k"), "dup-shared")
     chosen = single.join(shared, "k").groupBy("rep").agg(F.sort_array(F.collect_list("k")).alias("ks")).where(F.size("ks") > 1)
     chosen = settle(chosen, "dup-chosen")
 
@@ -181,6 +182,7 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) ->
 
     # Per key the member with the fewest own shingles is the hub; ties go to the smallest id.
     hubs = keys.groupBy("key").agg(F.min(F.struct((F.col("n") - F.col("v")).alias("own"), F.col("rep").alias("hub"), F.col("n").alias("hn"), F.col("v").alias("hv"))).alias("h"), F.count("*").alias("c")).where("c > 1").select("key", "h.hub", "h.hn", "h.hv")
+    hubs = settle(hubs, "dup-hubs")
     bound = "{m} * least(v, {v}) >= {q} * (n + {n})"
     star = keys.join(hubs, "key").where("hub <> rep").where(bound.format(m=100 + p.percent, q=p.percent, v="hv", n="hn"))
     pairs = settle(star.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "dup-star")
@@ -190,6 +192,7 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) ->
     # Keys that still hold different components: their members are joined exactly, by prefix and position.
     named = keys.join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
     split = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    split = settle(split, "dup-split")
     rest = settle(named.join(split, "key").select("rep", "n", "comp").distinct(), "dup-rest")
     more = _prefix_pairs(rest, sets, p.percent).join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     extra = settle(_verified(more, sets, p.percent), "dup-more")

@@ -106,6 +106,7 @@ def revealing_terms(base: DataFrame, frequencies: DataFrame, total: int, params:
     p = params
     mentions = base.where(F.size("spans") > 0).select("tag", F.explode("spans").alias("m")).select("tag", entity().alias("entity"), F.col("m.near").alias("near"))
     known = mentions.select("tag", "entity").distinct().groupBy("entity").agg(F.count("*").alias("ec")).where(F.col("ec") >= p.support)
+    known = settle(known, "pii-known")
     pairs = mentions.select("tag", "entity", F.explode(_terms(F.col("near"), p.shortest)).alias("term")).distinct()
     pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= p.support)
     scored = pairs.join(known, "entity").join(frequencies, "term")

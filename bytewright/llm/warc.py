@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import map_arrow, ship
-from .common import scratch_path
+from .common import scratch_path, settle
 
 VERSION = b"WARC/1.1\r\n"
 _END = b"\r\n\r\n"
@@ -40,13 +40,15 @@ def warc_records(pages: DataFrame, params: WarcParams = WarcParams()) -> DataFra
     """One record text per row of ``pages(page_id, url, html, ...)``, in the column ``record``.
 
     Of equal payloads of at least ``least_revisit`` bytes the largest page_id is a response and the others revisit
-    it.  Only ids and digests are aggregated; a payload that a third of all pages share is split by AQE.
+    it.  Only ids and digests are aggregated; as the groups are a table, AQE can split the partition of a payload that a
+    third of all pages share.
     """
     p = params
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), html.alias("html"))
     rows = rows.withColumns({"size": F.octet_length("html").cast("long"), "digest": base32_sha1(F.col("html").cast("binary"))})
     groups = rows.where(F.col("size") >= p.least_revisit).groupBy("digest", "size").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    groups = settle(groups, "warc-groups")
     named = rows.join(groups, ["digest", "size"], "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size"), F.lit("\r\n\r\n"))
