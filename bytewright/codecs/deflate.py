@@ -268,6 +268,25 @@ class BitWriter:
         return bytes(self.out)
 
 
+def cheaper_literals(tokens: list[Token], raw: bytes, litlen: list[int], dist: list[int]) -> list[Token]:
+    """Short matches whose bytes cost less as literals, all of which have codes, become literals."""
+    out: list[Token] = []
+    at = 0
+    for value, distance in tokens:
+        size = value if distance else 1
+        if distance and value <= 7:
+            s, bits, _ = _LENGTHS[value]
+            d, more, _ = distance_symbol(distance)
+            part = raw[at : at + size]
+            if all(litlen[b] for b in part) and sum(litlen[b] for b in part) < litlen[s] + bits + dist[d] + more:
+                out.extend((b, 0) for b in part)
+                at += size
+                continue
+        out.append((value, distance))
+        at += size
+    return out
+
+
 def _write_tokens(w: BitWriter, tokens: list[Token], litlen: list[int], dist: list[int]) -> None:
     lc, dc = canonical_codes(litlen), canonical_codes(dist)
     for value, distance in tokens:
@@ -289,6 +308,10 @@ def write_block(w: BitWriter, tokens: list[Token], raw: bytes, final: bool) -> N
     extra = extra_bits(tokens)
     fixed = fixed_bits(litlen, dist)
     bits, x, y = block_lengths(litlen, dist)
+    plainer = cheaper_literals(tokens, raw, x, y)
+    if len(plainer) > len(tokens) and block_bits(plainer) < 3 + extra + min(fixed, bits):
+        tokens, (litlen, dist), extra = plainer, histogram(plainer), extra_bits(plainer)
+        fixed, (bits, x, y) = fixed_bits(litlen, dist), block_lengths(litlen, dist)
     stored = 8 * len(raw) + 40 * max(1, -(-len(raw) // 65535))
     if stored < min(fixed, bits) + extra:
         chunks = [raw[i : i + 65535] for i in range(0, len(raw), 65535)] or [b""]

@@ -465,19 +465,32 @@ def unused_color(pixels: np.ndarray) -> tuple[int, int, int] | None:
     return (value >> 16, value >> 8 & 255, value & 255) if value < 1 << 24 else None
 
 
+HIDDEN = ("black", "sub", "up", "average", "paeth")
+
+
 def clean_alpha(image: Image, how: str = "black") -> Image:
-    """Change the hidden colour of clear pixels: to black, or to the last visible colour of the line."""
+    """Change the hidden colour of clear pixels: to black, or to what a scanline filter predicts there, so that the
+    filtered bytes are zero.  Pixels before the first column and row count as black."""
     px = image.pixels.copy()
     clear = px[:, :, 3] == 0
     px[clear] = 0
-    if how == "fill":
-        for y in range(len(px)):
-            last = np.zeros(3, np.uint16)
-            for x in range(px.shape[1]):
-                if clear[y, x]:
-                    px[y, x, :3] = last
-                else:
-                    last = px[y, x, :3]
+    if how == "black":
+        return Image(px, image.deep, image.extra, image.filters, image.source)
+    none = np.zeros(3, np.int64)
+    for y, x in np.argwhere(clear):
+        left = px[y, x - 1, :3].astype(np.int64) if x else none
+        above = px[y - 1, x, :3].astype(np.int64) if y else none
+        if how == "sub":
+            value = left
+        elif how == "up":
+            value = above
+        elif how == "average":
+            value = (left + above) >> 1
+        else:
+            corner = px[y - 1, x - 1, :3].astype(np.int64) if x and y else none
+            pa, pb, pc = abs(above - corner), abs(left - corner), abs(left + above - 2 * corner)
+            value = np.where((pa <= pb) & (pa <= pc), left, np.where(pb <= pc, above, corner))
+        px[y, x, :3] = value
     return Image(px, image.deep, image.extra, image.filters, image.source)
 
 
@@ -585,13 +598,21 @@ def optimize(data: bytes, level: int = 3, strict: bool = True, strip_extra: bool
     Animated and signed files are returned as they are.  Candidates are every filter strategy of the level with and
     without a palette, and some palette orders from level 5 on; each is decoded and compared before it may win.
     """
-    from .deflate import best_deflate
-
     kinds = {c.kind for c in chunks(data)}
     if kinds & (ANIMATION | {b"dSIG"}):
         return data
     image = decode(data)
-    start = image if strict or reuse else clean_alpha(image)
+    hidden = not strict and not reuse and bool((image.pixels[:, :, 3] == 0).any())
+    starts = [clean_alpha(image, how) for how in (HIDDEN if level >= 4 else HIDDEN[:1])] if hidden else [image]
+    best = strip(data) if strip_extra else data
+    for start in starts:
+        best = _smallest(start, image, best, level, strict, strip_extra, reuse, all_filters, palette_sort, passes)
+    return best
+
+
+def _smallest(start: Image, image: Image, best: bytes, level: int, strict: bool, strip_extra: bool, reuse: bool, all_filters: bool, palette_sort: int, passes: int | None) -> bytes:
+    """The smallest verified encoding of ``start``, or ``best``."""
+    from .deflate import best_deflate
 
     def compress(raw: bytes) -> bytes:
         body = best_deflate(raw, level, passes)
@@ -609,7 +630,6 @@ def optimize(data: bytes, level: int = 3, strict: bool = True, strip_extra: bool
             modes += [Mode(3, modes[0].depth, order) for order in orders]
         if start.pixels.shape[0] * start.pixels.shape[1] <= 4096:
             modes.append(choose_mode(start, allow_palette=False))
-    best = strip(data) if strip_extra else data
     for mode in dict.fromkeys(modes):
         for strategy in strategies:
             if strategy == "given" and (image.source.interlace or (mode.color, mode.depth) != (image.source.color, image.source.depth)):

@@ -170,6 +170,27 @@ def test_hidden_colours_change_only_when_allowed():
     assert P.same_image(P.decode(P.optimize(data, 2, strict=False)), P.Image(px), hidden=False)
 
 
+def test_hidden_colours_follow_the_filter():
+    px = image(7, 9, "rgba", 4).pixels
+    px[:, :, 3] = 255
+    px[1:5, 2:8, 3] = 0
+    for kind, how in enumerate(P.HIDDEN):
+        made = P.clean_alpha(P.Image(px), how)
+        assert P.same_image(made, P.Image(px), hidden=False)
+        if kind:
+            lines = P.pack_samples(made.pixels, 8)
+            for y in range(1, 5):
+                zeros = P.filter_line(kind, lines[y], lines[y - 1], 4).reshape(-1, 4)[2:8, :3]
+                assert not zeros.any()
+
+
+def test_short_matches_become_cheaper_literals():
+    litlen = [2] * 257 + [12] * 31
+    tokens = [(97, 0), (98, 0), (99, 0), (3, 3), (20, 3)]
+    assert D.cheaper_literals(tokens, b"abcabc" + b"abc" * 7, litlen, [9] * 32) == [(97, 0), (98, 0), (99, 0), (97, 0), (98, 0), (99, 0), (20, 3)]
+    assert D.cheaper_literals(tokens, b"abcabc" + b"abc" * 7, [0] * 257 + [12] * 31, [9] * 32) == tokens
+
+
 def test_gzip():
     text = b"hello world " * 200
     made, status = C.gzip_optimize(text, 3, name="/a/b.txt")
