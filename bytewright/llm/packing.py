@@ -23,7 +23,7 @@ from .textkit import slices
 _SIMPLE = regex.compile("[!-~¡-¬®-ɏ]+")
 #: Fixed by the tokenizer file: how it cuts lower-cased text into pieces.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-_CACHE = 500_000
+_CACHE = 400_000
 #: Text encoded at a time: large enough that a word is looked up once for many of its occurrences.
 _SLICE = 6 << 20
 

@@ -148,7 +148,7 @@ class Scorer:
             if match:
                 found = len(self.hits)
                 self.hits.append(match)
-            if len(self.known) > 400_000:
+            if len(self.known) > 250_000:
                 self.known.clear()
                 self.hits = [None, *([match] if match else [])]
                 found = min(found, 1)
@@ -172,7 +172,7 @@ class Scorer:
         split = pc.ascii_split_whitespace(texts.fill_null(""))
         coded = split.flatten().dictionary_encode()
         words = coded.dictionary.to_numpy(zero_copy_only=False)
-        if len(self.known) + len(words) > 400_000:
+        if len(self.known) + len(words) > 250_000:
             self.known.clear()
             self.hits = [None]
         codes = np.fromiter((self._hit(w) for w in words), dtype=np.int64, count=len(words))
