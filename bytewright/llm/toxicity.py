@@ -148,10 +148,6 @@ class Scorer:
             if match:
                 found = len(self.hits)
                 self.hits.append(match)
-            if len(self.known) > 250_000:
-                self.known.clear()
-                self.hits = [None, *([match] if match else [])]
-                found = min(found, 1)
             self.known[word] = found
         return found
 
@@ -172,6 +168,7 @@ class Scorer:
         split = pc.ascii_split_whitespace(texts.fill_null(""))
         coded = split.flatten().dictionary_encode()
         words = coded.dictionary.to_numpy(zero_copy_only=False)
+        # Only between batches: the codes below point into ``hits``.
         if len(self.known) + len(words) > 250_000:
             self.known.clear()
             self.hits = [None]

@@ -324,6 +324,16 @@ def test_context_separates_quotation_from_abuse():
     assert quote[4] > 0 and abuse[4] == 0
 
 
+def test_scores_do_not_depend_on_what_is_remembered():
+    texts = [" ".join(f"w{k}x{i}" for i in range(400)) + (" you idiot" if k % 3 == 0 else "") for k in range(900)]
+    terms = {"idiot": (1.0, False)}
+    whole = Scorer(terms, ToxicityParams()).features(pa.array(texts))
+    fresh, parts = Scorer(terms, ToxicityParams()), []
+    for k in range(0, 900, 300):
+        parts.append(fresh.features(pa.array(texts[k : k + 300])))
+    assert (whole == np.concatenate(parts)).all() and whole[:, 3].astype(bool).tolist() == [k % 3 == 0 for k in range(900)]
+
+
 def labelled(spark, n=900):
     rnd = random.Random(4)
     rows, labels = [], []
