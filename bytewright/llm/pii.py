@@ -89,19 +89,19 @@ def _terms(words: Column, shortest: int) -> Column:
 
 
 def term_frequencies(docs: DataFrame, shortest: int) -> DataFrame:
-    """In how many rows each word occurs, over whole texts; counted map-side, so a frequent word costs a row a task."""
-    words = docs.select(F.explode(F.array_distinct(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), _SPACE))).alias("word"))
-    counted = words.where(F.length("word") >= shortest).groupBy("word").agg(F.count("*").alias("n"))
-    # Spellings of one term (case, marks) add up; a text that holds two of them counts twice, which only lowers the
-    # information that the term is held to carry.
-    counted = counted.select(F.explode(_terms(F.array("word"), shortest)).alias("term"), "n")
-    return counted.groupBy("term").agg(F.sum("n").alias("df"))
+    """In how many different texts each term occurs, over whole texts; counted map-side, so a frequent word costs a
+    row a task.  Copies of a text, spellings of one term (case, marks) and repeats count once, as in ``revealing_terms``."""
+    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("tag", F.xxhash64("text")).dropDuplicates(["tag"])
+    words = F.filter(F.array_distinct(F.split("text", _SPACE)), lambda w: F.length(w) >= shortest)
+    terms = texts.select(F.explode(F.array_distinct(_terms(words, shortest))).alias("term"))
+    return terms.groupBy("term").agg(F.count("*").alias("df"))
 
 
 def revealing_terms(base: DataFrame, frequencies: DataFrame, total: int, params: PiiParams = PiiParams()) -> DataFrame:
     """``entity, term, pmi, content`` of the pairs over the disclosure threshold.
 
-    Equal texts count once, so copies of a document make no evidence.
+    Equal texts count once, so copies of a document make no evidence; ``total`` and ``frequencies`` count different
+    texts too.
     """
     p = params
     mentions = base.where(F.size("spans") > 0).select("tag", F.explode("spans").alias("m")).select("tag", entity().alias("entity"), F.col("m.near").alias("near"))
@@ -136,7 +136,7 @@ def personal_data(docs: DataFrame, params: PiiParams = PiiParams()) -> DataFrame
     p = params
     base = settle(base_spans(docs, p), "pii-base")
     frequencies = term_frequencies(docs, p.shortest)
-    disclosed = settle(revealing_terms(base, frequencies, base.count(), p), "pii-disclosed")
+    disclosed = settle(revealing_terms(base, frequencies, base.select("tag").distinct().count(), p), "pii-disclosed")
     holders = base.where(F.size("spans") > 0)
     named = holders.select("doc_id", "tag", F.explode("spans").alias("m")).select("doc_id", "tag", entity().alias("entity")).distinct()
     wanted = named.join(disclosed.select("entity", "term"), "entity").groupBy("doc_id", "tag").agg(F.sort_array(F.collect_set("term")).alias("words"))

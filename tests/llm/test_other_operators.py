@@ -487,6 +487,19 @@ def test_revealing_terms(spark):
     assert pii.personal_data(frame.where("false")).count() == 0
 
 
+def test_copies_do_not_hide_revealing_terms(spark):
+    rnd = random.Random(6)
+    common = [f"{a}{b}" for a in "the and for with from that this".split() for b in ("", "se", "ly")]
+    filler = lambda n: " ".join(rnd.choice(common) for _ in range(n))
+    rows = [(k, f"{filler(20)} {k}") for k in range(300)] + [(1000 + k, f"{filler(9)} zanzibar ceo@acme.example {filler(9)} Zanzibar {k}") for k in range(6)]
+    rows += [(2000 + k, rows[-1][1]) for k in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.term: r.df for r in pii.term_frequencies(frame, 3).collect()}["zanzibar"] == 6
+    text = dict(rows)
+    for r in pii.personal_data(frame).collect():
+        assert [text[r.doc_id][s.start : s.end] for s in r.terms] == (["zanzibar", "Zanzibar"] if r.doc_id >= 1000 else [])
+
+
 # The pipeline
 
 
