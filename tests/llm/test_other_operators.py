@@ -268,6 +268,13 @@ def test_magic_inside_payloads_is_rejected(spark, tmp_path):
     assert warc.warc_round_trip(frame.where("false")).count() == 0
 
 
+def test_long_urls_do_not_break_the_chain(spark):
+    rows = [(1, "http://a/", "<p>1"), (2, "data:text/html," + "x" * 200_000, "<p>2"), (3, "http://b/WARC/1.1", "<p>3"), (4, "http://c/", "WARC/1.1\r\n" * 50_000)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    got = {r.page_id: r for r in warc.warc_round_trip(frame).collect()}
+    assert {k: (r.url, r.payload_bytes, r.intact) for k, r in got.items()} == {k: (u, len(h), True) for k, u, h in rows}
+
+
 def test_pointer_jumping():
     offsets = np.array([50, 0, 10, 25, 33, 70])
     successors = np.array([70, 10, 50, 33, 50, 99])
