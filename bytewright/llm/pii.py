@@ -22,6 +22,8 @@ PATTERNS = {
     "card": (r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?+[0-9]){15,}+", r"text RLIKE r'[0-9](?:[\x20-]?+[0-9]){15}'"),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", r"contains(text, '+') AND text RLIKE r'\+[0-9]'"),
 }
+#: A term wherever it stands.
+_LETTERS = r"(?<![\p{L}\p{N}])\p{L}++(?!\p{N})"
 _SPACE = r"[\x20\x09-\x0D]+"
 #: Stripped from the ends of a word before it counts as a term.
 _EDGE = ".,;:!?()[]{}<>\"'`*#$%&|_-+=/\\"
@@ -29,11 +31,12 @@ _EDGE = ".,;:!?()[]{}<>\"'`*#$%&|_-+=/\\"
 
 @dataclass(frozen=True)
 class PiiParams:
-    """A term is revealing for an entity if PMI >= ``alpha`` * the entity's information content and both occur near
-    each other (``window`` words) in ``support`` different texts or more."""
+    """A term is revealing for an entity if both occur near each other (``window`` words) and PMI >= ``alpha`` * the
+    entity's information content.  Every entity is scored, from one mention on: ``smoothing`` texts are added to what
+    an entity and a term have, so few mentions reveal only among many documents."""
 
     alpha: float = 0.8
-    support: int = 3
+    smoothing: float = 1.0
     window: int = 5
     shortest: int = 3
 
@@ -105,12 +108,12 @@ def revealing_terms(base: DataFrame, frequencies: DataFrame, total: int, params:
     """
     p = params
     mentions = base.where(F.size("spans") > 0).select("tag", F.explode("spans").alias("m")).select("tag", entity().alias("entity"), F.col("m.near").alias("near"))
-    known = mentions.select("tag", "entity").distinct().groupBy("entity").agg(F.count("*").alias("ec")).where(F.col("ec") >= p.support)
+    known = mentions.select("tag", "entity").distinct().groupBy("entity").agg(F.count("*").alias("ec"))
     known = settle(known, "pii-known")
     pairs = mentions.select("tag", "entity", F.explode(_terms(F.col("near"), p.shortest)).alias("term")).distinct()
-    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= p.support)
+    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("both"))
     scored = pairs.join(known, "entity").join(frequencies, "term")
-    pmi = F.log(F.col("both") * F.lit(float(max(total, 1))) / (F.col("ec") * F.greatest("df", "both")))
+    pmi = F.log(F.col("both") * F.lit(float(max(total, 1))) / ((F.col("ec") + p.smoothing) * (F.greatest("df", "both") + p.smoothing)))
     content = F.log(F.lit(float(max(total, 1))) / F.col("ec"))
     return scored.select("entity", "term", pmi.alias("pmi"), content.alias("content")).where(F.col("pmi") >= p.alpha * F.col("content")).where("pmi > 0")
 
@@ -135,11 +138,14 @@ def personal_data(docs: DataFrame, params: PiiParams = PiiParams()) -> DataFrame
     """
     p = params
     base = settle(base_spans(docs, p), "pii-base")
-    frequencies = term_frequencies(docs, p.shortest)
+    frequencies = settle(term_frequencies(docs, p.shortest), "pii-frequencies")
     disclosed = settle(revealing_terms(base, frequencies, base.select("tag").distinct().count(), p), "pii-disclosed")
     holders = base.where(F.size("spans") > 0)
     named = holders.select("doc_id", "tag", F.explode("spans").alias("m")).select("doc_id", "tag", entity().alias("entity")).distinct()
-    wanted = named.join(disclosed.select("entity", "term"), "entity").groupBy("doc_id", "tag").agg(F.sort_array(F.collect_set("term")).alias("words"))
+    # Only terms that a text holds meet its entities: an entity's texts times its terms would be a square.
+    held = holders.select("doc_id", "tag", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(_LETTERS), F.lit(0)), F.lower))).alias("term"))
+    held = held.join(disclosed.select("entity", "term"), "term")
+    wanted = held.join(named, ["doc_id", "tag", "entity"]).groupBy("doc_id", "tag").agg(F.sort_array(F.collect_set("term")).alias("words"))
     # A null doc_id has a row of its own and no terms: equality leaves it out.
     texts = holders.select("doc_id", "tag", "text").dropDuplicates(["doc_id", "tag"]).join(wanted, ["doc_id", "tag"])
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join("words", "|"), F.lit(r")(?![\p{L}\p{N}])"))

@@ -494,6 +494,19 @@ def test_revealing_terms(spark):
     assert pii.personal_data(frame.where("false")).count() == 0
 
 
+def test_terms_of_entities_in_one_or_two_texts(spark):
+    rnd = random.Random(4)
+    common = [f"{a}{b}" for a in "the and for with from that this".split() for b in ("", "se", "ly")]
+    filler = lambda n: " ".join(rnd.choice(common) for _ in range(n))
+    rows = [(k, f"{filler(20)} {k}") for k in range(3000)]
+    rows += [(5000, f"{filler(9)} Quibble, one@off.example {filler(9)} but-QUIBBLE"), (5001, f"{filler(9)} ombrage 10.9.8.7 {filler(9)}"), (5002, f"10.9.8.7 ombrage {filler(9)}")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    text = dict(rows)
+    got = {r.doc_id: [text[r.doc_id][s.start : s.end] for s in r.terms] for r in pii.personal_data(frame).collect()}
+    assert got[5000] == ["Quibble", "QUIBBLE"] and got[5001] == got[5002] == ["ombrage"]
+    assert not any(got[k] for k in range(3000))
+
+
 def test_copies_do_not_hide_revealing_terms(spark):
     rnd = random.Random(6)
     common = [f"{a}{b}" for a in "the and for with from that this".split() for b in ("", "se", "ly")]
