@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytewright.llm.common import settle, table
-from bytewright.llm.minhash import near_duplicates
+from bytewright.llm.minhash import NearDupParams, near_duplicates
 from bytewright.llm.mixing import repeat_documents
 from bytewright.llm.packing import PackParams, pack_documents
 from bytewright.llm.queries import word_tokenizer
@@ -18,6 +18,8 @@ from bytewright.llm.secret_scan import scan_secrets
 from bytewright.llm.toxicity import fit_toxicity, score_toxicity
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Near copies are documents at Jaccard 0.80 or more.  22 collections of 3 miss a pair there with probability 3.4e-6.
+NEAR = NearDupParams(percent=80, collections=22)
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +35,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows without a doc_id stay, once per text.
     """
     docs = docs.select(*COLUMNS)
-    gone = near_duplicates(docs).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    gone = near_duplicates(docs, NEAR).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti").withColumn("_tag", F.when(F.col("doc_id").isNull(), F.xxhash64("text")))
     return left.dropDuplicates(["doc_id", "_tag"]).select(*COLUMNS)
 

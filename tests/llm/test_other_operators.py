@@ -548,6 +548,18 @@ def test_pipeline(spark, tmp_path):
     assert tables[4].where("length > 2048 or length <> size(ids)").count() == 0 and ids[4] == ids[3]
 
 
+def test_pipeline_drops_near_copies_from_80_percent_on(spark):
+    import corpus_pipeline
+
+    # Of 100 shingles each, 90 of 110 (0.82) and 88 of 112 (0.79) are shared.
+    rows = []
+    for k, changed in ((0, 10), (10, 12)):
+        words = [f"w{k}x{i}" for i in range(104)]
+        rows += [(k, " ".join(words), "en", "s", 1), (k + 1, " ".join(words[:-changed] + [f"y{i}" for i in range(changed)]), "en", "s", 1)]
+    left = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), "")
+    assert sorted(r.doc_id for r in left.collect()) == [0, 10, 11]
+
+
 def test_everything_is_registered():
     import __spark_entry__ as entry
 
