@@ -12,10 +12,16 @@ _own_scratch: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a temporary folder serves local sessions (tests); on a cluster executors would not see each
+    other's files, so that is an error.
+    """
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_scratch:
         _own_scratch.append("file://" + tempfile.mkdtemp(prefix="bytewright-"))
     return _own_scratch[0]
@@ -35,13 +41,17 @@ def settle(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
     return back
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table that ``settle`` wrote and nothing reads any more."""
-    path = getattr(df, "_scratch_path", None)
-    if path:
-        spark = df.sparkSession
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``settle`` wrote and nothing reads any more; others are left alone."""
+    for df in tables:
+        path = getattr(df, "_scratch_path", None)
+        if path:
+            remove(df.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def bounded_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,5 +47,32 @@ def connected_components(edges: DataFrame) -> DataFrame:
         discard(parent)
         live = nxt
     if labels is None:
-        return live.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        labels = live.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        labels._scratch_path = live._scratch_path
+    else:
+        discard(live)
     return labels
+
+
+def class_nodes(classes: DataFrame, key: list[str], keep: Callable[[DataFrame, str], DataFrame]) -> tuple[DataFrame, bool]:
+    """Name each class of ``classes(*key, rep, ...)`` by a number ``node``: the id ``rep``, or a hash of its key where another
+    class has that id too (an id is repeated with different contents).  Also whether there are such."""
+    mark = F.xxhash64(*key)
+    shared = classes.where("rep IS NOT NULL").groupBy("rep").agg(F.min(mark).alias("least"), F.count("*").alias("c"))
+    shared = keep(shared.where("c > 1").select(F.col("rep").alias("again"), "least"), "nodes-repeated")
+    if not shared.limit(1).count():
+        return classes.withColumn("node", F.col("rep")), False
+    named = classes.join(shared, F.col("rep") == F.col("again"), "left")
+    node = F.when(F.col("least") != mark, mark).otherwise(F.col("rep"))
+    return keep(named.select(*classes.columns, node.alias("node")), "nodes-named"), True
+
+
+def class_components(named: DataFrame, labels: DataFrame, repeated: bool) -> DataFrame:
+    """Add to the classes of ``class_nodes`` the smallest id of their component, as ``component``."""
+    linked = named.join(labels.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").drop("linked")
+    found = linked.withColumn("component", F.coalesce("component", "node"))
+    if not repeated:
+        return found
+    # A component is named by its smallest node, which need not be an id.
+    least = found.groupBy("component").agg(F.min("rep").alias("least"))
+    return found.join(least, "component").drop("component").withColumnRenamed("least", "component")
