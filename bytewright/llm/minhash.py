@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,10 +15,11 @@ from pyspark.sql import functions as F
 
 from ..runtime import map_arrow
 from .common import discard, settle
-from .components import connected_components
-from .textkit import U, gram_hashes, mix, shingles, slices, text_buffers, word_hashes, word_spans
+from .components import class_components, class_nodes, connected_components
+from .textkit import U, mix, shingles, slices, text_buffers, word_hashes, word_spans
 
-__all__ = ["NearDupParams", "near_duplicates", "gram_hashes"]
+#: Text worked on at a time.
+_SLICE = 2 << 20
 
 
 @dataclass(frozen=True)
@@ -34,14 +36,18 @@ class NearDupParams:
     percent: int = 85
 
 
+def _digest(grams: np.ndarray) -> bytes:
+    return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
+
+
 def _signatures(p: NearDupParams):
     gen = np.random.default_rng(20240229)
     odd = gen.integers(0, 1 << 63, p.collections * p.width, dtype=np.uint64) * U(2) + U(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            for i, j in slices(texts):
+            ids, texts, tags = batch.column(0), batch.column(1), batch.column(2)
+            for i, j in slices(texts, _SLICE):
                 data, offsets = text_buffers(texts.slice(i, j - i))
                 starts, ends, bounds = word_spans(data, offsets)
                 grams, at = shingles(word_hashes(data, starts, ends, lower=True), bounds, p.shingle_words)
@@ -56,29 +62,31 @@ def _signatures(p: NearDupParams):
                                 low = np.minimum.reduceat(grams * odd[c * p.width + w], at[full])
                                 acc = mix(acc * U(0x9FB21C651E98DF25) + low)
                             tuples[full, c] = acc
-                digests = [hashlib.blake2b(grams[at[q] : at[q + 1]].tobytes(), digest_size=16).digest() if sizes[q] else None for q in range(j - i)]
+                digests = [_digest(grams[at[q] : at[q + 1]]) if sizes[q] else None for q in range(j - i)]
                 flat = pa.array(tuples.view(np.int64).ravel())
                 step = pa.array(np.arange(0, (j - i + 1) * p.collections, p.collections, dtype=np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, j - i), pa.array(sizes.astype(np.int64)), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(step, flat)],
-                    names=["doc_id", "n_shingles", "digest", "tuples"],
+                    [ids.slice(i, j - i), tags.slice(i, j - i), pa.array(sizes.astype(np.int64)), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(step, flat)],
+                    names=["doc_id", "tag", "n_shingles", "digest", "tuples"],
                 )
 
     return run
 
 
 def _sets(p: NearDupParams):
+    """The shingles of the rows whose digest is the wanted one, under the name of the set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, want = batch.column(0), batch.column(1), batch.column(2)
-            for i, j in slices(texts):
+            texts, want, names = batch.column(0), batch.column(1).to_pylist(), batch.column(2)
+            for i, j in slices(texts, _SLICE):
                 data, offsets = text_buffers(texts.slice(i, j - i))
                 starts, ends, bounds = word_spans(data, offsets)
                 grams, at = shingles(word_hashes(data, starts, ends, lower=True), bounds, p.shingle_words)
-                rows = [grams[at[q] : at[q + 1]].tobytes() for q in range(j - i)]
-                keep = [q for q in range(j - i) if hashlib.blake2b(rows[q], digest_size=16).digest() == want[i + q].as_py()]
+                keep = [q for q in range(j - i) if _digest(grams[at[q] : at[q + 1]]) == want[i + q]]
+                rows = [grams[at[q] : at[q + 1]].tobytes() for q in keep]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, j - i).take(pa.array(keep, pa.int64())), pa.array([len(rows[q]) // 8 for q in keep], pa.int64()), pa.array([rows[q] for q in keep], pa.binary())],
+                    [names.slice(i, j - i).take(pa.array(keep, pa.int64())), pa.array([len(r) // 8 for r in rows], pa.int64()), pa.array(rows, pa.binary())],
                     names=["rep", "n", "grams"],
                 )
 
@@ -87,9 +95,11 @@ def _sets(p: NearDupParams):
 
 def _explode_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for rep, grams in zip(batch.column(0).to_pylist(), batch.column(1)):
-            values = np.frombuffer(grams.as_buffer(), dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(np.full(len(values), rep, dtype=np.int64))], names=["gram", "rep"])
+        data, offsets = text_buffers(batch.column(1))
+        values, counts = np.frombuffer(data, dtype=np.int64), np.diff(offsets) // 8
+        owners = np.repeat(batch.column(0).to_numpy(), counts)
+        for s in range(0, len(values), 1 << 17):
+            yield pa.RecordBatch.from_arrays([pa.array(values[s : s + (1 << 17)]), pa.array(owners[s : s + (1 << 17)])], names=["gram", "rep"])
 
 
 def _confirm(percent: int):
@@ -120,34 +130,40 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_arrow(rows, _confirm(percent), "a long, b long")
 
 
-def _prefix_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _prefix_pairs(rest: DataFrame, sets: DataFrame, percent: int, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """Pairs of ``rest(rep, n, comp)`` in different components that can still reach the similarity.
 
-    Shingles are ordered by how many of these documents hold them, rarest first.  Similar sets share one within
-    their first n - ceil(s * n) + 1, and after the first one they share, at places i and j, at most
-    min(n - i, m - j) can be common.  Copies that differ too much have rare shingles in front and meet nobody.
+    Shingles are ordered by how many of these documents hold them, rarest first.  After the first shingle that a set of
+    n and one of m >= n share, at places i and j, at most min(n - i, m - j) can be common; so the smaller set is found by its
+    first n - 2sn/(1 + s) shingles and the larger one by its first m - sm, and sizes meet only in bands s apart.  Documents
+    on one template that differ too much have rare shingles in front, no place in the short prefix, and meet nobody.
     """
     grams = map_arrow(sets.join(rest.select("rep"), "rep").select("rep", "grams"), _explode_grams, "gram long, rep long")
-    common = settle(grams.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1"), "dup-common")
+    common = keep(grams.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1"), "dup-common")
     own = W.partitionBy("rep")
     placed = grams.join(common, "gram").join(rest, "rep")
     placed = placed.withColumn("at", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "gram")) - 1)
-    front = settle(placed.where(f"at < n - ({percent} * n + 99) div 100 + 1").select("gram", "rep", "n", "comp", "at"), "dup-front")
-    x = front.select("gram", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"), F.col("at").alias("aa"))
-    y = front.select("gram", F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bc"), F.col("at").alias("ba"))
-    on = (x["gram"] == y["gram"]) & F.expr(f"a < b AND ac <> bc AND {100 + percent} * least(an - aa, bn - ba) >= {percent} * (an + bn)")
-    return x.join(y, on).select("a", "b").distinct()
+    placed = placed.where(f"100 * (n - at) >= {percent} * n").withColumn("band", F.floor(F.log("n") / (math.log(100 / percent) * 1.000001)).cast("int"))
+    front = keep(placed.select("gram", "band", "rep", "n", "comp", "at"), "dup-front")
+    small = front.where(f"{100 + percent} * (n - at) >= {2 * percent} * n")
+    x = small.select("gram", "band", F.col("rep").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"), F.col("at").alias("aa"))
+    y = front.select("gram", F.explode(F.array("band", F.col("band") - 1)).alias("band"), F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bc"), F.col("at").alias("ba"))
+    on = (x["gram"] == y["gram"]) & (x["band"] == y["band"])
+    on &= F.expr(f"(an < bn OR an = bn AND a < b) AND ac <> bc AND {100 + percent} * least(an - aa, bn - ba) >= {percent} * (an + bn)")
+    return x.join(y, on).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) -> DataFrame:
     """Group the documents of ``docs(doc_id, text, ...)`` whose word shingles are similar.
 
-    Returns one row per input row: ``doc_id, n_shingles, component_id, kept``.  Two documents are linked when
-    100 * |A intersect B| >= percent * |A union B|; ``component_id`` is the smallest doc_id reachable.
+    Returns one row per input row: ``doc_id, n_shingles, component_id, kept, tag, digest``.  Two documents are linked when
+    100 * |A intersect B| >= percent * |A union B|; ``component_id`` is the smallest doc_id reachable.  ``tag`` is
+    ``xxhash64(text)`` and ``digest`` that of the shingle set: they tell rows of one doc_id apart.
 
     Null and empty texts have no shingles and link with nothing.  Equal sets are collapsed first (a group of copies
-    costs one representative, whatever its size).  Repeated rows each get a row; extra columns are ignored; a null
-    doc_id is never a representative unless its whole group has none.
+    costs one representative, whatever its size).  Repeated rows each get a row; an id that is repeated with different
+    texts stands for several documents, each with its own links; extra columns are ignored; a null doc_id is never a
+    representative unless its whole group has none; texts of any length are taken whole; an empty table gives no rows.
 
     Steps: signatures (one pass, text never shuffled) -> tuples that occur twice -> representatives with two shared
     tuples -> their full sets -> an exact upper bound from shingles nobody else has -> per table key a star around
@@ -155,22 +171,31 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) ->
     in different components -> components.
     """
     p = params
+    made: list[DataFrame] = []
+
+    def keep(df: DataFrame, tag: str) -> DataFrame:
+        made.append(settle(df, tag))
+        return made[-1]
+
     pruned = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    meta = settle(map_arrow(pruned, _signatures(p), "doc_id long, n_shingles long, digest binary, tuples array<long>"), "dup-meta")
-    owners = meta.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    owners = settle(owners, "dup-owners")
-    reps = meta.join(owners.where("rep IS NOT NULL").select(F.col("digest").alias("d2"), "rep"), (F.col("digest") == F.col("d2")) & (F.col("doc_id") == F.col("rep")))
-    reps = settle(reps.select("rep", "digest", "tuples").dropDuplicates(["rep"]), "dup-reps")
+    signed = map_arrow(pruned.withColumn("tag", F.xxhash64("text")), _signatures(p), "doc_id long, tag long, n_shingles long, digest binary, tuples array<long>")
+    meta = settle(signed, "dup-meta")
+    # Copies shrink to one row a task before the shuffle.
+    usable = meta.where("digest IS NOT NULL AND doc_id IS NOT NULL")
+    owners = keep(usable.groupBy("digest").agg(F.min(F.struct("doc_id", "tuples")).alias("m")).select("digest", F.col("m.doc_id").alias("rep"), "m.tuples"), "dup-owners")
+    named, repeated = class_nodes(owners, ["digest"], keep)
+    reps = named.select(F.col("rep").alias("doc_id"), F.col("node").alias("rep"), "digest", "tuples")
+    named = named.drop("tuples")
 
     single = reps.select("rep", F.explode("tuples").alias("k"))
     # Sides that a hot key is joined with are tables: only then does AQE see two exchanges and split the partition.
-    shared = settle(single.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k"), "dup-shared")
+    shared = keep(single.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k"), "dup-shared")
     chosen = single.join(shared, "k").groupBy("rep").agg(F.sort_array(F.collect_list("k")).alias("ks")).where(F.size("ks") > 1)
-    chosen = settle(chosen, "dup-chosen")
+    chosen = keep(chosen, "dup-chosen")
 
-    wanted = reps.select("rep", "digest").join(chosen.select("rep"), "rep")
-    carried = pruned.join(wanted, F.col("doc_id") == F.col("rep")).select("doc_id", "text", "digest")
-    sets = settle(map_arrow(carried, _sets(p), "rep long, n long, grams binary").dropDuplicates(["rep"]), "dup-sets")
+    wanted = reps.join(chosen.select("rep"), "rep").select(F.col("doc_id").alias("wanted"), "rep", "digest")
+    carried = pruned.join(wanted, F.col("doc_id") == F.col("wanted")).select("text", "digest", "rep")
+    sets = keep(map_arrow(carried, _sets(p), "rep long, n long, grams binary").dropDuplicates(["rep"]), "dup-sets")
     alone = map_arrow(sets.select("rep", "grams"), _explode_grams, "gram long, rep long")
     alone = alone.groupBy("gram").agg(F.min("rep").alias("rep"), F.max("rep").alias("hi")).where("rep = hi").groupBy("rep").agg(F.count("*").alias("own"))
     # A partner holds at most the v = n - own shingles that others have too.
@@ -178,32 +203,50 @@ def near_duplicates(docs: DataFrame, params: NearDupParams = NearDupParams()) ->
     sized = sized.where(f"{100 + p.percent} * v >= {p.percent} * (n + v)")
     ks = chosen.join(sized, "rep")
     keys = ks.select("rep", "n", "v", F.expr("explode(flatten(transform(ks, (x, i) -> transform(slice(ks, i + 2, size(ks)), y -> xxhash64(x, y)))))").alias("key"))
-    keys = settle(keys, "dup-keys")
+    keys = keep(keys, "dup-keys")
 
     # Per key the member with the fewest own shingles is the hub; ties go to the smallest id.
     hubs = keys.groupBy("key").agg(F.min(F.struct((F.col("n") - F.col("v")).alias("own"), F.col("rep").alias("hub"), F.col("n").alias("hn"), F.col("v").alias("hv"))).alias("h"), F.count("*").alias("c")).where("c > 1").select("key", "h.hub", "h.hn", "h.hv")
-    hubs = settle(hubs, "dup-hubs")
+    hubs = keep(hubs, "dup-hubs")
     bound = "{m} * least(v, {v}) >= {q} * (n + {n})"
     star = keys.join(hubs, "key").where("hub <> rep").where(bound.format(m=100 + p.percent, q=p.percent, v="hv", n="hn"))
-    pairs = settle(star.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "dup-star")
-    links = settle(_verified(pairs, sets, p.percent), "dup-links")
+    pairs = keep(star.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "dup-star")
+    links = keep(_verified(pairs, sets, p.percent), "dup-links")
     first = connected_components(links)
 
     # Keys that still hold different components: their members are joined exactly, by prefix and position.
-    named = keys.join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
-    split = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    split = settle(split, "dup-split")
-    rest = settle(named.join(split, "key").select("rep", "n", "comp").distinct(), "dup-rest")
-    more = _prefix_pairs(rest, sets, p.percent).join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    extra = settle(_verified(more, sets, p.percent), "dup-more")
-    labels = connected_components(links.unionAll(extra)) if extra.limit(1).count() else first
-    for done in (keys, rest, sets, chosen):
-        discard(done)
-
-    named = owners.join(labels, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    out = meta.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
+    placed = keys.join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
+    split = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    split = keep(split, "dup-split")
+    rest = keep(placed.join(split, "key").select("rep", "n", "comp").distinct(), "dup-rest")
+    more = _prefix_pairs(rest, sets, p.percent, keep).join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    extra = keep(_verified(more, sets, p.percent), "dup-more")
+    labels = first
+    if extra.limit(1).count():
+        labels = connected_components(links.unionAll(extra))
+        made.append(first)
+    found = settle(class_components(named, labels, repeated).select("digest", "component"), "dup-found")
+    discard(labels, *made)
+
+    out = meta.select("doc_id", "tag", "n_shingles", "digest").join(found.withColumnRenamed("digest", "d2"), F.col("digest") == F.col("d2"), "left")
     component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), "tag", "digest")
+
+
+def first_of_each(docs: DataFrame, params: NearDupParams = NearDupParams()) -> DataFrame:
+    """The rows of ``docs(doc_id, text, ...)`` less near-duplicates: of each group the row of the smallest doc_id stays.
+
+    Rows without a doc_id stay, once per text.  Rows that repeat an id with another text are judged by their own text.
+    """
+    found = near_duplicates(docs, params)
+    named = found.where("doc_id IS NOT NULL")
+    left_over = named.where("NOT kept").select("doc_id", "tag")
+    # One id with two spellings of one shingle set: the text of the smaller tag stays.
+    ties = named.where("kept AND digest IS NOT NULL").groupBy("doc_id", "digest").agg(F.min("tag").alias("least"), F.max("tag").alias("most")).where("least < most")
+    spelled = named.where("kept").join(ties, ["doc_id", "digest"]).where("tag > least").select("doc_id", "tag")
+    gone = settle(left_over.unionAll(spelled).distinct().select("doc_id", F.col("tag").alias("_tag")), "dup-gone")
+    rows = docs.withColumn("_tag", F.xxhash64(F.col("text").cast("string")))
+    return rows.join(gone, ["doc_id", "_tag"], "left_anti").dropDuplicates(["doc_id", "_tag"]).select(*docs.columns)
 
 
 ORACLE = r"""
