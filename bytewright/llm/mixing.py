@@ -1,31 +1,34 @@
-"""Mixing sources to target weights: exponential keys, epochs, radix selection.  DataFrame functions only."""
+"""Mixing sources to target weights: exponential keys, epochs, selection by narrowing bins.  DataFrame functions only."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, settle
+from .common import bounded_broadcast, discard, settle
 
 WORD = r"[^\x20\x09-\x0D]+"
 JUNK = r"[#$%&*!|~^<>{}=\\]"
-_BITS = 50
-_DIGIT = 8
+_BINS = 256
 
 
 @dataclass(frozen=True)
 class MixParams:
     """``weights`` go to the sources in code point order (null last), repeating; the mix has ``share`` times all
     words and no source more than ``most_epochs`` times its own.  ``broadcast_sources`` bounds the per-source
-    table that is broadcast; beyond it the table is joined by a shuffle."""
+    table that is broadcast; beyond it the table is joined by a shuffle.  At most about ``edge_rows`` rows of a source are
+    sorted in one task."""
 
     weights: tuple[float, ...] = (5.0, 2.0, 1.0)
     share: float = 1.5
     most_epochs: int = 2
     broadcast_sources: int = 2000
+    edge_rows: int = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -42,75 +45,106 @@ def text_quality(text: Column) -> Column:
 def with_keys(docs: DataFrame, quality: Column | None = None) -> DataFrame:
     """Add ``_src, _size, _rank, _tie``: the source (never null), the words, the sampling rank, a tie-break.
 
-    The rank orders documents as u ** (1 / quality), descending, does, with u from a digest of the doc_id: heavier
-    documents tend to come first, and reruns agree.
+    The rank is the exponential key -ln(u) / quality, with u from a digest of the doc_id (of the text where that is
+    null): taking documents by ascending rank is weighted sampling without replacement, and reruns agree.
     """
-    u = (F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
-    key = F.pow(u, 1.0 / (text_quality(F.col("text")) if quality is None else quality))
+    tie = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), tie).cast("binary"))
+    u = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
     return docs.withColumns(
         {
             "_src": F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")),
             "_size": word_count(F.col("text")),
-            "_rank": F.floor((1.0 - key) * float(1 << _BITS)).cast("long"),
-            "_tie": F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")),
+            "_rank": -F.log(u) / (text_quality(F.col("text")) if quality is None else quality),
+            "_tie": tie,
         }
     )
 
 
-def source_targets(sizes: DataFrame, params: MixParams) -> DataFrame:
-    """From ``_src, source_size``: ``target, epochs, rest`` by water-filling.  One row per source is held in one task."""
-    p = params
-    order = W.orderBy(F.when(F.col("_src") == "", 1).otherwise(0), "_src")
+def _with_weights(sizes: DataFrame, p: MixParams, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """Deal the weights to the sources in order.  Sources are ranked by range partition: a task ranks its own range, and
+    only the number of sources in each range is summed in one place."""
+    order = [F.when(F.col("_src") == "", 1).otherwise(0), F.col("_src")]
+    ranged = keep(sizes.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "mix-ranged")
+    before = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    starts = ranged.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    place = F.row_number().over(W.partitionBy("range").orderBy(*order)) - 1 + F.col("start")
     weights = F.array(*[F.lit(float(w)) for w in p.weights])
-    ranked = sizes.withColumn("weight", F.element_at(weights, (F.pmod(F.row_number().over(order) - 1, F.lit(len(p.weights))) + 1).cast("int")))
-    ranked = ranked.withColumn("cap", (F.col("source_size") * p.most_epochs).cast("double"))
-    every = W.partitionBy(F.lit(1))
-    before = W.orderBy((F.col("cap") / F.col("weight")), "_src").rowsBetween(W.unboundedPreceding, -1)
-    level = (F.sum("source_size").over(every) * p.share - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    ranked = ranked.withColumn("level", level).withColumn("open", F.col("cap") / F.col("weight") >= F.col("level"))
-    final = F.max(F.when(F.col("open"), F.col("level"))).over(every)
-    target = F.when(F.col("open"), F.least(final * F.col("weight"), F.col("cap"))).otherwise(F.col("cap"))
-    out = ranked.withColumn("target", target)
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    out = out.withColumn("epochs", epochs)
-    return out.select("_src", "source_size", "target", "epochs", (F.col("target") - F.col("epochs") * F.col("source_size")).alias("rest"))
+    weight = F.element_at(weights, (F.pmod(place, F.lit(len(p.weights))) + 1).cast("int"))
+    # There are as many starts as range partitions.
+    return ranged.join(F.broadcast(starts), "range").withColumn("weight", weight).withColumn("cap", (F.col("source_size") * p.most_epochs).cast("double")).drop("range", "start")
 
 
-def _crossing(rows: DataFrame, cuts: DataFrame, digit: Column) -> DataFrame:
-    """Per source the first digit whose running words pass ``rest``; sources that never pass get none (null)."""
-    sums = rows.groupBy("_src", digit.alias("digit")).agg(F.sum("_size").alias("words"))
-    run = sums.withColumn("upto", F.sum("words").over(W.partitionBy("_src").orderBy("digit")))
-    first = run.join(cuts.select("_src", "rest"), "_src").where("upto > rest").groupBy("_src").agg(F.min("digit").alias("digit"), F.min(F.col("upto") - F.col("words")).alias("before"))
-    return cuts.join(first, "_src", "left")
+def source_targets(sizes: DataFrame, p: MixParams, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """From ``_src, source_size, ...``: add ``target, epochs, rest`` by water-filling.
+
+    The level rises from the even share; sources below it are closed at their cap until none is.  Each round is one sum
+    over the sources, of which two numbers come to the driver.
+    """
+    ranked = keep(_with_weights(sizes, p, keep), "mix-weights")
+    ratio = F.col("cap") / F.col("weight")
+    total, weight = ranked.agg(F.sum("source_size"), F.sum("weight")).first()
+    level, closed = (float(total) * p.share / weight if weight else 0.0), 0
+    while weight:
+        under = ratio < F.lit(level)
+        count, full, weight = ranked.agg(F.count(F.when(under, 1)), F.sum(F.when(under, F.col("cap"))), F.sum(F.when(~under, F.col("weight")))).first()
+        if count == closed:
+            break
+        closed, level = count, ((float(total) * p.share - full) / weight if weight else math.inf)
+    target = F.when(ratio >= F.lit(level), F.least(F.lit(level) * F.col("weight"), F.col("cap"))).otherwise(F.col("cap"))
+    out = ranked.withColumn("target", target).drop("weight", "cap")
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    out = out.withColumn("epochs", epochs)
+    return out.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
 
 
 def mixing_plan(keyed: DataFrame, params: MixParams = MixParams()) -> tuple[DataFrame, int]:
     """Per source ``_src, source_size, target, epochs, last, part``, and the number of sources.
 
     A document is taken ``epochs`` times, and once more if its (rank, doc_id, tie) is below ``last``; of ``last``
-    itself ``part`` words more are taken, which is what the epochs and the run before it leave of the target.  The
-    end of the run is found by two rounds of 256 digit sums a source and an exact sort of the one 1/65,536 of it that remains, so a
-    source with a third of all rows is never sorted or summed in one task.
+    itself ``part`` words more are taken, which is what the epochs and the run before it leave of the target.
+
+    The end of the run is found by rounds: the ranks of a source fall into 256 bins of even width, the bin where the running
+    words pass the rest is found from the sums, and its rows go to the next round, until no bin holds more than
+    ``edge_rows``.  Only those are sorted, so a source with a third of all rows is never sorted or summed in one task,
+    whatever the qualities.
     """
-    rows = keyed.select("_src", "_size", "_rank", "doc_id", "_tie")
-    sizes = settle(rows.groupBy("_src").agg(F.sum("_size").alias("source_size")), "mix-sizes")
+    p = params
+    made: list[DataFrame] = []
+
+    def keep(df: DataFrame, tag: str) -> DataFrame:
+        made.append(settle(df, tag))
+        return made[-1]
+
+    sizes = keep(keyed.groupBy("_src").agg(F.sum("_size").alias("source_size"), F.min("_rank").alias("lo"), F.max("_rank").alias("hi")), "mix-sizes")
     count = sizes.count()
-    cuts = settle(source_targets(sizes, params), "mix-targets")
-    top = F.shiftright(F.col("_rank"), _BITS - _DIGIT)
-    one = settle(_crossing(rows, cuts, top).withColumnsRenamed({"digit": "d1", "before": "b1"}), "mix-one")
-    small = bounded_broadcast(one, count, params.broadcast_sources)
-    inner = rows.join(small.select("_src", "d1"), "_src").where(top == F.col("d1")).drop("d1")
-    low = F.shiftright(F.col("_rank"), _BITS - 2 * _DIGIT)
-    lower = one.select("_src", F.col("rest").alias("whole"), (F.col("rest") - F.coalesce("b1", F.lit(0))).alias("rest"), "d1", "source_size", "target", "epochs")
-    two = settle(_crossing(inner, lower, low).withColumnsRenamed({"digit": "d2", "before": "b2"}), "mix-two")
-    small = bounded_broadcast(two, count, params.broadcast_sources)
-    edge = rows.join(small.select("_src", "d2", (F.col("rest") - F.coalesce("b2", F.lit(0))).alias("left")), "_src").where(low == F.col("d2"))
+    targets = keep(source_targets(sizes, p, keep), "mix-targets")
+    cuts = targets.select("_src", "rest", "lo", (F.col("hi") - F.col("lo")).alias("width"))
+    rows, most, stuck = keyed.select("_src", "_size", "_rank", "doc_id", "_tie"), None, 0
+    while most is None or most > p.edge_rows and stuck < 3:
+        # The place in its bin range is monotone in the rank, so a row past a border by rounding falls into the last bin.
+        place = F.floor((F.col("_rank") - F.col("lo")) * (F.lit(float(_BINS)) / F.col("width")))
+        bin_ = F.when(F.col("width") > 0, F.least(F.greatest(place, F.lit(0)), F.lit(_BINS - 1))).otherwise(F.lit(0))
+        placed = rows.join(bounded_broadcast(cuts, count, p.broadcast_sources), "_src").withColumn("bin", bin_)
+        sums = placed.groupBy("_src", "bin").agg(F.sum("_size").alias("words"), F.count("*").alias("n"))
+        run = sums.withColumn("upto", F.sum("words").over(W.partitionBy("_src").orderBy("bin"))).join(cuts, "_src").where("upto > rest")
+        first = run.groupBy("_src").agg(F.min(F.struct("bin", (F.col("upto") - F.col("words")).alias("before"), "n", "rest", "lo", "width")).alias("b"))
+        step = F.col("b.width") / _BINS
+        cuts = keep(first.select("_src", F.col("b.bin").alias("at"), (F.col("b.rest") - F.col("b.before")).alias("rest"), F.col("b.n").alias("n"), F.col("b.lo").alias("old_lo"), F.col("b.width").alias("old_width"), (F.col("b.lo") + F.col("b.bin") * step).alias("lo"), step.alias("width")), "mix-cuts")
+        largest = cuts.agg(F.max("n")).first()[0] or 0
+        stuck = stuck + 1 if largest == most else 0
+        most = largest
+        chosen = bounded_broadcast(cuts.select("_src", "at", F.col("old_lo").alias("lo"), F.col("old_width").alias("width")), count, p.broadcast_sources)
+        rows = keep(rows.join(chosen, "_src").withColumn("bin", bin_).where("bin = at").select("_src", "_size", "_rank", "doc_id", "_tie"), "mix-rows")
+        cuts = cuts.select("_src", "rest", "lo", "width")
+    edge = rows.join(bounded_broadcast(cuts.select("_src", F.col("rest").alias("left")), count, p.broadcast_sources), "_src")
     edge = edge.groupBy("_src", "left", "_rank", "doc_id", "_tie").agg(F.sum("_size").alias("words"), F.count("*").alias("equal"))
     exact = W.partitionBy("_src").orderBy("_rank", "doc_id", "_tie").rowsBetween(W.unboundedPreceding, -1)
     edge = edge.withColumn("before", F.coalesce(F.sum("words").over(exact), F.lit(0))).where("before + words > left AND before <= left")
     last = edge.select("_src", F.struct("_rank", "doc_id", "_tie").alias("last"), F.floor((F.col("left") - F.col("before")) / F.col("equal")).cast("long").alias("part"))
-    out = two.select("_src", "source_size", "target", "epochs").join(last, "_src", "left")
-    return settle(out, "mix-plan"), count
+    out = settle(targets.select("_src", "source_size", "target", "epochs").join(last, "_src", "left"), "mix-plan")
+    discard(*made)
+    return out, count
 
 
 def apply_plan(keyed: DataFrame, plan: DataFrame, count: int, params: MixParams = MixParams()) -> DataFrame:
@@ -127,7 +161,8 @@ def mix_sources(docs: DataFrame, params: MixParams = MixParams(), quality: Colum
     Returns ``doc_id, size, source_size, target, taken``, one row per input row.  Complete epochs come first; the
     rest is an Efraimidis-Spirakis sample without replacement by document quality, whose last document is taken in
     part.  Null and empty texts have size 0; a null source is a source of its own, the last in order; equal rows
-    share their fate; an empty table gives none.  No document is taken more than twice by default.
+    share their fate; equal ranks (ties) go by doc_id, then by the text's digest; a text of any length counts whole; an
+    empty table gives none.  No document is taken more than twice by default.
     """
     keyed = with_keys(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source"), quality)
     keyed = settle(keyed.select("doc_id", "_src", "_size", "_rank", "_tie"), "mix-keyed")
@@ -139,18 +174,18 @@ def mix_sources(docs: DataFrame, params: MixParams = MixParams(), quality: Colum
 def repeat_documents(docs: DataFrame, params: MixParams = MixParams(), quality: Column | None = None) -> DataFrame:
     """The mix itself: each document as often as it is taken, with its own columns; texts are not shuffled.
 
-    The document that a source takes in part keeps that many first words, joined by one space.
+    Documents stay whole: the one that a source would take in part is taken once more if that part is at least half of
+    it.
     """
     row = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "source")
     keyed = with_keys(row, quality)
-    plan, count = mixing_plan(settle(keyed.select("doc_id", "_src", "_size", "_rank", "_tie"), "mix-keyed"), params)
+    small = settle(keyed.select("doc_id", "_src", "_size", "_rank", "_tie"), "mix-keyed")
+    plan, count = mixing_plan(small, params)
+    discard(small)
     out = apply_plan(keyed, plan, count, params)
-    cut = F.array_join(F.slice(F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD), F.lit(0)), F.lit(1), F.greatest("extra", F.lit(1)).cast("int")), " ")
-    whole = F.array_repeat(F.struct(F.col("text").alias("text"), F.lit(False).alias("cut")), F.col("times").cast("int"))
-    part = F.when(F.col("extra") > 0, F.array(F.struct(cut.alias("text"), F.lit(True).alias("cut"))))
-    out = out.withColumn("_copy", F.explode(F.concat(whole, F.coalesce(part, F.array().cast("array<struct<text:string,cut:boolean>>")))))
-    made = {"text": F.col("_copy.text"), "n_chars": F.when(F.col("_copy.cut"), F.length("_copy.text").cast("long")).otherwise(F.col("_row.n_chars")) if "n_chars" in docs.columns else None}
-    return out.select(*[made.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
+    times = F.col("times") + F.when((F.col("extra") > 0) & (2 * F.col("extra") >= F.col("_size")), 1).otherwise(0)
+    out = out.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times.cast("int"))))
+    return out.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 ORACLE = """
@@ -160,10 +195,10 @@ WITH d AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS src,
     CAST(len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, md5(t) AS tie,
     CASE WHEN j < 0.01 THEN 1.0 WHEN j < 0.05 THEN 0.5 ELSE 0.25 END::DOUBLE AS w,
-    (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT)::DOUBLE + 0.5) / 281474976710656.0::DOUBLE AS u
+    (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), md5(t))), 1, 12) AS BIGINT)::DOUBLE + 0.5) / 281474976710656.0::DOUBLE AS u
   FROM (SELECT *, len(regexp_extract_all(t, '[#$%&*!|~^<>{}=\\\\]'))::DOUBLE / greatest(length(t), 1) AS j FROM d)
 ), r AS (
-  SELECT doc_id, src, size, tie, CAST(floor((1.0::DOUBLE - pow(u, 1.0::DOUBLE / w)) * 1125899906842624.0::DOUBLE) AS BIGINT) AS rank FROM k
+  SELECT doc_id, src, size, tie, -ln(u) / w AS rank FROM k
 ), s AS (
   SELECT src, CAST(sum(size) AS BIGINT) AS source_size FROM r GROUP BY src
 ), s1 AS (
