@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import bisect
 import struct
 import zlib
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,6 +36,26 @@ SIGNATURES: tuple[tuple[bytes, int, str], ...] = (
 )
 
 
+# Marks by which validators find the end of a file.
+MARKS = (b"%%EOF", b"startxref", b"PK\x05\x06")
+
+
+@dataclass
+class Cell:
+    """A binary value, the places of each of ``MARKS`` in order, and what validators learnt of it."""
+
+    data: bytes
+    marks: dict[bytes, list[int]] = field(default_factory=lambda: {m: [] for m in MARKS})
+    pages: dict[int, int | None] = field(default_factory=dict)
+    archives: dict[int, int] | None = None
+
+    def after(self, mark: bytes, at: int) -> int | None:
+        """The first place of ``mark`` from ``at`` on."""
+        places = self.marks[mark]
+        k = bisect.bisect_left(places, at)
+        return places[k] if k < len(places) else None
+
+
 def _riff(data: bytes, at: int, form: bytes) -> int | None:
     """End of a RIFF file whose chunks tile its declared length."""
     if data[at : at + 4] != b"RIFF" or data[at + 8 : at + 12] != form:
@@ -125,8 +146,42 @@ def _bmp(data: bytes, at: int) -> int | None:
     return at + size if offset + rows <= size and at + size <= len(data) else None
 
 
+def _crc_table(bits: int, poly: int) -> list[int]:
+    table = []
+    for value in range(256):
+        value <<= bits - 8
+        for _ in range(8):
+            value = (value << 1) ^ (poly if value >> (bits - 1) & 1 else 0)
+        table.append(value & ((1 << bits) - 1))
+    return table
+
+
+# The generators of FLAC's header and frame checks.
+_CRC8, _CRC16 = _crc_table(8, 0x07), _crc_table(16, 0x8005)
+
+
+def _flac_header(data: bytes, at: int) -> tuple[int, int] | None:
+    """End and block size of the frame header at ``at``, if its check holds."""
+    if at + 6 > len(data) or data[at] != 0xFF or data[at + 1] & 0xFE != 0xF8 or data[at + 3] & 1:
+        return None
+    code, rate = data[at + 2] >> 4, data[at + 2] & 15
+    lead = data[at + 4]
+    pos = at + 5 + (0 if lead < 0x80 else 1 if lead < 0xE0 else 2 if lead < 0xF0 else 3 if lead < 0xF8 else 4 if lead < 0xFC else 5 if lead < 0xFE else 6)
+    extra = {6: 1, 7: 2}.get(code, 0)
+    size = int.from_bytes(data[pos : pos + extra], "big") + 1 if extra else 192 if code == 1 else 576 << (code - 2) if 2 <= code <= 5 else 256 << (code - 8) if code >= 8 else 0
+    pos += extra + {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    if not code or rate == 15 or pos >= len(data):
+        return None
+    check = 0
+    for byte in data[at:pos]:
+        check = _CRC8[check ^ byte]
+    return (pos + 1, size) if check == data[pos] else None
+
+
 def _flac(data: bytes, at: int) -> int | None:
-    pos, last, first = at + 4, False, True
+    """The end of the last frame: metadata blocks tile, frames follow each other with right checks, and together they
+    hold the samples that the first block states (where it states them)."""
+    pos, last, first, samples, least = at + 4, False, True, 0, 0
     while not last:
         if pos + 4 > len(data):
             return None
@@ -134,17 +189,44 @@ def _flac(data: bytes, at: int) -> int | None:
         last, kind, size = bool(head >> 31), head >> 24 & 127, head & 0xFFFFFF
         if (first and (kind, size) != (0, 34)) or pos + 4 + size > len(data):
             return None
+        if first:
+            least, samples = int.from_bytes(data[pos + 8 : pos + 11], "big"), int.from_bytes(data[pos + 17 : pos + 22], "big") & 0xFFFFFFFFF
         pos, first = pos + 4 + size, False
-    return len(data) if data[pos : pos + 1] == b"\xff" else None
+    held, header = 0, _flac_header(data, pos)
+    while header:
+        begin, (end, size) = pos, header
+        held, check, pos, header = held + size, 0, 0, None
+        for k in range(begin, len(data)):
+            check = (check << 8 & 0xFF00) ^ _CRC16[check >> 8 ^ data[k]]
+            if check == 0 and k + 1 > end + 2 and k + 1 - begin >= least:
+                following = _flac_header(data, k + 1)
+                if following if samples and held < samples else following or not samples or held >= samples:
+                    pos, header = k + 1, None if samples and held >= samples else following
+                    break
+        if not pos:
+            return None
+    return pos if held and held >= samples else None
 
 
-def _ogg(data: bytes, at: int) -> int | None:
-    pos, ended = at, False
-    while not ended and data[pos : pos + 5] == b"OggS\0" and pos + 27 <= len(data):
+def _ogg(cell: Cell, at: int) -> int | None:
+    """The end of the page that ends the stream which begins at ``at``; the walk from a page is remembered."""
+    data, pos, walked = cell.data, at, []
+    if data[at + 5 : at + 6] and not data[at + 5] & 2:
+        return None
+    end: int | None = None
+    while data[pos : pos + 5] == b"OggS\0" and pos + 27 <= len(data):
+        if pos in cell.pages:
+            end = cell.pages[pos]
+            break
+        walked.append(pos)
         count = data[pos + 26]
-        ended = bool(data[pos + 5] & 4)
-        pos += 27 + count + sum(data[pos + 27 : pos + 27 + count])
-    return pos if ended and pos <= len(data) else None
+        stop = pos + 27 + count + sum(data[pos + 27 : pos + 27 + count])
+        if data[pos + 5] & 4:
+            end = stop if stop <= len(data) else None
+            break
+        pos = stop
+    cell.pages.update(dict.fromkeys(walked, end))
+    return end
 
 
 def _au(data: bytes, at: int) -> int | None:
@@ -169,6 +251,9 @@ def _mp4(data: bytes, at: int) -> int | None:
     pos, kinds = at, []
     while pos + 8 <= len(data):
         size, kind = struct.unpack_from(">I4s", data, pos)
+        if size == 1 and pos + 16 <= len(data):
+            size = struct.unpack_from(">Q", data, pos + 8)[0]
+            size = size if size >= 16 else 0
         if size < 8 or pos + size > len(data) or not kind.isalnum():
             break
         kinds.append(kind)
@@ -176,74 +261,89 @@ def _mp4(data: bytes, at: int) -> int | None:
     return pos if kinds[:1] == [b"ftyp"] and (b"moov" in kinds or b"mdat" in kinds) else None
 
 
-def _pdf(data: bytes, at: int) -> int | None:
-    end = data.find(b"%%EOF", at)
-    return end + 5 if end >= 0 and data.find(b"startxref", at, end) >= 0 and data[at + 5 : at + 6].isdigit() else None
+def _pdf(cell: Cell, at: int) -> int | None:
+    end, table = cell.after(b"%%EOF", at), cell.after(b"startxref", at)
+    return end + 5 if end is not None and table is not None and table < end and cell.data[at + 5 : at + 6].isdigit() else None
 
 
-def _zip(data: bytes, at: int) -> int | None:
-    end = data.find(b"PK\x05\x06", at)
-    if end < 0 or end + 22 > len(data):
-        return None
-    size, offset, note = struct.unpack_from("<IIH", data, end + 12)
-    return end + 22 + note if at + offset + size == end and end + 22 + note <= len(data) else None
+def _zip(cell: Cell, at: int) -> int | None:
+    """The end of the archive whose directory says that it begins at ``at``."""
+    if cell.archives is None:
+        cell.archives = {}
+        for end in cell.marks[b"PK\x05\x06"]:
+            if end + 22 <= len(cell.data):
+                size, offset, note = struct.unpack_from("<IIH", cell.data, end + 12)
+                if end + 22 + note <= len(cell.data):
+                    cell.archives.setdefault(end - size - offset, end + 22 + note)
+    return cell.archives.get(at)
 
 
 def _gzip(data: bytes, at: int) -> int | None:
-    stream = zlib.decompressobj(31)
+    stream, view, pos = zlib.decompressobj(31), memoryview(data), at
     try:
-        rest = data[at:]
-        while rest and not stream.eof:
-            stream.decompress(rest, 1 << 20)
-            rest = stream.unconsumed_tail
+        while not stream.eof and pos < len(data):
+            rest, pos = view[pos : pos + 65536], min(pos + 65536, len(data))
+            while rest and not stream.eof:
+                stream.decompress(rest, 1 << 20)
+                rest = stream.unconsumed_tail
     except zlib.error:
         return None
-    return len(data) - len(stream.unused_data) if stream.eof else None
-
-
-VALIDATORS: dict[str, Callable[[bytes, int], int | None]] = {
-    "image/png": _png,
-    "image/jpeg": _jpeg,
-    "image/gif": _gif,
-    "image/bmp": _bmp,
-    "image/webp": lambda d, a: _riff(d, a, b"WEBP"),
-    "audio/wav": lambda d, a: _riff(d, a, b"WAVE"),
-    "video/x-msvideo": lambda d, a: _riff(d, a, b"AVI "),
-    "audio/flac": _flac,
+    return pos - len(stream.unused_data) if stream.eof else None
+
+
+def _plain(check: Callable[..., int | None], *more) -> Callable[[Cell, int], int | None]:
+    return lambda cell, at: check(cell.data, at, *more)
+
+
+VALIDATORS: dict[str, Callable[[Cell, int], int | None]] = {
+    "image/png": _plain(_png),
+    "image/jpeg": _plain(_jpeg),
+    "image/gif": _plain(_gif),
+    "image/bmp": _plain(_bmp),
+    "image/webp": _plain(_riff, b"WEBP"),
+    "audio/wav": _plain(_riff, b"WAVE"),
+    "video/x-msvideo": _plain(_riff, b"AVI "),
+    "audio/flac": _plain(_flac),
     "audio/ogg": _ogg,
-    "audio/basic": _au,
-    "audio/midi": _midi,
-    "video/mp4": _mp4,
+    "audio/basic": _plain(_au),
+    "audio/midi": _plain(_midi),
+    "video/mp4": _plain(_mp4),
     "application/pdf": _pdf,
     "application/zip": _zip,
-    "application/gzip": _gzip,
+    "application/gzip": _plain(_gzip),
 }
 
 
 def automaton():
-    """Aho-Corasick over all magic bytes; bytes stand as the characters of the same number."""
+    """Aho-Corasick over all magic bytes and marks; bytes stand as the characters of the same number."""
     import ahocorasick
 
     out = ahocorasick.Automaton()
     for magic, back, kind in SIGNATURES:
         out.add_word(magic.decode("latin-1"), (len(magic), back, kind))
+    for mark in MARKS:
+        out.add_word(mark.decode("latin-1"), (len(mark), 0, mark))
     out.make_automaton()
     return out
 
 
 def sniff(data: bytes, machine) -> list[tuple[str, int, int]]:
     """Every confirmed medium in ``data`` as (type, start, end), by start; one that fails its validator is none."""
-    found = []
+    cell, starts, found = Cell(data), [], set()
     for last, (size, back, kind) in machine.iter(data.decode("latin-1")):
         start = last + 1 - size - back
-        if start >= 0:
-            try:
-                end = VALIDATORS[kind](data, start)
-            except (struct.error, IndexError):
-                end = None
-            if end is not None:
-                found.append((kind, start, end))
-    return sorted(set(found), key=lambda x: (x[1], -x[2], x[0]))
+        if isinstance(kind, bytes):
+            cell.marks[kind].append(start)
+        elif start >= 0:
+            starts.append((kind, start))
+    for kind, start in starts:
+        try:
+            end = VALIDATORS[kind](cell, start)
+        except (struct.error, IndexError):
+            end = None
+        if end is not None:
+            found.add((kind, start, end))
+    return sorted(found, key=lambda x: (x[1], -x[2], x[0]))
 
 
 def wav_bytes(payload: bytes, rate: int = 8000) -> bytes:
@@ -276,6 +376,7 @@ def text_media(docs: DataFrame, params: MediaParams = MediaParams()) -> DataFram
     """Store each text of ``docs(doc_id, text, ...)`` as a medium: ``doc_id, n_bytes, declared, media``.
 
     The payload is the text in UTF-8 (null: empty), followed by zero bytes up to a positive multiple of ``block``.
+    Repeated rows each get a medium; other columns are ignored; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,7 +401,9 @@ def sniff_media(table: DataFrame, media: str = "media", declared: str = "declare
     ``corrected`` (whether that differs from ``declared``), ``payload`` (a WAV file's samples, else the medium),
     ``rate, bits`` (of samples) and ``parts``: every confirmed medium inside, by start, as byte ranges to carve.
 
-    Null and empty cells have no parts; repeated rows each get a row; magic bytes without the structure and lengths
+    Null and empty cells have no parts; repeated rows each get a row; cells of any length are read whole; parts that begin
+    together (ties) go by length, longest first, then type; an empty table gives no rows; columns of the added names are
+    replaced; magic bytes without the structure and lengths
     of their format count for nothing.  ``finish`` maps output batches inside the task, for callers that keep only
     digests of the payload.
     """
