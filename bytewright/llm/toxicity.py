@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import map_arrow
-from .common import settle
+from .common import discard, settle
 from .textkit import slices
 
 # Terms of abuse that are known without any label.
@@ -142,8 +142,7 @@ class Scorer:
     def _hit(self, word: str) -> int:
         found = self.known.get(word)
         if found is None:
-            core = _CORE.sub("", word).lower()
-            match = self.trie.match(core) if len(core) < 64 else None
+            match = self._match(_CORE.sub("", word).lower())
             found = 0
             if match:
                 found = len(self.hits)
@@ -151,6 +150,14 @@ class Scorer:
             self.known[word] = found
         return found
 
+    def _match(self, core: str) -> tuple[str, int] | None:
+        """The term that a word of any length is; else the nearest one that a run of letters in it is."""
+        match = self.trie.match(core)
+        if match or core.isalpha():
+            return match
+        inner = [m for m in map(self.trie.match, _LETTERS.findall(core)) if m]
+        return min(inner, key=lambda m: m[1], default=None)
+
     def _context(self, words: list[str], k: int) -> tuple[float, bool]:
         """How much of the weight of word ``k`` counts, and whether it stands in a quotation."""
         w = self.p.window
@@ -203,7 +210,7 @@ def _class_counts(p: ToxicityParams):
         for batch in batches:
             counts: Counter = Counter()
             for text, toxic in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                seen = {w for w in _LETTERS.findall((text or "").lower()) if len(w) <= 40}
+                seen = set(_LETTERS.findall((text or "").lower()))
                 terms = {(w, False) for w in seen if len(w) >= 3} | {(w[:k], True) for w in seen for k in p.stem_lengths if len(w) > k}
                 counts.update((t, s, toxic) for t, s in terms)
             # A term no toxic document holds cannot be learnt, but one batch does not know that.
@@ -243,8 +250,8 @@ def learn_lexicon(train: DataFrame, p: ToxicityParams) -> dict[str, tuple[float,
             continue
         if not any(stem.startswith(k) for k in kept):
             kept[stem] = (weight(r), True)
-    terms |= {w: (weight(r), False) for w, r in whole.items() if not any(w.startswith(k) for k in kept)}
-    return terms | kept
+    # Words that a stem covers stay as well: within one edit only whole words match.
+    return terms | {w: (weight(r), False) for w, r in whole.items()} | kept
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 30) -> np.ndarray:
@@ -289,16 +296,22 @@ def held_out(column: str = "doc_id"):
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityParams()) -> ToxicityModel:
-    """Learn lexicon and weights from the labelled rows that are not held out, at most ``fit_rows`` of them."""
+    """Learn lexicon and weights from the labelled rows that are not held out, at most ``fit_rows`` of them.
+
+    Of an id that is repeated with several texts the least text is fitted; a label that is stated twice counts as 1 if
+    either does.
+    """
     p = params
     sample = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     sample = sample.where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.fit_rows)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # fit_rows bounds the broadcast side.
-    train = settle(rows.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic"), "tox-train")
+    train = rows.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    train = settle(train.select("doc_id", "text", "toxic"), "tox-train")
     terms = learn_lexicon(train, p)
     schema = "toxic int, " + ", ".join(f"f{c} double" for c in range(FEATURES))
-    table = map_arrow(train, _numbers(terms, p), schema).limit(2 * p.fit_rows).toArrow()
+    table = map_arrow(train, _numbers(terms, p), schema).toArrow()
+    discard(train)
     y = table.column("toxic").to_numpy().astype(float)
     x = np.stack([table.column(f"f{c}").to_numpy() for c in range(FEATURES)], axis=1) if len(y) else np.zeros((0, FEATURES))
     weights = fit_logistic(x, y) if len(y) >= 50 and 0 < y.sum() < len(y) else DEFAULT_WEIGHTS
@@ -310,7 +323,9 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     A term is matched whole or within one edit, a stem at the beginning of a word; a hit counts less inside a
     quotation or after a reporting word and more beside words of address.  Only the text is read.  Null and empty
-    texts get the score of a text without hits; repeated rows each get theirs; other columns pass through.
+    texts get the score of a text without hits; repeated rows each get theirs; words and texts of any length are read
+    whole; of equally near terms (ties) the first in order counts; an empty table gives no rows; other columns pass
+    through, but for ``score`` and ``predicted``, which are replaced.
     """
     terms, weights, p = model.terms, model.weights, model.params
     for name in ("score", "predicted"):
