@@ -13,14 +13,13 @@ from pyspark.sql import functions as F
 
 from ..runtime import map_arrow
 from .common import discard, settle
-from .textkit import U, gram_hashes, slices, text_buffers, word_hashes, word_spans
+from .textkit import U, gram_hashes, mix, slices, text_buffers, word_hashes, word_spans
 
 
 @dataclass(frozen=True)
 class PassageParams:
-    """A passage is ``window`` words.  Anchors are phrases of ``phrase`` words: of every window - phrase + 1 that
-    follow each other the one with the least hash, so each window holds at least one, the same in every document.
-    ``shard_bytes`` of text share an automaton."""
+    """A passage is ``window`` words.  Its anchor is the phrase of ``phrase`` words in it that has the least hash (the first
+    of equal ones), the same in every document.  ``shard_bytes`` of text share an automaton."""
 
     window: int = 50
     phrase: int = 8
@@ -31,165 +30,191 @@ class PassageParams:
         return self.window - self.phrase + 1
 
 
-def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
-    """Least value of each run of ``width``, by doubling."""
-    out, have = values, 1
+def _first_least(values: np.ndarray, width: int) -> np.ndarray:
+    """Place of the first least value of each run of ``width``, by doubling."""
+    out, have = np.arange(len(values)), 1
     while have < width:
         step = min(have, width - have)
-        out = np.minimum(out[: len(out) - step], out[step:])
+        left, right = out[: len(out) - step], out[step:]
+        out = np.where(values[right] < values[left], right, left)
         have += step
     return out
 
 
-def anchors(hashes: np.ndarray, bounds: np.ndarray, p: PassageParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word positions of the anchors of all rows (a row shorter than a window has none), the phrase hash at each
-    word, and the least one of the window that starts at each word."""
-    if len(hashes) < p.window:
-        return np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, U)
-    grams = gram_hashes(hashes, p.phrase, seed=9)
-    least = _sliding_min(grams, p.run)
-    inside = np.zeros(len(hashes) + 1, dtype=np.int64)
-    counts = np.diff(bounds)
-    long = np.flatnonzero(counts >= p.window)
-    np.add.at(inside, bounds[long], 1)
-    np.add.at(inside, bounds[long + 1] - p.window + 1, -1)
-    windows = np.flatnonzero(np.cumsum(inside)[: len(least)])
-    low = np.zeros(len(grams), dtype=U)
-    low[windows] = least[windows]
-    # A gram is an anchor if the largest needed minimum over the windows that cover it equals it.
-    padded = np.concatenate([np.zeros(p.run - 1, U), low])
-    highest = ~_sliding_min(~padded, p.run)
-    at = np.flatnonzero(highest == grams)
-    # A window's minimum may equal a gram that crosses into the next row; that is none.
-    row = np.repeat(np.arange(len(counts)), counts)
-    return at[row[at] == row[at + p.phrase - 1]], grams, least
-
-
-def _texts(batch_text: pa.Array, i: int, j: int):
-    data, offsets = text_buffers(batch_text.slice(i, j - i))
-    starts, ends, bounds = word_spans(data, offsets)
-    return data, starts, ends, bounds
+@dataclass
+class Words:
+    """The words of some rows, joined by single spaces: ``joined`` has one before the first and after each word."""
 
+    joined: bytes
+    begin: np.ndarray
+    bounds: np.ndarray
+    hashes: np.ndarray
 
-def _phrase_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: int, k: int) -> bytes:
-    return b" ".join(data[starts[w] : ends[w]].tobytes() for w in range(at, at + k))
+    def text(self, lo: int, hi: int) -> bytes:
+        return self.joined[self.begin[lo] : self.begin[hi] - 1] if lo < hi else b""
+
+
+def words_of(column: pa.Array) -> Words:
+    data, offsets = text_buffers(column)
+    starts, ends, bounds = word_spans(data, offsets)
+    sizes = ends - starts
+    begin = np.concatenate([[1], 1 + np.cumsum(sizes + 1)])
+    narrow = np.int32 if len(data) < 1 << 30 else np.int64
+    source = np.repeat((starts - begin[:-1]).astype(narrow), sizes + 1) + np.arange(1, begin[-1], dtype=narrow)
+    padded = np.append(data, np.uint8(32))
+    joined = np.full(int(begin[-1]), 32, np.uint8)
+    joined[1:] = padded[source]
+    joined[begin[1:] - 1] = 32
+    return Words(joined.tobytes(), begin, bounds, word_hashes(data, starts, ends))
+
+
+def segments(words: Words, p: PassageParams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows of one row that have the same anchor: first window, number of windows, the anchor's place and
+    its hash.  Windows never cross rows; a row shorter than a window has none."""
+    none = np.zeros(0, np.int64)
+    if len(words.hashes) < p.window:
+        return none, none, none, np.zeros(0, U)
+    grams = gram_hashes(words.hashes, p.phrase, seed=9)
+    inside = np.zeros(len(words.hashes) + 1, dtype=np.int64)
+    long = np.flatnonzero(np.diff(words.bounds) >= p.window)
+    np.add.at(inside, words.bounds[long], 1)
+    np.add.at(inside, words.bounds[long + 1] - p.window + 1, -1)
+    windows = np.flatnonzero(np.cumsum(inside)[: len(grams) - p.run + 1])
+    if not len(windows):
+        return none, none, none, np.zeros(0, U)
+    anchor = _first_least(grams, p.run)[windows]
+    new = np.ones(len(windows), bool)
+    new[1:] = (anchor[1:] != anchor[:-1]) | (windows[1:] != windows[:-1] + 1)
+    first = np.flatnonzero(new)
+    return windows[first], np.diff(np.append(first, len(windows))), anchor[first], grams[anchor[first]]
+
+
+def _digest(text: bytes) -> bytes:
+    return hashlib.blake2b(text, digest_size=16).digest()
+
+
+def _rows(words: Words, places: np.ndarray) -> np.ndarray:
+    return np.searchsorted(words.bounds, places, side="right") - 1
 
 
 def _find_anchors(p: PassageParams):
-    """Per document its anchor phrases, and what its result is if nothing is removed."""
+    """Per document the hashes of its anchors, and the digest of all its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, tags = batch.column(0), batch.column(2)
             for i, j in slices(batch.column(1), 1 << 20):
-                data, starts, ends, bounds = _texts(batch.column(1), i, j)
-                at, _, _ = anchors(word_hashes(data, starts, ends), bounds, p)
-                row = np.searchsorted(bounds, at, side="right") - 1
-                phrases = [_phrase_bytes(data, starts, ends, a, p.phrase) for a in at.tolist()]
-                steps = np.searchsorted(row, np.arange(j - i + 1)).astype(np.int32)
-                whole = [hashlib.sha256(_kept(data, starts, ends, bounds[q], bounds[q + 1], None)).hexdigest() for q in range(j - i)]
+                words = words_of(batch.column(1).slice(i, j - i))
+                at, _, _, hashes = segments(words, p)
+                steps = np.searchsorted(_rows(words, at), np.arange(j - i + 1)).astype(np.int32)
+                whole = [hashlib.sha256(words.text(a, b)).digest() for a, b in zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, j - i), tags.slice(i, j - i), pa.array(np.diff(bounds)), pa.array(whole), pa.ListArray.from_arrays(pa.array(steps), pa.array(phrases, pa.binary()))],
-                    names=["doc_id", "tag", "n_words", "whole_sha256", "phrases"],
+                    [batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(np.diff(words.bounds)), pa.array(whole, pa.binary()), pa.ListArray.from_arrays(pa.array(steps), pa.array(hashes.view(np.int64)))],
+                    names=["doc_id", "tag", "n_words", "whole", "phrases"],
                 )
 
     return run
 
 
-def _kept(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lo: int, hi: int, gone: np.ndarray | None) -> bytes:
-    """The remaining words lo..hi of a row joined by one space."""
-    if lo == hi:
-        return b""
-    raw = data[starts[lo] : ends[hi - 1]]
-    keep = np.zeros(len(raw) + 1, dtype=np.int64)
-    s, e = starts[lo:hi] - starts[lo], ends[lo:hi] - starts[lo]
-    if gone is not None:
-        s, e = s[~gone], e[~gone]
-        if not len(s):
-            return b""
-    # Keep each word and the byte after it, which becomes the space.
-    np.add.at(keep, s, 1)
-    np.add.at(keep, np.minimum(e + 1, len(raw)), -1)
-    mask = np.cumsum(keep)[:-1] > 0
-    out = raw.copy()
-    out[e[e < len(raw)]] = 32
-    return out[mask].tobytes().removesuffix(b" ")
-
-
-def _batched(batch: pa.RecordBatch, column: int, limit: int):
-    for i, j in slices(batch.column(column), limit):
-        yield batch.slice(i, j - i)
-
-
 def _locate(p: PassageParams):
-    """Compile the repeated phrases of a shard of documents and stream the documents through the automaton.
+    """Compile the recurring phrases of a shard of documents and stream the documents through the automaton.
 
-    Emits the hash of each window whose anchor is a repeated phrase.
+    Emits the runs of windows whose anchor was located, with the digest of their text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
         for batch in batches:
-            for part in _batched(batch, 1, p.shard_bytes):
+            for i, j in slices(batch.column(1), p.shard_bytes):
+                part = batch.slice(i, j - i)
+                words = words_of(part.column(1))
+                at, count, anchor, hashes = segments(words, p)
+                row = _rows(words, at)
+                known, lists = part.column(3).flatten().to_numpy(), part.column(3).offsets.to_numpy()
+                owner = np.repeat(np.arange(j - i), np.diff(lists))
+                wanted = np.isin(_keyed(hashes, row), _keyed(known.view(U), owner))
+                at, count, anchor, hashes, row = (x[wanted] for x in (at, count, anchor, hashes, row))
+                if not len(at):
+                    continue
                 machine = ahocorasick.Automaton()
-                for phrase in part.column(3).flatten().unique().to_pylist():
-                    text = phrase.decode("latin-1")
-                    machine.add_word(f" {text} ", len(text) + 2)
+                for phrase in {words.text(a, a + p.phrase) for a in anchor.tolist()}:
+                    machine.add_word(f" {phrase.decode('latin-1')} ", len(phrase) + 2)
                 machine.make_automaton()
-                data, starts, ends, bounds = _texts(part.column(1), 0, part.num_rows)
-                hashes = word_hashes(data, starts, ends)
-                _, grams, least = anchors(hashes, bounds, p)
-                hashed = gram_hashes(hashes, p.window, seed=50)
-                for q, (doc, tag) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist())):
-                    lo, hi = int(bounds[q]), int(bounds[q + 1])
-                    if hi - lo < p.window or not len(machine):
-                        continue
-                    joined = b" " + _kept(data, starts, ends, lo, hi, None) + b" "
-                    # Words start one byte after each space of the joined text.
-                    begin = np.concatenate([[0], np.cumsum(ends[lo:hi] - starts[lo:hi] + 1)])
-                    found = [last + 1 - size for last, size in machine.iter(joined.decode("latin-1"))]
-                    hit = np.searchsorted(begin, np.unique(np.array(found, dtype=np.int64)))
-                    # A window can repeat elsewhere only if its own anchor, the least phrase in it, does.
-                    at = np.flatnonzero(np.isin(least[lo : hi - p.window + 1], grams[lo + hit]))
-                    if len(at):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(hashed[lo + at].view(np.int64)), pa.array(np.full(len(at), doc, dtype=np.int64)), pa.array(np.full(len(at), tag, dtype=np.int64)), pa.array(at.astype(np.int32))],
-                            names=["hash", "doc_id", "tag", "at"],
-                        )
+                found = np.fromiter((last + 2 - size for last, size in machine.iter(words.joined.decode("latin-1"))), np.int64)
+                seen = np.isin(words.begin[anchor], found)
+                at, count, hashes, row = (x[seen] for x in (at, count, hashes, row))
+                digests = [_digest(words.text(a, a + n - 1 + p.window)) for a, n in zip(at.tolist(), count.tolist())]
+                picked = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(hashes.view(np.int64)), pa.array(digests, pa.binary()), part.column(0).take(picked), part.column(2).take(picked), pa.array((at - words.bounds[row]).astype(np.int32)), pa.array(count.astype(np.int32))],
+                    names=["phrase", "segment", "doc_id", "whole", "at", "n"],
+                )
 
     return run
 
 
-def covered(at: np.ndarray, words: int, window: int) -> np.ndarray:
-    """Which of a row's words the windows starting at ``at`` cover."""
-    edge = np.zeros(words + 1, dtype=np.int64)
-    at = at[at + window <= words]
-    np.add.at(edge, at, 1)
-    np.add.at(edge, at + window, -1)
-    return np.cumsum(edge)[:-1] > 0
+def _keyed(hashes: np.ndarray, row: np.ndarray) -> np.ndarray:
+    return mix(hashes + row.astype(U) * U(0x9E3779B97F4A7C15))
+
+
+def _windows(p: PassageParams):
+    """The digest of the text of each window in the given runs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j in slices(batch.column(1), 1 << 20):
+                part = batch.slice(i, j - i)
+                words = words_of(part.column(1))
+                row, at = _spans(part.column(3))
+                first = words.bounds[row] + at[0]
+                count = at[1]
+                every = np.repeat(first, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+                owner = np.repeat(row, count)
+                for s in range(0, len(every), 1 << 16):
+                    some, rows = every[s : s + (1 << 16)], owner[s : s + (1 << 16)]
+                    picked = pa.array(rows)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([_digest(words.text(w, w + p.window)) for w in some.tolist()], pa.binary()), part.column(0).take(picked), part.column(2).take(picked), pa.array((some - words.bounds[rows]).astype(np.int32))],
+                        names=["window", "doc_id", "whole", "at"],
+                    )
+
+    return run
+
+
+def _spans(column: pa.Array) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Row, first window and number of windows of all runs in a list column."""
+    row = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
+    flat = column.flatten()
+    return row, (flat.field(0).to_numpy().astype(np.int64), flat.field(1).to_numpy().astype(np.int64))
 
 
 def _remove(p: PassageParams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _batched(batch, 1, 1 << 20):
-                data, starts, ends, bounds = _texts(part.column(1), 0, part.num_rows)
-                removed, texts = [], []
-                for q in range(part.num_rows):
-                    lo, hi = int(bounds[q]), int(bounds[q + 1])
-                    gone = covered(part.column(3)[q].values.to_numpy(), hi - lo, p.window)
-                    removed.append(int(gone.sum()))
-                    texts.append(_kept(data, starts, ends, lo, hi, gone).decode())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(np.diff(bounds)), pa.array(removed, pa.int64()), pa.array(texts)], names=["doc_id", "tag", "n_words", "n_removed", "text"])
+            for i, j in slices(batch.column(1), 1 << 20):
+                part = batch.slice(i, j - i)
+                words = words_of(part.column(1))
+                row, (at, count) = _spans(part.column(3))
+                edge = np.zeros(len(words.hashes) + 1, dtype=np.int64)
+                np.add.at(edge, words.bounds[row] + at, 1)
+                np.add.at(edge, words.bounds[row] + at + count - 1 + p.window, -1)
+                gone = np.cumsum(edge)[:-1] > 0
+                raw = np.frombuffer(words.joined, np.uint8)[1:]
+                mask = np.repeat(~gone, np.diff(words.begin))
+                left = raw[mask].tobytes()
+                upto = np.concatenate([[0], np.cumsum(np.diff(words.begin) * ~gone)])[words.bounds]
+                texts = [left[a : b - 1].decode() if a < b else "" for a, b in zip(upto[:-1].tolist(), upto[1:].tolist())]
+                removed = np.concatenate([[0], np.cumsum(gone)])[words.bounds]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(np.diff(words.bounds)), pa.array(np.diff(removed)), pa.array(texts, pa.string())], names=["doc_id", "whole", "n_words", "n_removed", "text"])
 
     return run
 
 
 @dataclass
 class PassageResult:
-    """``cleaned``: ``doc_id, tag, n_words, n_removed, text`` of each document that loses words, its remaining words
-    joined by one space.  ``whole``: ``doc_id, tag, n_words, whole_sha256`` of every document as it came."""
+    """``cleaned``: ``doc_id, whole, n_words, n_removed, text`` of the first document of each word sequence, where it loses
+    words: its remaining words joined by one space.  ``whole``: ``doc_id, n_words, whole, copied`` of every row: the SHA-256
+    of its words, and whether a smaller doc_id has the same words, so that nothing is left of it."""
 
     cleaned: DataFrame
     whole: DataFrame
@@ -199,42 +224,65 @@ def remove_repeated_passages(docs: DataFrame, params: PassageParams = PassagePar
     """Remove each word that a window of ``window`` words covers which also starts in a document of smaller doc_id.
 
     Words are unchanged; windows are judged on the input.  Null and empty texts have no words; a null doc_id owns
-    nothing and loses nothing; rows that repeat a doc_id never take words from each other and each get a row; extra
-    columns are ignored.  ``tag`` tells rows of one doc_id apart by their text.
+    nothing and loses nothing; rows that repeat a doc_id never take words from each other and each get a row; texts of any
+    length are taken whole; an empty table gives no rows; extra columns are ignored.
 
-    Steps: anchor phrases (one pass) -> phrases of two documents or more, as text -> documents with such phrases,
-    each shard's phrases compiled to an automaton that its documents run through -> hashes of the windows whose
-    anchor was located -> smallest document of each hash -> covered words.  A phrase or passage that a third of all
-    documents share is summed map-side and joined with splitting; texts move only by doc_id, which is even.
+    Steps: anchors (one pass) -> of equal word sequences only the first document goes on -> anchors of two documents or
+    more -> the documents that hold them, each shard's phrases compiled to an automaton that its documents run through
+    -> runs of windows around a located anchor, by the digest of their text; all but the first document with a run lose
+    it -> where a phrase has different runs, their windows, by digest, from the first document of each run -> covered
+    words.  Phrase hashes only choose what is compared; what is removed is decided by 128-bit digests of the words.
+
+    A passage that a third of all documents share is one row an anchor and document, summed map-side and joined with
+    splitting; only documents with different surroundings are looked at window by window.
     """
     p = params
+    made: list[DataFrame] = []
+
+    def keep(df: DataFrame, tag: str) -> DataFrame:
+        made.append(settle(df, tag))
+        return made[-1]
+
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("tag", F.xxhash64("text"))
-    found = settle(map_arrow(rows, _find_anchors(p), "doc_id long, tag long, n_words long, whole_sha256 string, phrases array<binary>"), "pas-anchors")
-    uses = found.where("doc_id IS NOT NULL").select("doc_id", "tag", F.explode(F.array_distinct("phrases")).alias("phrase"))
-    repeated = uses.groupBy("phrase").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("phrase")
-    # The sides that hot phrases and windows are joined with are tables, so that AQE can split a hot partition.
-    repeated = settle(repeated, "pas-repeated")
-    per_doc = uses.join(repeated, "phrase").groupBy("doc_id", "tag").agg(F.collect_set("phrase").alias("phrases"))
-    shards = settle(rows.join(per_doc, ["doc_id", "tag"]).select("doc_id", "text", "tag", "phrases"), "pas-shards")
-    whole = settle(found.select("doc_id", "tag", "n_words", "whole_sha256"), "pas-whole")
-    discard(found)
-    windows = settle(map_arrow(shards, _locate(p), "hash long, doc_id long, tag long, at int"), "pas-windows")
-    owners = windows.groupBy("hash").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("hi")).where("owner < hi").select("hash", "owner")
-    owners = settle(owners, "pas-owners")
-    later = windows.join(owners, "hash").where("doc_id > owner").groupBy("doc_id", "tag").agg(F.collect_set("at").alias("at"))
-    cleaned = shards.join(later, ["doc_id", "tag"]).select("doc_id", "text", "tag", F.sort_array("at").alias("at"))
-    cleaned = settle(map_arrow(cleaned, _remove(p), "doc_id long, tag long, n_words long, n_removed long, text string"), "pas-cleaned")
-    for done in (windows, shards):
-        discard(done)
+    found = keep(map_arrow(rows, _find_anchors(p), "doc_id long, tag long, n_words long, whole binary, phrases array<long>"), "pas-anchors")
+    long = F.col("n_words") >= p.window
+    owners = keep(found.where(long & F.col("doc_id").isNotNull()).groupBy("whole").agg(F.min("doc_id").alias("owner")), "pas-owners")
+    whole = found.select("doc_id", "n_words", "whole").join(owners, "whole", "left")
+    whole = settle(whole.select("doc_id", "n_words", "whole", F.coalesce(F.col("doc_id") > F.col("owner"), F.lit(False)).alias("copied")), "pas-whole")
+    first = found.where(long).join(owners, "whole").where("doc_id = owner").select("doc_id", "whole", "tag", "phrases").dropDuplicates(["doc_id", "whole"])
+    uses = keep(first.select("doc_id", "whole", "tag", F.explode(F.array_distinct("phrases")).alias("phrase")), "pas-uses")
+    # The sides that hot phrases, runs and windows are joined with are tables, so that AQE can split a hot partition.
+    repeated = keep(uses.groupBy("phrase").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("phrase"), "pas-repeated")
+    per_doc = uses.join(repeated, "phrase").groupBy("doc_id", "whole", "tag").agg(F.collect_list("phrase").alias("phrases"))
+    shards = keep(rows.join(per_doc, ["doc_id", "tag"]).select("doc_id", "text", "whole", "phrases").dropDuplicates(["doc_id", "whole"]), "pas-shards")
+
+    runs = keep(map_arrow(shards, _locate(p), "phrase long, segment binary, doc_id long, whole binary, at int, n int"), "pas-runs")
+    firsts = keep(runs.groupBy("phrase", "segment").agg(F.min("doc_id").alias("owner")), "pas-firsts")
+    differ = keep(firsts.groupBy("phrase").agg(F.min("owner").alias("lo"), F.max("owner").alias("hi"), F.count("*").alias("c")).where("c > 1 AND lo < hi").select("phrase"), "pas-differ")
+    judged = runs.join(firsts, ["phrase", "segment"])
+    later = judged.where("doc_id > owner").select("doc_id", "whole", F.struct("at", "n").alias("span"))
+    checked = judged.where("doc_id = owner").join(differ, "phrase").groupBy("doc_id", "whole").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
+    checked = shards.select("doc_id", "text", "whole").join(checked, ["doc_id", "whole"]).select("doc_id", "text", "whole", "spans")
+    windows = keep(map_arrow(checked, _windows(p), "window binary, doc_id long, whole binary, at int"), "pas-windows")
+    firsts = windows.groupBy("window").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("hi")).where("owner < hi").select("window", "owner")
+    firsts = keep(firsts, "pas-window-firsts")
+    single = windows.join(firsts, "window").where("doc_id > owner").select("doc_id", "whole", F.struct("at", F.lit(1).alias("n")).alias("span"))
+    gone = later.unionAll(single).groupBy("doc_id", "whole").agg(F.collect_list("span").alias("spans"))
+    cleaned = shards.select("doc_id", "text", "whole").join(gone, ["doc_id", "whole"]).select("doc_id", "text", "whole", "spans")
+    cleaned = settle(map_arrow(cleaned, _remove(p), "doc_id long, whole binary, n_words long, n_removed long, text string"), "pas-cleaned")
+    discard(*made)
     return PassageResult(cleaned, whole)
 
 
 def passage_digests(result: PassageResult) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256``, one row per input row."""
-    less = result.cleaned.select("doc_id", "tag", "n_removed", F.sha2("text", 256).alias("kept")).dropDuplicates(["doc_id", "tag"])
-    out = result.whole.join(less, ["doc_id", "tag"], "left")
-    return out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept", "whole_sha256").alias("kept_sha256"))
+    less = result.cleaned.select("doc_id", "whole", "n_removed", F.sha2("text", 256).alias("kept"))
+    out = result.whole.join(less, ["doc_id", "whole"], "left")
+    nothing = F.sha2(F.lit(""), 256)
+    removed = F.when(F.col("copied"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long")
+    kept = F.when(F.col("copied"), nothing).otherwise(F.coalesce("kept", F.lower(F.hex("whole"))))
+    return out.select("doc_id", "n_words", removed.alias("n_removed"), kept.alias("kept_sha256"))
 
 
 ORACLE = r"""
