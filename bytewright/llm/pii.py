@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import discard, settle
 
 #: The kinds in their listed order; ``term`` spans are the method's own.
 KINDS = ("email", "ip", "card", "phone")
@@ -100,7 +101,7 @@ def term_frequencies(docs: DataFrame, shortest: int) -> DataFrame:
     return terms.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def revealing_terms(base: DataFrame, frequencies: DataFrame, total: int, params: PiiParams = PiiParams()) -> DataFrame:
+def revealing_terms(base: DataFrame, frequencies: DataFrame, total: int, params: PiiParams = PiiParams(), keep: Callable[[DataFrame, str], DataFrame] = settle) -> DataFrame:
     """``entity, term, pmi, content`` of the pairs over the disclosure threshold.
 
     Equal texts count once, so copies of a document make no evidence; ``total`` and ``frequencies`` count different
@@ -108,8 +109,8 @@ def revealing_terms(base: DataFrame, frequencies: DataFrame, total: int, params:
     """
     p = params
     mentions = base.where(F.size("spans") > 0).select("tag", F.explode("spans").alias("m")).select("tag", entity().alias("entity"), F.col("m.near").alias("near"))
-    known = mentions.select("tag", "entity").distinct().groupBy("entity").agg(F.count("*").alias("ec"))
-    known = settle(known, "pii-known")
+    # A table, so that AQE can split the partition of an entity with many terms.
+    known = keep(mentions.select("tag", "entity").distinct().groupBy("entity").agg(F.count("*").alias("ec")), "pii-known")
     pairs = mentions.select("tag", "entity", F.explode(_terms(F.col("near"), p.shortest)).alias("term")).distinct()
     pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("both"))
     scored = pairs.join(known, "entity").join(frequencies, "term")
@@ -129,17 +130,24 @@ def personal_data(docs: DataFrame, params: PiiParams = PiiParams()) -> DataFrame
 
     Returns one row per input row: ``doc_id, tag, text, base, terms``.  ``base`` holds (kind, start, end) by listed
     kind and start, ``terms`` the spans of revealing terms by start, both in code points; ``text`` is kept where there
-    are spans.  Null and empty texts have none; repeated rows each get a row; extra columns are ignored; an empty
-    table gives none.
+    are spans.  Null and empty texts have none; repeated rows each get a row; texts of any length are read whole; spans of
+    one kind never begin together, those of different kinds (ties) go by listed kind; extra columns are ignored; an
+    empty table gives none.
 
     An entity is a value that occurs in the corpus.  Co-occurrence near its mentions and the frequency of every word
     over all documents estimate how strongly a term reveals it; revealing terms are spans wherever they stand in the
     documents that name the entity.  Texts without personal data are left alone and are not shuffled.
     """
     p = params
+    made: list[DataFrame] = []
+
+    def keep(df: DataFrame, tag: str) -> DataFrame:
+        made.append(settle(df, tag))
+        return made[-1]
+
     base = settle(base_spans(docs, p), "pii-base")
-    frequencies = settle(term_frequencies(docs, p.shortest), "pii-frequencies")
-    disclosed = settle(revealing_terms(base, frequencies, base.select("tag").distinct().count(), p), "pii-disclosed")
+    frequencies = keep(term_frequencies(docs, p.shortest), "pii-frequencies")
+    disclosed = keep(revealing_terms(base, frequencies, base.select("tag").distinct().count(), p, keep), "pii-disclosed")
     holders = base.where(F.size("spans") > 0)
     named = holders.select("doc_id", "tag", F.explode("spans").alias("m")).select("doc_id", "tag", entity().alias("entity")).distinct()
     # Only terms that a text holds meet its entities: an entity's texts times its terms would be a square.
@@ -152,7 +160,8 @@ def personal_data(docs: DataFrame, params: PiiParams = PiiParams()) -> DataFrame
     marked = F.split(F.regexp_replace(F.translate("text", "\u0001", "\u0002"), pattern, F.lit("\u0001$0\u0001")), "\u0001", -1)
     texts = texts.withColumn("parts", marked).withColumn("at", F.expr("aggregate(transform(parts, x -> length(x)), array(0), (a, n) -> concat(a, array(element_at(a, -1) + n)))"))
     spans = F.expr(f"transform(filter(sequence(0, size(parts) - 1), i -> i % 2 = 1), i -> named_struct('kind', '{TERM}', 'start', cast(at[i] AS BIGINT), 'end', cast(at[i + 1] AS BIGINT)))")
-    terms = texts.select("doc_id", "tag", spans.alias("terms"))
+    terms = settle(texts.select("doc_id", "tag", spans.alias("terms")), "pii-terms")
+    discard(*made)
     plain = F.transform("spans", lambda m: F.struct(m["kind"].alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
     out = base.select("doc_id", "tag", "text", plain.alias("base")).join(terms, ["doc_id", "tag"], "left")
     none = F.expr("cast(array() AS array<struct<kind:string,start:bigint,end:bigint>>)")
@@ -161,13 +170,16 @@ def personal_data(docs: DataFrame, params: PiiParams = PiiParams()) -> DataFrame
     return out.select("doc_id", "tag", "text", "base", free.alias("terms"))
 
 
-def sanitized(found: DataFrame) -> DataFrame:
-    """``doc_id, text`` of the documents that hold personal data, with values generalised to their kind and revealing
-    terms removed."""
-    spans = F.array_sort(F.transform(F.concat("base", "terms"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    rows = found.where(F.col("text").isNotNull()).select("doc_id", "text", spans.alias("spans"))
-    text = F.expr("""aggregate(spans, named_struct('at', cast(0 AS BIGINT), 'out', ''), (a, s) -> named_struct(
+def sanitized_text() -> Column:
+    """The ``text`` of a row of ``personal_data``, with values generalised to their kind and revealing terms removed; null
+    where there are no spans."""
+    spans = "array_sort(transform(concat(base, terms), s -> named_struct('start', s.start, 'end', s.end, 'kind', s.kind)))"
+    return F.expr(f"""aggregate({spans}, named_struct('at', cast(0 AS BIGINT), 'out', ''), (a, s) -> named_struct(
         'at', greatest(a.at, s.end),
         'out', CASE WHEN s.start < a.at THEN a.out ELSE concat(a.out, substring(text, cast(a.at + 1 AS INT), cast(s.start - a.at AS INT)), CASE WHEN s.kind = 'term' THEN '' ELSE concat('[', s.kind, ']') END) END),
         a -> concat(a.out, substring(text, cast(a.at + 1 AS INT), length(text))))""")
-    return rows.select("doc_id", text.alias("text"))
+
+
+def sanitized(found: DataFrame) -> DataFrame:
+    """``doc_id, text`` of the documents that hold personal data, sanitised."""
+    return found.where(F.col("text").isNotNull()).select("doc_id", sanitized_text().alias("text"))

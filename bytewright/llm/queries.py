@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import os
 import zlib
 from collections.abc import Callable
 
@@ -21,16 +20,16 @@ from .passages import passage_digests, remove_repeated_passages
 from .secret_scan import KINDS, scan_secrets
 from .toxicity import fit_toxicity, held_out, score_toxicity
 
-#: Where the public tokenizer files lie; a parameter of every query that needs one.
-TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
-
 
 def word_tokenizer() -> str:
-    return f"{TOKENIZERS}/word_bpe_49k.json"
+    """The tokenizer file that the queries pack with; elsewhere its path is a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +101,8 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [_count_of(F.col("base"), k) for k in pii.KINDS]
-    return found.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.concat("base", "terms")).alias("spans"))
+    digest = F.sha2(pii.sanitized_text(), 256).alias("sanitised_sha256")
+    return found.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.concat("base", "terms")).alias("spans"), digest)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
