@@ -10,8 +10,8 @@ from bytewright.llm import minhash
 from bytewright.llm.components import connected_components
 from bytewright.llm.embeddings import CollisionParams, embedding_duplicates
 from bytewright.llm.minhash import near_duplicates
-from bytewright.llm.passages import PassageParams, anchors, passage_digests, remove_repeated_passages
-from bytewright.llm.textkit import gram_hashes, shingles, slices, text_buffers, word_hashes, word_spans
+from bytewright.llm.passages import PassageParams, passage_digests, remove_repeated_passages, segments, words_of
+from bytewright.llm.textkit import shingles, slices, text_buffers, word_hashes, word_spans
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -169,6 +169,25 @@ def test_embeddings_equal_brute_force(spark):
     assert embedding_duplicates(frame.where("false")).count() == 0
 
 
+def test_embeddings_of_odd_tables(spark):
+    near = [[1.0, 0.0, 1e-3 * k] for k in range(6)]
+    rows = [(1, near[0], "a"), (1, near[0], "a"), (1, [0.0, 1.0, 0.0], "a"), (2, near[1], "a"), (3, [0.0, 1.0, 1e-3], "a"), (3, near[2], "b"), (None, near[3], "a"), (4, [-0.0, 1.0, 0.0], "a"), (5, near[5], None)]
+    frame = spark.createDataFrame([(*r, 7, 8, "c") for r in rows], "vec_id long, embedding array<double>, label string, rep int, keys int, digest string")
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_duplicates(frame).collect()), key=repr)
+    want = [(1, 2, 1, True), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (3, 0, 3, True), (None, 0, None, False), (4, 2, 1, False), (5, 0, 5, True)]
+    assert got == sorted(want, key=repr)
+
+
+def test_cosine_exactly_at_the_threshold_links(spark):
+    from bytewright.llm.embeddings import _unit
+
+    pair = [[3.0, 4.0], [4.0, 3.0]]
+    at = float(np.einsum("ij,ij->i", _unit(np.array(pair[:1])), _unit(np.array(pair[1:])))[0])
+    frame = spark.createDataFrame([(k, v, 0) for k, v in enumerate(pair)], "vec_id long, embedding array<double>, label int")
+    assert [r.n_links for r in embedding_duplicates(frame, CollisionParams(cosine=at)).collect()] == [1, 1]
+    assert [r.n_links for r in embedding_duplicates(frame, CollisionParams(cosine=at + 1e-12)).collect()] == [0, 0]
+
+
 def test_required_count_follows_from_the_miss():
     p = CollisionParams()
     q = math.erf(p.window / math.sqrt(2))
@@ -213,7 +232,9 @@ def test_passages_equal_brute_force(spark, params):
     assert len(got) == len(docs) and sum(v[1] > 0 for v in want.values()) > 10
     for k, (n, gone, kept) in want.items():
         assert (got[k].n_words, got[k].n_removed, got[k].kept_sha256) == (n, gone, hashlib.sha256(kept.encode()).hexdigest()), k
-    assert {r.doc_id: r.text for r in result.cleaned.collect()} == {k: v[2] for k, v in want.items() if v[1]}
+    copied = {r.doc_id for r in result.whole.where("copied").collect()}
+    assert {r.doc_id: r.text for r in result.cleaned.collect()} == {k: v[2] for k, v in want.items() if v[1] and k not in copied}
+    assert copied and all(not want[k][2] for k in copied)
 
 
 def test_passages_of_odd_tables(spark):
@@ -224,18 +245,110 @@ def test_passages_of_odd_tables(spark):
     assert got == sorted([(1, 0), (1, 0), (None, 0), (2, 60), (2, 60)], key=repr)
 
 
-def test_every_window_has_an_anchor():
-    r = np.random.default_rng(1)
+def test_windows_fall_into_segments_of_one_anchor():
+    import pyarrow as pa
+
+    rnd = random.Random(1)
     p = PassageParams(window=20, phrase=5)
-    hashes = r.integers(0, 40, 500).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    bounds = np.array([0, 10, 30, 300, 300, 500])
-    at, grams, least = anchors(hashes, bounds, p)
-    assert len(grams) == len(gram_hashes(hashes, 5))
-    for lo, hi in zip(bounds, bounds[1:]):
-        inside = at[(at >= lo) & (at < hi)]
-        assert ((inside + p.phrase) <= hi).all()
-        for w in range(lo, hi - p.window + 1):
-            assert least[w] in grams[inside[(inside >= w) & (inside <= w + p.run - 1)]]
+    texts = [" ".join(rnd.choice("abcd") * rnd.randrange(1, 4) for _ in range(n)) for n in (10, 20, 270, 0, 200, 20)]
+    words = words_of(pa.array([*texts, texts[2]]))
+    at, count, anchor, hashes = segments(words, p)
+    starts = np.concatenate([np.arange(a, a + n) for a, n in zip(at, count)])
+    want = [w for lo, hi in zip(words.bounds, words.bounds[1:]) for w in range(lo, hi - p.window + 1)]
+    assert starts.tolist() == want
+    assert ((anchor >= at + count - 1) & (anchor + p.phrase <= at + p.window)).all()
+    found = {}
+    for a, n, place, h in zip(at.tolist(), count.tolist(), anchor.tolist(), hashes.tolist()):
+        for w in range(a, a + n):
+            assert found.setdefault(words.text(w, w + p.window), (place - w, h)) == (place - w, h)
+
+
+def twins(rounds=10):
+    """Two words of 2 ** rounds letters that any polynomial hash modulo 2 ** 64 confuses from 1,024 letters on."""
+    a, b = "a", "b"
+    for _ in range(rounds):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_of_one_polynomial_hash_differ(spark):
+    a, b = twins()
+    fill = lambda w: " ".join([w] * 60)
+    rows = [(1, fill(a)), (2, fill(b)), (3, " ".join([a, b] * 40)), (4, " ".join([b, a] * 40)), (5, fill(a) + " end")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = brute_sets(rows)
+    links = [(x, y) for i, (x, s) in enumerate(sets) for y, t in sets[:i] if 100 * len(s & t) >= 85 * len(s | t)]
+    want = brute_components([k for k, _ in rows], links)
+    got = {r.doc_id: r for r in near_duplicates(frame).collect()}
+    assert {k: r.component_id for k, r in got.items()} == want and {k: r.n_shingles for k, r in got.items()} == {k: len(s) for k, s in sets}
+    gone = brute_passages(rows, 50)
+    assert {r.doc_id: r.n_removed for r in passage_digests(remove_repeated_passages(frame)).collect()} == {k: v[1] for k, v in gone.items()}
+    assert gone[2][1] == 0 and gone[5][1] == 60
+
+
+def test_near_duplicates_of_ids_with_several_texts(spark):
+    text = lambda k: " ".join(f"t{k}w{i}" for i in range(40))
+    rows = [(1, text(1)), (5, text(1)), (5, text(2)), (9, text(2)), (7, text(3)), (7, text(4)), (3, text(4)), (8, text(3) + " x")]
+    got = {(r.doc_id, r.tag): r for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = sorted((r.doc_id, r.component_id, r.kept) for r in got.values())
+    assert found == [(1, 1, True), (3, 3, True), (5, 1, False), (5, 5, True), (7, 3, False), (7, 7, True), (8, 7, False), (9, 5, False)]
+
+
+def test_templates_below_the_threshold_meet_in_no_join(spark, monkeypatch):
+    """400 documents share 80 % of their words; none is similar enough, and no pair is compared."""
+    common = [f"c{i}" for i in range(400)]
+    rows = [(k, " ".join(common + [f"d{k}x{i}" for i in range(100)])) for k in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    counted = []
+    real = minhash._prefix_pairs
+    monkeypatch.setattr(minhash, "_prefix_pairs", lambda *a: counted.append(real(*a)) or counted[-1])
+    seen = minhash.settle
+    sizes = {}
+
+    def watch(df, tag, **kw):
+        out = seen(df, tag, **kw)
+        sizes[tag] = out.count()
+        return out
+
+    monkeypatch.setattr(minhash, "settle", watch)
+    assert near_duplicates(frame, minhash.NearDupParams(percent=70)).where("kept").count() == 400
+    assert sizes["dup-star"] + sizes["dup-more"] <= 400 and sizes.get("dup-front", 0) <= 400 * 500
+
+
+def scratch(spark):
+    import os
+
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir").removeprefix("file://")
+    return {x.rsplit("-", 1)[0] for x in os.listdir(f"{root}/bytewright")} if os.path.isdir(f"{root}/bytewright") else set()
+
+
+def test_operators_delete_what_they_no_longer_read(spark):
+    import shutil
+
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir").removeprefix("file://")
+    shutil.rmtree(f"{root}/bytewright", ignore_errors=True)
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string")
+    assert near_duplicates(docs).count() and scratch(spark) == {"dup-meta", "dup-found"}
+    shutil.rmtree(f"{root}/bytewright")
+    assert passage_digests(remove_repeated_passages(docs)).count() and scratch(spark) == {"pas-whole", "pas-cleaned"}
+    shutil.rmtree(f"{root}/bytewright")
+    vectors = spark.createDataFrame([(k, [1.0, k % 3 * 1e-3], 0) for k in range(20)], "vec_id long, embedding array<double>, label int")
+    assert embedding_duplicates(vectors).count() and scratch(spark) == {"emb-rows", "emb-named"}
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from bytewright.llm.common import scratch_root
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    for master, fails in (("spark://host:7077", True), ("yarn", True), ("local-cluster[2,1,1024]", True), ("local[4]", False)):
+        session = SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: conf, master=master), conf=conf)
+        if fails:
+            with pytest.raises(ValueError):
+                scratch_root(session)
+        else:
+            assert scratch_root(session).startswith("file://")
 
 
 def test_hot_group_of_copies_costs_one_representative(spark):

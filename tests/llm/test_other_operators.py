@@ -14,7 +14,7 @@ import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
-from bytewright.llm import media, mixing, pii, queries, secret_scan, warc
+from bytewright.llm import media, mixing, pii, queries, secret_scan, toxicity, warc
 from bytewright.llm.packing import PackParams, Windows, WordIds, best_fit_decreasing, pack_documents
 from bytewright.llm.toxicity import FuzzyTrie, Scorer, ToxicityModel, ToxicityParams, DEFAULT_WEIGHTS, fit_logistic, fit_toxicity, held_out, score_toxicity
 
@@ -85,19 +85,56 @@ def test_mix_hits_its_targets(spark):
 
 def test_repeated_documents_are_the_mix(spark):
     docs = mixture(spark).withColumn("epochs", F.lit(7)).withColumn("target", F.lit("clash"))
-    plan = {r.doc_id: 0 for r in docs.collect()}
+    plan, size = {}, {}
     for r in mixing.mix_sources(docs).collect():
         plan[r.doc_id] = plan.get(r.doc_id, 0) + r.taken
+        size[r.doc_id] = r.size
     got = {k: 0 for k in plan}
+    texts = {(r.doc_id, r.text) for r in docs.collect()}
     out = mixing.repeat_documents(docs)
     assert out.columns == docs.columns
     for r in out.collect():
         got[r.doc_id] += len(WORDS.findall(r.text or ""))
-        assert r.epochs == 7 and r.target == "clash"
-    assert got == plan
+        assert r.epochs == 7 and r.target == "clash" and (r.doc_id, r.text) in texts
+    changed = [k for k in plan if got[k] != plan[k]]
+    # Of each source at most one document is rounded, by half its words at most.
+    assert len(changed) <= 7 and all(abs(got[k] - plan[k]) * 2 <= size[k] * 2 for k in changed)
     assert mixing.mix_sources(docs.where("false")).count() == 0
 
 
+def test_sorted_bins_stay_small_for_any_quality(spark, monkeypatch):
+    rows = [(k, f"w{k} x y", "en", "hot" if k % 3 else "cold", 5) for k in range(4000)] + [(None, f"n{k}", "en", "hot", 2) for k in range(400)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    seen = []
+    real = mixing.settle
+    monkeypatch.setattr(mixing, "settle", lambda df, tag, **kw: seen.append((tag, real(df, tag, **kw))) or seen[-1][1])
+    for quality in (0.25, 1e-6):
+        seen.clear()
+        params = mixing.MixParams(edge_rows=40)
+        out = mixing.mix_sources(docs, params, F.when(F.col("doc_id") % 2 == 0, quality).otherwise(1.0)).collect()
+        last = [t for n, t in seen if n == "mix-rows"]
+        assert len(last) > 1
+        taken, target, sizes = {}, {}, {}
+        for r in out:
+            taken[r.target] = taken.get(r.target, 0) + r.taken
+            assert 0 <= r.taken <= 2 * r.size
+        assert all(abs(t - n) <= 1 for t, n in taken.items())
+
+
+def test_rounds_end_where_all_ranks_are_equal(spark):
+    rows = [(7, "same words here", "en", "a", 3)] * 300 + [(k, "b c", "en", "b", 3) for k in range(5)]
+    out = mixing.mix_sources(spark.createDataFrame(rows, SCHEMA), mixing.MixParams(edge_rows=10)).collect()
+    assert len(out) == 305 and len({r.taken for r in out if r.doc_id == 7 and r.size == 3 and r.source_size == 900}) == 1
+
+
+def test_many_sources_are_ranked_in_order(spark):
+    rows = [(k, "a b", "en", None if k == 50 else f"s{k:03}", 3) for k in range(101)]
+    sizes = {r.source_size: r.target for r in mixing.mix_sources(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()}
+    by = sorted(mixing.mix_sources(spark.createDataFrame(rows, SCHEMA)).collect(), key=lambda r: (r.doc_id == 50, r.doc_id))
+    want = water_fill({k: 2 for k in range(101)}, {k: (5, 2, 1)[k % 3] for k in range(101)}, 1.5 * 202)
+    assert [r.target for r in by] == pytest.approx([want[k] for k in range(101)]) and len(sizes) == 1
+
+
 def test_no_python_in_native_operators(spark):
     docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
     for frame in (mixing.mix_sources(docs), pii.personal_data(docs), pii.base_spans(docs), pii.term_frequencies(docs, 3)):
@@ -178,6 +215,26 @@ def test_packing_round_trip(spark, spec):
     assert pack_documents(frame.where("false"), params).count() == 0
 
 
+def test_packing_of_repeated_ids_and_long_texts(spark):
+    rows = [(1, "a b"), (1, "a b"), (1, "other"), (None, "x"), (2, "word " * 60_000)]
+    params = PackParams(queries.word_tokenizer(), group_tokens=50_000)
+    out = pack_documents(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), params).collect()
+    assert sorted(r.doc_tokens for r in out if r.doc_id == 1) == [2, 3, 3] and [r.doc_tokens for r in out if r.doc_id is None] == [2]
+    long = sorted((r.start, r.length) for r in out if r.doc_id == 2)
+    assert sum(n for _, n in long) == 60_001 and len({(r.sequence_id, r.offset) for r in out}) == len(out)
+
+
+def test_pieces_are_cut_as_the_library_cuts(spec):
+    from tokenizers import Tokenizer
+
+    whole, ids_of, rnd = Tokenizer.from_str(spec), WordIds(spec), random.Random(1)
+    bits = ["don't", "we're", "''s", "'s's", "'", "'re", "'ll", "'v", "x'd'", "'ve!", "É", "ñandú", "ǅ", "İ", "Σ", "12½", "ª", "×", "<|", "日本", " ", "\n", "\x85", "’s", "a", "B", "«", "\x1c", "\xad", "Ⱥ", "é", "word" * 90]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randrange(14))) for _ in range(3000)]
+    ids, at = ids_of.encode(pa.array(texts))
+    for k, t in enumerate(texts):
+        assert ids[at[k] : at[k + 1]].tolist() == whole.encode(t, add_special_tokens=False).ids, t
+
+
 def test_pack_query_digests(spark):
     real = {(r.doc_id, r.start): zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in pack_documents(spark.read.parquet(f"{DATA}/sf0.001/documents.parquet"), PackParams(queries.word_tokenizer())).collect()}
     got = {(r.doc_id, r.start): r.ids_crc32 for r in queries.op4_pack_sequences(spark, f"{DATA}/sf0.001").collect()}
@@ -187,13 +244,36 @@ def test_pack_query_digests(spark):
 # Media
 
 
+def crc(data, bits, poly):
+    """Bit by bit, highest first."""
+    value = 0
+    for byte in data:
+        value ^= byte << (bits - 8)
+        for _ in range(8):
+            value = (value << 1 ^ (poly if value >> (bits - 1) & 1 else 0)) & ((1 << bits) - 1)
+    return value
+
+
+def flac(frames=3, block=192, stated=True):
+    """One channel of constant 8-bit samples."""
+    total = frames * block if stated else 0
+    info = struct.pack(">HH", block, block) + b"\0" * 6 + (8000 << 44 | 0 << 41 | 7 << 36 | total).to_bytes(8, "big") + b"\0" * 16
+    out = b"fLaC" + b"\x80\0\0\x22" + info
+    for k in range(frames):
+        head = bytes([0xFF, 0xF8, 0x14, 0x02, k])
+        head += bytes([crc(head, 8, 0x07)])
+        frame = head + bytes([0, 65 + k])
+        out += frame + crc(frame, 16, 0x8005).to_bytes(2, "big")
+    return out
+
+
 def samples():
     from bytewright.codecs import containers, png
 
     image = png.Image(np.random.default_rng(1).integers(0, 256, (5, 6, 4)).astype(np.uint16))
     jpeg = b"\xff\xd8" + b"\xff\xe0\x00\x10JFIF" + b"\0" * 10 + b"\xff\xda\x00\x08\x01\x01\x00\x00\x3f\x00" + b"\x12\xff\x00\x34" + b"\xff\xd9"
     bmp_rows = b"\1\2\3\0" * 2
-    ogg = b"OggS\0\4" + b"\0" * 20 + b"\1\3abc"
+    ogg = b"OggS\0\2" + b"\0" * 20 + b"\1\3abc" + b"OggS\0\4" + b"\0" * 20 + b"\1\2de"
     return {
         "image/png": png.encode(image, png.choose_mode(image)),
         "image/jpeg": jpeg,
@@ -201,6 +281,8 @@ def samples():
         "image/bmp": b"BM" + struct.pack("<IIIIiiHHIIiiII", 54 + len(bmp_rows), 0, 54, 40, 1, 2, 1, 24, 0, len(bmp_rows), 0, 0, 0, 0) + bmp_rows,
         "audio/wav": media.wav_bytes(b"abcd" * 16),
         "image/webp": b"RIFF" + struct.pack("<I", 4 + 8 + 4) + b"WEBPVP8 " + struct.pack("<I", 4) + b"data",
+        "audio/flac": flac(),
+        "video/x-msvideo": b"RIFF" + struct.pack("<I", 4 + 8 + 4) + b"AVI LIST" + struct.pack("<I", 4) + b"hdrl",
         "audio/basic": b".snd" + struct.pack(">IIIII", 24, 5, 2, 8000, 1) + b"12345",
         "audio/midi": b"MThd" + struct.pack(">IHHH", 6, 0, 1, 96) + b"MTrk" + struct.pack(">I", 3) + b"abc",
         "audio/ogg": ogg,
@@ -223,6 +305,28 @@ def test_every_format_is_confirmed_and_carved():
     assert media.sniff(b"BM RIFFWAVE OggS fLaC %PDF- PK\3\4 ftyp \x1f\x8b\x08", machine) == []
 
 
+def test_lengths_are_confirmed():
+    machine = media.automaton()
+    for data in (flac(), flac(stated=False), flac(1)):
+        assert ("audio/flac", 0, len(data)) in media.sniff(data + b"\xff\xf8 not a frame" * 4, machine)
+    assert not media.sniff(flac()[:-1], machine) and not media.sniff(flac()[:-1] + b"zz", machine)
+    large = struct.pack(">I", 16) + b"ftypisom" + b"\0" * 4 + struct.pack(">I4sQ", 1, b"mdat", 20) + b"abcd"
+    assert ("video/mp4", 0, len(large)) in media.sniff(large + b"rest", machine)
+    two = gzip.compress(b"one") + gzip.compress(b"two")
+    assert [p[1:] for p in media.sniff(two, machine)] == [(0, len(two) // 2), (len(two) // 2, len(two))]
+
+
+def test_repeated_magic_costs_linear_time():
+    import time
+
+    machine = media.automaton()
+    page = b"OggS\0\2" + b"\0" * 20 + b"\1\1x"
+    for unit in (b"%PDF-1 ", b"PK\3\4 ", page, b"\x1f\x8b\x08\0\0\0\0\0\0\3\0"):
+        began = time.process_time()
+        media.sniff(unit * (2_000_000 // len(unit)), machine)
+        assert time.process_time() - began < 20, unit
+
+
 def test_media_columns(spark):
     texts = [(0, "x" * 64), (1, ""), (2, None), (3, "é" * 40), (4, "y" * 65), (4, "y" * 65), (5, "z" * 100_001)]
     frame = spark.createDataFrame([(k, t, "clash") for k, t in texts], "doc_id long, text string, payload string")
@@ -256,12 +360,14 @@ def test_magic_inside_payloads_is_rejected(spark, tmp_path):
     fake = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x-page:77>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     pages = [(1, "http://a/", "<p>"), (2, "http://b/\r\nX: y", fake + fake), (3, None, "<p>"), (9, "u", None), (8, "u", ""), (5, "u", "x" + fake + "tail"), (6, "u", "é" * 9000), (7, "u", "<p>")]
     frame = spark.createDataFrame([(*p, 1) for p in pages], "page_id long, url string, html string, digest int")
-    got = {r.page_id: r for r in warc.warc_round_trip(frame, warc.WarcParams(records_per_archive=2)).collect()}
-    assert set(got) == {p[0] for p in pages}
-    for k, _, html in pages:
-        raw = (html or "").encode()
-        assert got[k].payload_bytes == len(raw) and got[k].intact
-        assert got[k].payload_digest == base64.b32encode(hashlib.sha1(raw).digest()).decode()
+    for size in (64, 1000, 1 << 20):
+        rows = warc.warc_round_trip(frame, warc.WarcParams(archive_bytes=900, range_bytes=size)).collect()
+        got = {r.page_id: r for r in rows}
+        assert set(got) == {p[0] for p in pages} and len(rows) == len(pages)
+        for k, _, html in pages:
+            raw = (html or "").encode()
+            assert got[k].payload_bytes == len(raw) and got[k].intact
+            assert got[k].payload_digest == base64.b32encode(hashlib.sha1(raw).digest()).decode()
     assert (got[7].record_type, got[3].record_type, got[3].refers_to, got[8].refers_to, got[9].record_type) == ("response", "revisit", 7, 9, "response")
     apart = {r.page_id: r for r in warc.warc_round_trip(frame, warc.WarcParams(least_revisit=1)).collect()}
     assert apart[8].record_type == "response" and apart[1].record_type == "revisit"
@@ -275,6 +381,34 @@ def test_long_urls_do_not_break_the_chain(spark):
     assert {k: (r.url, r.payload_bytes, r.intact) for k, r in got.items()} == {k: (u, len(h), True) for k, u, h in rows}
 
 
+def test_archives_of_any_name_and_form(spark, tmp_path):
+    record = lambda k, body: (f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x-page:{k}>\r\nContent-Length: {len(body)}\r\n\r\n").encode() + body + b"\r\n\r\n"
+    bodies = {k: f"HTTP/1.1 200 OK\r\nX: {k}\r\n\r\n".encode() + bytes([k]) * (k * 400) for k in range(1, 8)}
+    parts = [record(k, b) for k, b in bodies.items()]
+    (tmp_path / "plain.warc").write_bytes(b"".join(parts))
+    (tmp_path / "each.warc.gz").write_bytes(b"".join(gzip.compress(p) for p in parts))
+    (tmp_path / "broken.warc").write_bytes(b"".join(parts)[: -len(parts[-1]) + 60])
+    (tmp_path / "none.warc").write_bytes(b"no records")
+    for size in (50, 700, 1 << 20):
+        found = warc.read_warc(spark, f"file://{tmp_path}", warc.WarcParams(range_bytes=size)).collect()
+        for name, last in (("plain.warc", 7), ("each.warc.gz", 7), ("broken.warc", 6)):
+            mine = sorted((r.page_id, r.payload_bytes, r.payload_digest) for r in found if r.archive.endswith(name))
+            assert mine == [(k, 400 * k, base64.b32encode(hashlib.sha1(bytes([k]) * (k * 400)).digest()).decode()) for k in range(1, last + 1)], (name, size)
+        assert not [r for r in found if r.archive.endswith("none.warc")]
+
+
+def test_repeated_pages_and_archive_sizes(spark, tmp_path):
+    import os
+
+    rows = [(1, "u", "a" * 500), (1, "u", "a" * 500), (2, "u", "a" * 500), (2, "u", "a" * 500), (3, "u", "b" * 5000), (4, "u", "c" * 5000)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    got = sorted((r.page_id, r.record_type, r.refers_to) for r in warc.warc_round_trip(frame).collect())
+    assert got == [(1, "revisit", 2), (1, "revisit", 2), (2, "response", None), (2, "response", None), (3, "response", None), (4, "response", None)]
+    warc.write_warc(frame, f"file://{tmp_path}/out", warc.WarcParams(archive_bytes=4000))
+    sizes = [len(gzip.open(os.path.join(d, f)).read()) for d, _, names in os.walk(tmp_path) for f in names if f.endswith(".gz")]
+    assert len(sizes) >= 3 and sum(n > 4000 for n in sizes) == 2
+
+
 def test_pointer_jumping():
     offsets = np.array([50, 0, 10, 25, 33, 70])
     successors = np.array([70, 10, 50, 33, 50, 99])
@@ -324,6 +458,68 @@ def test_automaton_equals_edit_distance():
             assert got is None, (w, got, limit)
 
 
+def brute_features(text, terms, p):
+    """The features by trying every term on every word."""
+    out = [1.0, 0.0, 0.0, 0.0, 0.0, 0.0]
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    strip = lambda w: re.sub(r"^[\W_]+|[\W_]+$", "", w).lower()
+
+    def match(core):
+        near = sorted((edits(core, t), t) for t, (_, stem) in terms.items() if not stem and edits(core, t) <= (len(t) >= p.fuzzy_length))
+        stems = [t for t, (_, stem) in terms.items() if stem and core.startswith(t)]
+        if near and (near[0][0] == 0 or not stems):
+            return near[0][1], near[0][0]
+        return (max(stems, key=len), 0) if stems else None
+
+    exact = fuzzy = most = quoted = hits = 0.0
+    for k, word in enumerate(words):
+        core = strip(word)
+        found = match(core)
+        if not found and not core.isalpha():
+            found = min((m for m in map(match, re.findall(r"[^\W\d_]+", core)) if m), key=lambda m: m[1], default=None)
+        if not found:
+            continue
+        before, after = words[max(0, k - p.window) : k], words[k + 1 : k + 1 + p.window]
+        quotes = set('"“”„«»')
+        opened = word[:1] in quotes or any(x[:1] in quotes and x[-1:] not in quotes for x in before)
+        closed = bool(quotes & {word[-1:], word[-2:-1]}) or any(quotes & {x[-1:], x[-2:-1]} for x in after)
+        said = any(strip(x) in toxicity.REPORTING for x in before)
+        you = any(strip(x) in toxicity.ADDRESS for x in before + after)
+        weight = terms[found[0]][0] * min(1.0, (0.4 if opened and closed else 1.0) * (0.6 if said else 1.0) + (0.3 if you else 0.0))
+        if found[1]:
+            fuzzy += weight
+        else:
+            exact, most, hits = exact + weight, max(most, weight), hits + 1
+        quoted += opened and closed
+    return [1.0, np.log1p(exact), np.log1p(fuzzy), most, np.log1p(quoted), np.log1p(100.0 * hits / max(len(words), 1))]
+
+
+def test_features_equal_brute_force():
+    terms = {"idiot": (0.9, False), "moron": (0.7, False), "scum": (0.5, False), "grump": (0.6, True), "grumpy": (0.3, False)}
+    rnd = random.Random(12)
+    bits = ["idiot", "idi0t", "idiots", '"idiot', 'moron"', "“moron,”", "scum", "scam", "grumph", "grumpy", "you", "said", "she", "idiot\'s", "moron/stupid", "x" * 80, "grump" + "z" * 90, "_scum_", "the", "a", "12idiot34"]
+    texts = [" ".join(rnd.choice(bits) for _ in range(rnd.randrange(30))) for _ in range(300)] + ["", None, "  "]
+    got = Scorer(terms, ToxicityParams()).features(pa.array(texts))
+    assert np.allclose(got, np.array([brute_features(t, terms, ToxicityParams()) for t in texts]))
+
+
+def test_long_words_match_and_are_learnt(spark):
+    trie = FuzzyTrie({"idiot": (1.0, True)}, 5)
+    assert trie.match("idiot" + "x" * 5000) == ("idiot", 0)
+    long = "grumphous" * 9
+    rows = [(k, f"plain words {k} " + (long if k % 5 == 0 else "fine")) for k in range(600)]
+    labels = spark.createDataFrame([(k, 1, int(k % 5 == 0)) for k in range(600)], "doc_id long, quality int, toxic int")
+    model = fit_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    assert any(long.startswith(t) and len(t) > 3 for t in model.terms)
+
+
+def test_fit_of_repeated_ids_is_bounded_and_ordered(spark):
+    rows = [(k % 50, f"text {k} " + ("idiot" if k % 50 % 4 == 0 else "kind")) for k in range(2000)]
+    labels = spark.createDataFrame([(k, 1, int(k % 4 == 0)) for k in range(50)], "doc_id long, quality int, toxic int")
+    models = [fit_toxicity(spark.createDataFrame(rows, "doc_id long, text string").repartition(n), labels) for n in (1, 7)]
+    assert models[0].terms == models[1].terms and np.allclose(models[0].weights, models[1].weights)
+
+
 def test_context_separates_quotation_from_abuse():
     scorer = Scorer({"idiot": (1.0, False)}, ToxicityParams())
     abuse, quote, report, none, nothing, empty = scorer.features(pa.array(["you are an idiot !", 'he said "what an idiot" to them', "she wrote idiot there", "you are kind", "", None]))
@@ -430,6 +626,97 @@ def test_layers_are_unwrapped_to_a_fixpoint():
     assert ("assign", 2, 19, False) in mapped
 
 
+def brute_layers(text):
+    """Spans of kinds in a text whose URL escapes, entities and base64 runs are decoded one run at a time, with root places
+    for every character; written for short ASCII texts."""
+    found, seen = set(), set()
+    work = [[(c, k, k + 1) for k, c in enumerate(text)]]
+    while work:
+        chars = work.pop()
+        plain = "".join(c for c, _, _ in chars)
+        key = (plain, chars[0][1:] if chars else None, chars[-1][1:] if chars else None)
+        if key in seen:
+            continue
+        seen.add(key)
+        found |= {(kind, chars[a][1], chars[b - 1][2]) for kind, a, b in brute_secrets(plain)}
+        out, k, changed = [], 0, False
+        while k < len(plain):
+            m = re.compile("%([0-9A-Fa-f]{2})").match(plain, k)
+            if m and int(m.group(1), 16) < 128:
+                out.append((chr(int(m.group(1), 16)), chars[k][1], chars[m.end() - 1][2]))
+                k, changed = m.end(), True
+            else:
+                out.append(chars[k])
+                k += 1
+        if changed:
+            work.append(out)
+        for m in re.finditer("[A-Za-z0-9+/_-]{16,}={0,2}", plain):
+            body = m.group().rstrip("=")
+            body = body[: len(body) - (len(body) % 4 == 1)]
+            raw = base64.urlsafe_b64decode(body.replace("+", "-").replace("/", "_") + "=" * (-len(body) % 4))
+            if raw.isascii():
+                at = [(i // 3 * 4 + i % 3) for i in range(len(raw))]
+                work.append([(chr(b), chars[m.start() + x][1], chars[m.start() + min(x + 1, len(m.group().rstrip("=")) - 1)][2]) for b, x in zip(raw, at)])
+    return sorted(found, key=lambda s: (s[1], secret_scan.KINDS.index(s[0]), s[2]))
+
+
+def test_layer_spans_equal_brute_force():
+    rnd = random.Random(5)
+    plain = ["token=abcdefgh1", "AKIA" + "Q" * 16, "0123456789abcdef" * 2, "hello there", "api_key: zyxwvuts9"]
+    quote = lambda s: "".join(f"%{ord(c):02X}" if rnd.random() < 0.5 else c for c in s)
+    b64 = lambda s: base64.b64encode(s.encode()).decode()
+    for _ in range(300):
+        parts = []
+        for _ in range(rnd.randrange(1, 4)):
+            part = rnd.choice(plain)
+            for _ in range(rnd.randrange(4)):
+                part = rnd.choice([quote, b64])(part)
+            parts.append(part)
+        text = rnd.choice([" ", ", "]).join(parts)
+        assert [s[:3] for s in secret_scan.scan(text)] == brute_layers(text), text
+
+
+def test_layers_that_were_once_dropped():
+    plain = 'password = "hunter2hunter2"'
+    b64 = lambda s: base64.b64encode(s).decode()
+    packed = gzip.compress(plain.encode())
+    numbers = "".join(f"%{b:02x}" for b in packed)
+    wrapped = base64.encodebytes(("w " * 60 + plain + " x" * 80).encode()).decode()
+    hidden = {
+        "byte that is not UTF-8": b64(plain.encode() + b"\xff end"),
+        "escaped gzip": numbers,
+        "quoted gzip": urllib.parse.quote(packed, safe=""),
+        "hexadecimal gzip": "".join(f"\\x{b:02x}" for b in packed),
+        "wrapped": wrapped,
+        "wrapped gzip": base64.encodebytes(gzip.compress(random.Random(1).randbytes(300) + plain.encode())).decode(),
+        "second member": b64(gzip.compress(b"nothing") + packed),
+        "bzip2": b64(__import__("bz2").compress(plain.encode())),
+        "xz": b64(__import__("lzma").compress(plain.encode())),
+        "long entities": "".join(f"&#{ord(c):012d};" for c in plain),
+        "controls": b64(bytes(range(32)) * 20 + plain.encode()),
+        "inside binary": b64(b"\xff\xfe\0\1" * 9 + packed),
+    }
+    for name, text in hidden.items():
+        whole = f"é before {text} after"
+        spans = [s for s in secret_scan.scan(whole) if s[0] == "assign"]
+        assert spans and all(9 <= a < b <= 9 + len(text) for _, a, b, _ in spans), name
+        assert secret_scan.candidates(pa.array([whole]))[0], name
+    # Layers are cut, not dropped: the secret lies past many of them.
+    deep = b64(gzip.compress(b"a,b;" * 20_000 + plain.encode()))
+    assert [s[0] for s in secret_scan.scan(deep, secret_scan.SecretParams(layer_bytes=1000))] == ["assign"]
+    assert secret_scan.scan(b64(zlib.compress(b"x" * 100_000)), secret_scan.SecretParams(layer_bytes=1000)) == []
+
+
+def test_secret_query_equals_brute_force(spark):
+    con = connect(["documents"])
+    texts = dict(con.execute("SELECT doc_id, text FROM documents").fetchall())
+    for r in queries.op8_secret_scan(spark, f"{DATA}/sf0.001").collect():
+        base = brute_secrets(texts[r.doc_id] or "")
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[0] == k for s in base) for k in secret_scan.KINDS)
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+        assert {f"{k}:{a}:{b}" for k, a, b in base} <= set(r.spans.split(",")) | {""}
+
+
 def test_secret_columns(spark):
     rows = [(1, "token=abcdefgh1", "l", "s", 15), (1, "token=abcdefgh1", "l", "s", 15), (2, None, None, None, None), (3, "", "l", "s", 0), (4, "clean", "l", "s", 5), (5, "w " * 50_000 + "AKIA" + "Z" * 16, "l", "s", 9)]
     frame = spark.createDataFrame(rows, SCHEMA).withColumn("secrets", F.lit("clash"))
@@ -520,9 +807,56 @@ def test_copies_do_not_hide_revealing_terms(spark):
         assert [text[r.doc_id][s.start : s.end] for s in r.terms] == (["zanzibar", "Zanzibar"] if r.doc_id >= 1000 else [])
 
 
+def test_personal_data_query_equals_brute_force(spark):
+    con = connect(["documents"])
+    texts = dict(con.execute("SELECT doc_id, text FROM documents").fetchall())
+    rows = queries.op10_pii_sanitisation(spark, f"{DATA}/sf0.001").collect()
+    assert len(rows) == len(texts) and any(r.n_email for r in rows)
+    for r in rows:
+        text = texts[r.doc_id] or ""
+        base = brute_pii(text)
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(s[0] == k for s in base) for k in pii.KINDS)
+        joined = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest() and r.spans.startswith(joined)
+        assert (r.sanitised_sha256 is None) == (not base)
+        if base and not any(s.startswith("term:") for s in r.spans.split(",")):
+            out, last = [], 0
+            for a, b, k in sorted((a, b, k) for k, a, b in base):
+                if a >= last:
+                    out += [text[last:a], f"[{k}]"]
+                last = max(last, b)
+            assert r.sanitised_sha256 == hashlib.sha256("".join([*out, text[last:]]).encode()).hexdigest()
+
+
 # The pipeline
 
 
+def test_pipeline_keeps_every_text_of_a_repeated_id(spark):
+    import corpus_pipeline
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (6, c), (6, c), (6, c.upper()), (None, a), (None, a), (7, None), (7, None), (8, ""), (9, "short"), (10, "SHORT")]
+    frame = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], SCHEMA).withColumn("tag", F.lit(1)).withColumn("digest", F.lit("x"))
+    left = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, frame, "").collect()), key=repr)
+    six = [t for k, t in left if k == 6]
+    assert len(six) == 1 and six[0] in (c, c.upper())
+    assert sorted([x for x in left if x[0] != 6], key=repr) == sorted([(1, a), (5, b), (None, a), (7, None), (8, ""), (9, "short")], key=repr)
+
+
+def test_pipeline_of_empty_and_wide_tables(spark):
+    import corpus_pipeline as pipeline
+
+    empty = spark.createDataFrame([], SCHEMA).withColumn("score", F.lit(1.0)).withColumn("_tag", F.lit(2))
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, empty, f"{DATA}/sf0.001")
+        assert out.count() == 0 and (name == "packing" or out.columns == list(pipeline.COLUMNS))
+    wide = spark.createDataFrame([(1, "token=abcdefgh1 and words", "en", "s", 20)], SCHEMA)
+    for clash in ("score", "predicted", "secrets", "_tag", "_src", "tag", "digest", "component_id"):
+        wide = wide.withColumn(clash, F.lit("clash"))
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, wide, f"{DATA}/sf0.001").count() >= 1, name
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as pipeline
     from bytewright.llm.common import settle
@@ -544,7 +878,11 @@ def test_pipeline(spark, tmp_path):
     redacted = tables[2].where("doc_id = 90002").first()
     assert redacted.text.startswith("[secret] clean0") and redacted.n_chars == len(redacted.text)
     words = lambda t: sum(len(WORDS.findall(r.text or "")) for r in t.select("text").collect())
-    assert words(tables[3]) == pytest.approx(1.5 * words(tables[2]), abs=30)
+    # Whole documents: a source may miss its target by half a document.
+    longest = {}
+    for r in tables[2].collect():
+        longest[r.source] = max(longest.get(r.source, 0), len(WORDS.findall(r.text or "")))
+    assert words(tables[3]) == pytest.approx(1.5 * words(tables[2]), abs=sum(longest.values()) / 2 + 1)
     assert tables[4].where("length > 2048 or length <> size(ids)").count() == 0 and ids[4] == ids[3]
 
 
