@@ -7,10 +7,9 @@ columns of ``documents``.  Between stages the rows are written as Parquet in the
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from bytewright.llm.common import settle, table
-from bytewright.llm.minhash import NearDupParams, near_duplicates
+from bytewright.llm.common import discard, settle, table
+from bytewright.llm.minhash import NearDupParams, first_of_each
 from bytewright.llm.mixing import repeat_documents
 from bytewright.llm.packing import PackParams, pack_documents
 from bytewright.llm.queries import word_tokenizer
@@ -32,12 +31,9 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the first document of each near-duplicate group, and one row of each that is repeated.
 
-    Rows without a doc_id stay, once per text.
+    Rows without a doc_id stay, once per text; a text stays whatever becomes of another with its doc_id.
     """
-    docs = docs.select(*COLUMNS)
-    gone = near_duplicates(docs, NEAR).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").withColumn("_tag", F.when(F.col("doc_id").isNull(), F.xxhash64("text")))
-    return left.dropDuplicates(["doc_id", "_tag"]).select(*COLUMNS)
+    return first_of_each(docs.select(*COLUMNS), NEAR)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,8 +65,7 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = settle(docs, f"pipeline-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        before, docs = docs, settle(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
