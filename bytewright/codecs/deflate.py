@@ -1,15 +1,18 @@
-"""A DEFLATE encoder (RFC 1951): hash-chain matches, lazy and shortest-path parsing, cost-driven block splits.
+"""A DEFLATE encoder (RFC 1951): matches of all positions at once, lazy and shortest-path parsing, cost-driven blocks.
 
-It is meant for small inputs and for measuring; ``zlib`` stays the fast path.
+Matches, histograms and bits are NumPy arrays; only the parse goes token by token.  ``zlib`` stays the fast path.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import zlib
 from dataclasses import dataclass
 
-from .huffman import CODE_LENGTH_ORDER, EXTRA_BITS, canonical_codes, header_choice, limited_lengths, smoothed, two_distance_codes
+import numpy as np
+
+from .huffman import CODE_LENGTH_ORDER, EXTRA_BITS, canonical_codes, header_choice, limited_lengths, smoothed, strided, two_distance_codes
 
 WINDOW, SHORTEST, LONGEST, END = 32768, 3, 258, 256
 
@@ -34,115 +37,182 @@ def distance_symbol(distance: int) -> tuple[int, int, int]:
     return 2 * bits + (k >> bits), bits, k & ((1 << bits) - 1)
 
 
-_LENGTHS = [(0, 0, 0)] * 3 + [length_symbol(n) for n in range(3, 259)]
+# The symbols of all lengths and distances, with their extra bits and first values.
+LENGTH_SYMBOL, LENGTH_BITS, LENGTH_EXTRA = (np.array(x) for x in zip(*[(0, 0, 0)] * 3, *(length_symbol(n) for n in range(3, 259))))
+DISTANCE_SYMBOL, DISTANCE_BITS, DISTANCE_EXTRA = (np.array(x) for x in zip((0, 0, 0), *(distance_symbol(n) for n in range(1, WINDOW + 1))))
 #: Code lengths of fixed blocks.
 FIXED_LITLEN = [8] * 144 + [9] * 112 + [7] * 24 + [8] * 8
 FIXED_DIST = [5] * 32
 
-Token = tuple[int, int]  # (literal, 0) or (length, distance)
+
+@dataclass(frozen=True)
+class Tokens:
+    """A parse: per token a literal byte (distance 0) or a match length and its distance."""
+
+    value: np.ndarray
+    distance: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.value)
+
+    def __getitem__(self, part: slice) -> Tokens:
+        return Tokens(self.value[part], self.distance[part])
+
+    @property
+    def sizes(self) -> np.ndarray:
+        """Bytes that each token stands for."""
+        return np.where(self.distance > 0, self.value, 1)
+
+
+def tokens_of(value: list[int], distance: list[int]) -> Tokens:
+    return Tokens(np.array(value, np.int32), np.array(distance, np.int32))
 
 
 @dataclass(frozen=True)
 class DeflateLevel:
-    """Search effort: chain links tried, passes of the shortest-path parse, tokens below which a block stays whole."""
+    """Search effort: earlier places tried, passes of the shortest-path parse, tokens below which a block stays whole,
+    and how many code-length headers, smoothings and length limits are tried (0 to 2).  ``every``: the parse may take the
+    longest match of each distance symbol, not only ever longer ones."""
 
     chain: int = 32
     passes: int = 0
     least_split: int = 512
     split: bool = True
+    search: int = 1
+    every: bool = False
 
 
 LEVELS: dict[int, DeflateLevel] = {
-    1: DeflateLevel(8, 0, split=False),
-    2: DeflateLevel(32, 0),
-    3: DeflateLevel(64, 1),
-    4: DeflateLevel(128, 2),
-    5: DeflateLevel(256, 3),
-    6: DeflateLevel(512, 4),
-    7: DeflateLevel(1024, 6),
-    8: DeflateLevel(2048, 9),
-    9: DeflateLevel(4096, 15),
+    1: DeflateLevel(8, 0, split=False, search=0),
+    2: DeflateLevel(32, 0, search=0),
+    3: DeflateLevel(32, 1),
+    4: DeflateLevel(64, 2),
+    5: DeflateLevel(96, 3),
+    6: DeflateLevel(128, 5),
+    7: DeflateLevel(256, 8),
+    8: DeflateLevel(512, 12),
+    9: DeflateLevel(1024, 20, search=2, every=True),
 }
 
 
 class Matches:
-    """Earlier occurrences of the three bytes at each position, nearest first."""
-
-    def __init__(self, data: bytes, chain: int):
-        self.data, self.chain = data, chain
-        self.last: dict[bytes, int] = {}
-        self.previous = [-1] * len(data)
-        for i in range(len(data) - 2):
-            key = data[i : i + 3]
-            self.previous[i] = self.last.get(key, -1)
-            self.last[key] = i
-
-    def at(self, i: int) -> list[Token]:
-        """Ever longer matches, each at its least distance."""
-        data, out, best = self.data, [], 2
-        most = min(LONGEST, len(data) - i)
-        if most < SHORTEST:
-            return out
-        j, tries = self.previous[i], self.chain
-        while j >= 0 and i - j <= WINDOW and tries:
-            if data[j + best : j + best + 1] == data[i + best : i + best + 1] or best < 3:
-                n = self._common(j, i, most)
-                if n > best:
-                    out.append((n, i - j))
-                    best = n
-                    if n == most:
-                        break
-            j, tries = self.previous[j], tries - 1
-        return out
-
-    def _common(self, j: int, i: int, most: int) -> int:
-        data = self.data
-        n, step = 0, 16
-        while n < most:
-            step = min(step, most - n)
-            if data[j + n : j + n + step] == data[i + n : i + n + step]:
-                n += step
-            elif step == 1:
+    """Earlier occurrences of the bytes at each position from ``start`` on, nearest first.
+
+    ``bounds`` divides the data into rows that are parsed each for itself.  All positions advance together along their
+    chains of equal three-byte beginnings.  ``first``, ``length`` and ``distance`` list each position's ever longer
+    matches, each at its least distance (with ``every``: its longest of each distance symbol); ``best_length`` and
+    ``best_distance`` hold the longest.
+    """
+
+    def __init__(self, data: bytes, chain: int, bounds: np.ndarray | None = None, start: int = 0, every: bool = False):
+        self.data, self.every, n = data, every, len(data)
+        raw = np.frombuffer(data, np.uint8)
+        bounds = np.array([0, n]) if bounds is None else np.asarray(bounds)
+        row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        self.limit = np.minimum(np.repeat(bounds[1:], np.diff(bounds)) - np.arange(n), LONGEST).astype(np.int32)
+        self.best_length, self.best_distance = np.zeros(n, np.int32), np.zeros(n, np.int32)
+        padded = np.zeros(n + 16, np.uint8)
+        padded[:n] = raw
+        places: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        if n >= SHORTEST:
+            self._search(padded, row, chain, start, every, places)
+        at, length, distance = (np.concatenate([p[k] for p in places]) if places else np.zeros(0, np.int64) for k in range(3))
+        if every and len(at):
+            # The longest of each distance symbol, at its least distance.
+            symbol = DISTANCE_SYMBOL[distance]
+            order = np.lexsort((distance, -length, symbol, at))
+            at, length, distance, symbol = at[order], length[order], distance[order], symbol[order]
+            keep = np.ones(len(at), bool)
+            keep[1:] = (at[1:] != at[:-1]) | (symbol[1:] != symbol[:-1])
+            at, length, distance = at[keep], length[keep], distance[keep]
+        order = np.argsort(at, kind="stable")
+        self.first = np.searchsorted(at[order], np.arange(n + 1))
+        self.length, self.distance = length[order], distance[order]
+
+    def _search(self, data: np.ndarray, row: np.ndarray, chain: int, start: int, every: bool, places: list) -> None:
+        n = len(row)
+        words = np.ndarray(n + 8, dtype="<u8", buffer=data, strides=(1,))
+        key = data[: n - 2].astype(np.int64) | data[1 : n - 1].astype(np.int64) << 8 | data[2:n].astype(np.int64) << 16 | row[: n - 2] << 24
+        order = np.argsort(key, kind="stable")
+        same = key[order[1:]] == key[order[:-1]]
+        previous = np.full(n, -1)
+        previous[order[1:][same]] = order[:-1][same]
+        best = np.full(n, SHORTEST - 1, np.int32)
+        where = np.zeros(n, np.int32)
+        active = np.flatnonzero((previous >= 0) & (self.limit >= SHORTEST))
+        active = active[active >= start]
+        other = previous[active]
+        for _ in range(chain):
+            near = active - other <= WINDOW
+            active, other = active[near], other[near]
+            if not len(active):
                 break
+            # A longer match has the byte that would make it longer.
+            grows = np.ones(len(active), bool) if every else data[other + best[active]] == data[active + best[active]]
+            i, j = active[grows], other[grows]
+            length = self._common(words, i, j, self.limit[i])
+            longer = length > best[i]
+            if every:
+                places.append((i, length, i - j))
             else:
-                step = max(1, step // 2)
-        return n
-
-
-def lazy_tokens(data: bytes, matches: Matches) -> list[Token]:
-    """Greedy parse that waits one byte when the next match is longer."""
-    out: list[Token] = []
-    i, n = 0, len(data)
-    pending = None
+                places.append((i[longer], length[longer], (i - j)[longer]))
+            best[i[longer]], where[i[longer]] = length[longer], (i - j)[longer]
+            other = previous[other]
+            on = (other >= 0) if every else (other >= 0) & (best[active] < self.limit[active])
+            active, other = active[on], other[on]
+        found = best >= SHORTEST
+        self.best_length[found], self.best_distance[found] = best[found], where[found]
+
+    @staticmethod
+    def _common(words: np.ndarray, i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """How many bytes the places share, eight at a time."""
+        out = np.zeros(len(i), np.int32)
+        live = np.arange(len(i))
+        while len(live):
+            a, b = words[i[live] + out[live]], words[j[live] + out[live]]
+            differ = a ^ b
+            whole = differ == 0
+            low = differ[~whole]
+            out[live[~whole]] += (np.log2((low & (~low + np.uint64(1))).astype(np.float64)) / 8).astype(np.int32)
+            live = live[whole]
+            out[live] += 8
+            live = live[out[live] < most[live]]
+        return np.minimum(out, most)
+
+    def at(self, i: int) -> list[tuple[int, int]]:
+        """(length, distance) of the listed matches of a position."""
+        part = slice(self.first[i], self.first[i + 1])
+        return list(zip(self.length[part].tolist(), self.distance[part].tolist()))
+
+
+def lazy_tokens(data: bytes, matches: Matches, lo: int = 0, hi: int | None = None) -> Tokens:
+    """Greedy parse of ``data[lo:hi]`` that waits one byte when the next match is longer."""
+    hi = len(data) if hi is None else hi
+    length, distance = matches.best_length[lo:hi].tolist(), matches.best_distance[lo:hi].tolist()
+    raw = data[lo:hi]
+    value_out: list[int] = []
+    distance_out: list[int] = []
+    i, n = 0, hi - lo
     while i < n:
-        found = pending if pending is not None else matches.at(i)
-        pending = None
-        if found:
-            length, distance = found[-1]
-            if i + 1 < n and length < 64:
-                pending = matches.at(i + 1)
-                if pending and pending[-1][0] > length:
-                    out.append((data[i], 0))
-                    i += 1
-                    continue
-                pending = None
-            out.append((length, distance))
-            i += length
-        else:
-            out.append((data[i], 0))
+        size = length[i]
+        # A match of three bytes from far away costs more than they do.
+        if size < SHORTEST or size == SHORTEST and distance[i] > 8192 or size < 64 and i + 1 < n and length[i + 1] > size:
+            value_out.append(raw[i])
+            distance_out.append(0)
             i += 1
-    return out
+        else:
+            value_out.append(size)
+            distance_out.append(distance[i])
+            i += size
+    return tokens_of(value_out, distance_out)
 
 
-def histogram(tokens: list[Token]) -> tuple[list[int], list[int]]:
+def histogram(tokens: Tokens) -> tuple[list[int], list[int]]:
     """Symbol counts of both alphabets; the end symbol counts once."""
-    litlen, dist = [0] * 288, [0] * 32
-    for value, distance in tokens:
-        if distance:
-            litlen[_LENGTHS[value][0]] += 1
-            dist[distance_symbol(distance)[0]] += 1
-        else:
-            litlen[value] += 1
+    match = tokens.distance > 0
+    symbols = np.where(match, LENGTH_SYMBOL[np.where(match, tokens.value, 0)], tokens.value)
+    litlen = np.bincount(symbols, minlength=288).tolist()
+    dist = np.bincount(DISTANCE_SYMBOL[tokens.distance[match]], minlength=32).tolist()
     litlen[END] = 1
     return litlen, dist
 
@@ -155,46 +225,79 @@ def shannon_costs(counts: list[int], cap: float = 15.0) -> list[float]:
     return [min(cap, math.log2(total) - math.log2(n)) if n else min(cap, math.log2(total)) for n in counts]
 
 
-def shortest_path(data: bytes, found: list[list[Token]], litlen: list[float], dist: list[float]) -> list[Token]:
-    """The cheapest token sequence under the given symbol costs."""
-    n = len(data)
+#: Lengths that end a length symbol: within a symbol all lengths cost the same.
+_LAST_OF_SYMBOL = [n for n in range(SHORTEST, LONGEST + 1) if n == LONGEST or LENGTH_SYMBOL[n] != LENGTH_SYMBOL[n + 1]]
+
+
+def _reach(shortest: int, longest: int) -> list[int]:
+    """Lengths of a match worth trying: all of them up to 32, then the last of each symbol and the whole match."""
+    if longest <= 32:
+        return list(range(shortest, longest + 1))
+    return [*range(shortest, 33), *(n for n in _LAST_OF_SYMBOL if max(shortest, 33) <= n < longest), longest]
+
+
+_REACH = {(a, b): _reach(a, b) for a in range(SHORTEST, 40) for b in range(a, LONGEST + 1)}
+
+
+def shortest_path(data: bytes, matches: Matches, litlen: list[float], dist: list[float], lo: int = 0, hi: int | None = None) -> Tokens:
+    """The cheapest token sequence of ``data[lo:hi]`` under the given symbol costs."""
+    hi = len(data) if hi is None else hi
+    n = hi - lo
+    first = matches.first[lo : hi + 1].tolist()
+    part = slice(first[0], first[-1])
+    lengths, distances = matches.length[part].tolist(), matches.distance[part].tolist()
+    symbols = DISTANCE_SYMBOL[matches.distance[part]]
+    prices = (np.array(dist)[symbols] + DISTANCE_BITS[matches.distance[part]]).tolist()
+    by_length = (np.array(litlen)[LENGTH_SYMBOL] + LENGTH_BITS).tolist()
     cost = [0.0] + [math.inf] * n
-    step: list[Token] = [(0, 0)] * (n + 1)
+    size, far = [0] * (n + 1), [0] * (n + 1)
+    base, raw = first[0], data[lo:hi]
     for i in range(n):
         here = cost[i]
-        c = here + litlen[data[i]]
+        c = here + litlen[raw[i]]
         if c < cost[i + 1]:
-            cost[i + 1], step[i + 1] = c, (data[i], 0)
-        shortest = SHORTEST
-        for length, distance in found[i]:
-            s, bits, _ = distance_symbol(distance)
-            base = here + dist[s] + bits
-            for k in range(shortest, length + 1):
-                ls, lb, _ = _LENGTHS[k]
-                c = base + litlen[ls] + lb
+            cost[i + 1], size[i + 1], far[i + 1] = c, 1, 0
+        shortest, left = SHORTEST, n - i
+        for s in range(first[i] - base, first[i + 1] - base):
+            longest = lengths[s]
+            if longest > left:
+                longest = left
+            if longest < SHORTEST:
+                continue
+            c0 = here + prices[s]
+            for k in _REACH.get((shortest, longest)) or _reach(shortest, longest):
+                c = c0 + by_length[k]
                 if c < cost[i + k]:
-                    cost[i + k], step[i + k] = c, (k, distance)
-            shortest = length + 1
-    out, i = [], n
+                    cost[i + k], size[i + k], far[i + k] = c, k, distances[s]
+            if not matches.every:
+                shortest = longest + 1
+                if shortest > left:
+                    break
+    value_out, distance_out, i = [], [], n
     while i:
-        token = step[i]
-        out.append(token)
-        i -= token[0] if token[1] else 1
-    return out[::-1]
+        step, d = size[i], far[i]
+        i -= step
+        value_out.append(step if d else raw[i])
+        distance_out.append(d)
+    return tokens_of(value_out[::-1], distance_out[::-1])
 
 
-def extra_bits(tokens: list[Token]) -> int:
-    return sum(_LENGTHS[v][1] + distance_symbol(d)[1] for v, d in tokens if d)
+def extra_bits(tokens: Tokens) -> int:
+    match = tokens.distance > 0
+    return int(LENGTH_BITS[tokens.value[match]].sum() + DISTANCE_BITS[tokens.distance[match]].sum())
 
 
-def block_lengths(litlen: list[int], dist: list[int]) -> tuple[int, list[int], list[int]]:
-    """Bits (header and symbols, without extra bits) and code lengths of the better of plain and smoothed counts."""
+def block_lengths(litlen: list[int], dist: list[int], search: int = 1) -> tuple[int, list[int], list[int]]:
+    """Bits (header and symbols, without extra bits) and code lengths of the best way to smooth the counts and to limit
+    the lengths: ``search`` 0 takes the counts as they are, 1 tries two smoothings, 2 also limits from 15 down to 9."""
     best = None
-    for a, b in ((litlen, dist), (smoothed(litlen), smoothed(dist))):
-        x, y = limited_lengths(a, 15), two_distance_codes(limited_lengths(b, 15))
-        bits = header_choice(x, y)[0] + sum(n * k for n, k in zip(litlen, x)) + sum(n * k for n, k in zip(dist, y))
-        if best is None or bits < best[0]:
-            best = (bits, x, y)
+    ways = [lambda c: c, smoothed, strided][: 3 if search else 1]
+    for limit in range(15, 8 if search > 1 else 14, -1):
+        for way in ways:
+            x, y = limited_lengths(way(litlen[:286]) + litlen[286:], limit), two_distance_codes(limited_lengths(way(dist[:30]) + dist[30:], limit))
+            bits = header_choice(x, y, search)[0] + sum(n * k for n, k in zip(litlen, x)) + sum(n * k for n, k in zip(dist, y))
+            if best is None or bits < best[0]:
+                best = (bits, x, y)
     return best
 
 
@@ -202,42 +305,87 @@ def fixed_bits(litlen: list[int], dist: list[int]) -> int:
     return sum(n * k for n, k in zip(litlen, FIXED_LITLEN)) + 5 * sum(dist)
 
 
-def block_bits(tokens: list[Token]) -> int:
+def block_bits(tokens: Tokens, search: int = 0) -> int:
     """Size of the better of a fixed and a dynamic block, ties to the fixed one."""
     litlen, dist = histogram(tokens)
-    return 3 + extra_bits(tokens) + min(fixed_bits(litlen, dist), block_lengths(litlen, dist)[0])
+    return 3 + extra_bits(tokens) + min(fixed_bits(litlen, dist), block_lengths(litlen, dist, search)[0])
 
 
-def entropy_bits(tokens: list[Token]) -> float:
+def entropy_bits(tokens: Tokens) -> float:
     """A quick estimate of a dynamic block."""
-    litlen, dist = histogram(tokens)
     out = 300.0 + extra_bits(tokens)
-    for counts in (litlen, dist):
-        out += sum(n * c for n, c in zip(counts, shannon_costs(counts)) if n)
+    for counts in histogram(tokens):
+        n = np.array([c for c in counts if c], np.float64)
+        if len(n):
+            out += float((n * np.minimum(15.0, np.log2(n.sum()) - np.log2(n))).sum())
     return out
 
 
-def split_points(tokens: list[Token], least: int) -> list[int]:
-    """Token indexes at which cutting lowers the estimated size, found recursively by a 9-way narrowing search."""
+class _Estimates:
+    """``entropy_bits`` of any range of a parse, from counts kept at every 128th token."""
+
+    STEP = 128
+
+    def __init__(self, tokens: Tokens):
+        match = tokens.distance > 0
+        length = np.where(match, tokens.value, 0)
+        self.symbols = np.where(match, LENGTH_SYMBOL[length], tokens.value)
+        self.far = 288 + DISTANCE_SYMBOL[tokens.distance]
+        self.match = match
+        self.extra = np.concatenate([[0], np.cumsum(LENGTH_BITS[length] + DISTANCE_BITS[tokens.distance])])
+        rows = len(tokens) // self.STEP
+        upto = rows * self.STEP
+        row = np.arange(upto) // self.STEP * 320
+        flat = np.bincount(row + self.symbols[:upto], minlength=rows * 320) + np.bincount((row + self.far[:upto])[match[:upto]], minlength=rows * 320)
+        self.counts = np.concatenate([np.zeros((1, 320), np.int64), np.cumsum(flat.reshape(rows, 320), axis=0)])
+
+    def _upto(self, t: int) -> np.ndarray:
+        row = t // self.STEP
+        part = slice(row * self.STEP, t)
+        rest = np.bincount(self.symbols[part], minlength=320) + np.bincount(self.far[part][self.match[part]], minlength=320)
+        return self.counts[row] + rest
+
+    def bits(self, counts: np.ndarray, extra: int) -> float:
+        out = 300.0 + float(extra)
+        for part in (counts[:288], counts[288:]):
+            n = part[part > 0].astype(np.float64)
+            if len(n):
+                out += float((n * np.minimum(15.0, np.log2(n.sum()) - np.log2(n))).sum())
+        return out
+
+    def halves(self, lo: int, cut: int, hi: int) -> float:
+        at, begin, end = self._upto(cut), self._upto(lo), self._upto(hi)
+        return self.bits(at - begin, self.extra[cut] - self.extra[lo]) + self.bits(end - at, self.extra[hi] - self.extra[cut])
+
+    def whole(self, lo: int, hi: int) -> float:
+        return self.bits(self._upto(hi) - self._upto(lo), self.extra[hi] - self.extra[lo])
+
+
+def split_points(tokens: Tokens, least: int, most: int = 0) -> list[int]:
+    """Token indexes at which cutting lowers the estimated size, found by a 9-way narrowing search; the largest block is
+    cut next, until none gains or there are ``most`` blocks (0: any number)."""
     out: list[int] = []
-    work = [(0, len(tokens), entropy_bits(tokens))]
-    while work:
-        lo, hi, whole = work.pop()
+    if len(tokens) < 2 * least:
+        return out
+    estimates = _Estimates(tokens)
+    work = [(-len(tokens), 0, len(tokens))]
+    while work and (not most or len(out) + 1 < most):
+        _, lo, hi = heapq.heappop(work)
         if hi - lo < 2 * least:
             continue
         a, b = lo + least, hi - least
         best = (math.inf, a)
         while a < b:
             step = max(1, (b - a) // 9)
-            for cut in range(a, b + 1, step):
-                best = min(best, (entropy_bits(tokens[lo:cut]) + entropy_bits(tokens[cut:hi]), cut))
+            best = min(best, min((estimates.halves(lo, cut, hi), cut) for cut in range(a, b + 1, step)))
             a, b = max(a, best[1] - step + 1), min(b, best[1] + step - 1)
-            if step == 1:
+            if step <= 8:
                 break
-        if best[0] < whole:
+        if best[0] < estimates.whole(lo, hi):
             cut = best[1]
             out.append(cut)
-            work += [(lo, cut, entropy_bits(tokens[lo:cut])), (cut, hi, entropy_bits(tokens[cut:hi]))]
+            heapq.heappush(work, (lo - cut, lo, cut))
+            heapq.heappush(work, (cut - hi, cut, hi))
     return sorted(out)
 
 
@@ -259,6 +407,18 @@ class BitWriter:
         """A Huffman code: its first bit is its highest."""
         self.bits(int(f"{value:0{n}b}"[::-1], 2) if n else 0, n)
 
+    def many(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        """All values in a row, each of its own number of bits."""
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        place = np.arange(total) - np.repeat(ends - sizes, sizes)
+        bits = (np.repeat(values, sizes) >> place & 1).astype(np.uint8)
+        held = np.array([self.hold >> k & 1 for k in range(self.count)], np.uint8)
+        bits = np.concatenate([held, bits])
+        whole = len(bits) // 8 * 8
+        self.out += np.packbits(bits[:whole], bitorder="little").tobytes()
+        self.hold, self.count = sum(int(b) << k for k, b in enumerate(bits[whole:])), len(bits) - whole
+
     def align(self) -> None:
         if self.count:
             self.bits(0, 8 - self.count)
@@ -268,50 +428,53 @@ class BitWriter:
         return bytes(self.out)
 
 
-def cheaper_literals(tokens: list[Token], raw: bytes, litlen: list[int], dist: list[int]) -> list[Token]:
+def cheaper_literals(tokens: Tokens, raw: bytes, litlen: list[int], dist: list[int]) -> Tokens:
     """Short matches whose bytes cost less as literals, all of which have codes, become literals."""
-    out: list[Token] = []
-    at = 0
-    for value, distance in tokens:
-        size = value if distance else 1
-        if distance and value <= 7:
-            s, bits, _ = _LENGTHS[value]
-            d, more, _ = distance_symbol(distance)
-            part = raw[at : at + size]
-            if all(litlen[b] for b in part) and sum(litlen[b] for b in part) < litlen[s] + bits + dist[d] + more:
-                out.extend((b, 0) for b in part)
-                at += size
-                continue
-        out.append((value, distance))
-        at += size
-    return out
-
-
-def _write_tokens(w: BitWriter, tokens: list[Token], litlen: list[int], dist: list[int]) -> None:
-    lc, dc = canonical_codes(litlen), canonical_codes(dist)
-    for value, distance in tokens:
-        if distance:
-            s, n, x = _LENGTHS[value]
-            w.code(lc[s], litlen[s])
-            w.bits(x, n)
-            s, n, x = distance_symbol(distance)
-            w.code(dc[s], dist[s])
-            w.bits(x, n)
-        else:
-            w.code(lc[value], litlen[value])
-    w.code(lc[END], litlen[END])
-
-
-def write_block(w: BitWriter, tokens: list[Token], raw: bytes, final: bool) -> None:
+    lit = np.array(litlen[:256])
+    at = np.cumsum(tokens.sizes) - tokens.sizes
+    short = np.flatnonzero((tokens.distance > 0) & (tokens.value <= 7))
+    if not len(short):
+        return tokens
+    price = np.where(lit > 0, lit, 1 << 20)[np.frombuffer(raw, np.uint8)]
+    upto = np.concatenate([[0], np.cumsum(price)])
+    length, far = tokens.value[short], tokens.distance[short]
+    as_match = np.array(litlen)[LENGTH_SYMBOL[length]] + LENGTH_BITS[length] + np.array(dist)[DISTANCE_SYMBOL[far]] + DISTANCE_BITS[far]
+    cheap = np.zeros(len(tokens), bool)
+    cheap[short] = upto[at[short] + length] - upto[at[short]] < as_match
+    counts = np.where(cheap, tokens.value, 1)
+    origin = np.repeat(np.arange(len(tokens)), counts)
+    place = at[origin] + np.arange(len(origin)) - (np.cumsum(counts) - counts)[origin]
+    literal = cheap[origin]
+    value = np.where(literal, np.frombuffer(raw, np.uint8)[place], tokens.value[origin]).astype(np.int32)
+    return Tokens(value, np.where(literal, 0, tokens.distance[origin]).astype(np.int32))
+
+
+def _reversed_codes(lengths: list[int]) -> np.ndarray:
+    return np.array([int(f"{c:0{n}b}"[::-1], 2) if n else 0 for c, n in zip(canonical_codes(lengths), lengths)], np.int64)
+
+
+def _write_tokens(w: BitWriter, tokens: Tokens, litlen: list[int], dist: list[int]) -> None:
+    lc, dc, ln, dn = _reversed_codes(litlen), _reversed_codes(dist), np.array(litlen), np.array(dist)
+    match = tokens.distance > 0
+    length, far = np.where(match, tokens.value, 0), tokens.distance
+    symbol = np.where(match, LENGTH_SYMBOL[length], tokens.value)
+    none = np.zeros(len(tokens), np.int64)
+    d = DISTANCE_SYMBOL[far]
+    values = np.stack([lc[symbol], np.where(match, LENGTH_EXTRA[length], none), np.where(match, dc[d], none), np.where(match, DISTANCE_EXTRA[far], none)], axis=1)
+    sizes = np.stack([ln[symbol], np.where(match, LENGTH_BITS[length], none), np.where(match, dn[d], none), np.where(match, DISTANCE_BITS[far], none)], axis=1)
+    w.many(np.append(values.ravel(), lc[END]), np.append(sizes.ravel(), ln[END]))
+
+
+def write_block(w: BitWriter, tokens: Tokens, raw: bytes, final: bool, search: int = 1) -> None:
     """The smallest of a stored, a fixed and a dynamic block."""
     litlen, dist = histogram(tokens)
     extra = extra_bits(tokens)
     fixed = fixed_bits(litlen, dist)
-    bits, x, y = block_lengths(litlen, dist)
+    bits, x, y = block_lengths(litlen, dist, search)
     plainer = cheaper_literals(tokens, raw, x, y)
-    if len(plainer) > len(tokens) and block_bits(plainer) < 3 + extra + min(fixed, bits):
+    if len(plainer) > len(tokens) and block_bits(plainer, search) < 3 + extra + min(fixed, bits):
         tokens, (litlen, dist), extra = plainer, histogram(plainer), extra_bits(plainer)
-        fixed, (bits, x, y) = fixed_bits(litlen, dist), block_lengths(litlen, dist)
+        fixed, (bits, x, y) = fixed_bits(litlen, dist), block_lengths(litlen, dist, search)
     stored = 8 * len(raw) + 40 * max(1, -(-len(raw) // 65535))
     if stored < min(fixed, bits) + extra:
         chunks = [raw[i : i + 65535] for i in range(0, len(raw), 65535)] or [b""]
@@ -324,7 +487,7 @@ def write_block(w: BitWriter, tokens: list[Token], raw: bytes, final: bool) -> N
         _write_tokens(w, tokens, FIXED_LITLEN, FIXED_DIST)
     else:
         w.bits(int(final) | 4, 3)
-        _, coded, lengths, hlit, hdist = header_choice(x, y)
+        _, coded, lengths, hlit, hdist = header_choice(x, y, search)
         count = max(4, max((i + 1 for i, s in enumerate(CODE_LENGTH_ORDER) if lengths[s]), default=4))
         w.bits(hlit - 257, 5)
         w.bits(hdist - 1, 5)
@@ -338,43 +501,69 @@ def write_block(w: BitWriter, tokens: list[Token], raw: bytes, final: bool) -> N
         _write_tokens(w, tokens, x, y)
 
 
-def optimal_tokens(data: bytes, matches: Matches, passes: int) -> list[Token]:
-    """Lazy tokens, then shortest paths under the costs of the last parse; the smallest parse wins."""
-    best = lazy_tokens(data, matches)
+def optimal_tokens(data: bytes, matches: Matches, passes: int, lo: int = 0, hi: int | None = None, start: Tokens | None = None) -> Tokens:
+    """Lazy tokens (or ``start``), then shortest paths under the costs of the last parse; the smallest parse wins.
+
+    Once passes stop to help, costs are moved at random, the same way in every run.
+    """
+    best = lazy_tokens(data, matches, lo, hi) if start is None else start
     if not passes:
         return best
-    found = [matches.at(i) for i in range(len(data))]
-    size, current, costs = block_bits(best), best, None
+    size, current, costs, random = block_bits(best), best, None, np.random.default_rng(1)
+    stale = 0
     for k in range(passes):
         litlen, dist = histogram(current)
         fresh = shannon_costs(litlen), shannon_costs(dist)
         # Later passes move half-way, which keeps the search from swinging between two parses.
         costs = fresh if costs is None or k < 3 else tuple([(a + b) / 2 for a, b in zip(x, y)] for x, y in zip(costs, fresh))
-        current = shortest_path(data, found, *costs)
+        if stale:
+            costs = tuple((np.array(x) * random.uniform(0.9, 1.1, len(x))).tolist() for x in costs)
+        current = shortest_path(data, matches, *costs, lo, hi)
         bits = block_bits(current)
         if bits < size:
-            best, size = current, bits
-        elif k >= 3:
-            break
+            best, size, stale = current, bits, 0
+        else:
+            stale += 1
+            if stale > 3:
+                break
     return best
 
 
-def deflate(data: bytes, level: int = 5, master: int = 1_000_000, passes: int | None = None) -> bytes:
-    """A raw DEFLATE stream of ``data``; empty input is one fixed block.  ``passes`` overrides the level's."""
+def deflate(data: bytes, level: int = 5, master: int = 1_000_000, passes: int | None = None, rounds: int = 0, window: bytes = b"", final: bool = True) -> bytes:
+    """A raw DEFLATE stream of ``data``; empty input is one fixed block.
+
+    Master blocks of ``master`` bytes are parsed one by one, each with the 32 KiB before it as its window (``window``: what
+    comes before the first).  ``passes`` overrides the level's; each of ``rounds`` parses every block again by its own
+    statistics and divides anew.  A stream that is not ``final`` ends at a byte border with an empty stored block, so
+    that another may follow it.
+    """
     p = LEVELS[max(1, min(level, 9))]
     w = BitWriter()
-    if not data:
-        write_block(w, [], b"", True)
+    if not data and final:
+        write_block(w, tokens_of([], []), b"", True)
         return w.finish()
-    for lo in range(0, len(data), master):
-        part = data[lo : lo + master]
-        tokens = optimal_tokens(part, Matches(part, p.chain), p.passes if passes is None else passes)
-        cuts = [0, *(split_points(tokens, p.least_split) if p.split else []), len(tokens)]
-        at = 0
+    whole = window[-WINDOW:] + data
+    for lo in range(len(whole) - len(data), len(whole), master):
+        before, hi = max(0, lo - WINDOW), min(lo + master, len(whole))
+        part, begin = whole[before:hi], lo - before
+        matches = Matches(part, p.chain, start=begin, every=p.every)
+        times = p.passes if passes is None else passes
+        tokens = optimal_tokens(part, matches, times, begin)
+        for n in range(rounds + 1):
+            cuts = [0, *(split_points(tokens, p.least_split) if p.split else []), len(tokens)]
+            if n < rounds:
+                places = begin + np.concatenate([[0], np.cumsum(tokens.sizes)])[cuts]
+                again = [optimal_tokens(part, matches, max(times, 1), int(a), int(b), tokens[c:d]) for a, b, c, d in zip(places, places[1:], cuts, cuts[1:])]
+                tokens = Tokens(np.concatenate([t.value for t in again]), np.concatenate([t.distance for t in again]))
+        at = begin
         for a, b in zip(cuts, cuts[1:]):
-            size = sum(v if d else 1 for v, d in tokens[a:b])
-            write_block(w, tokens[a:b], part[at : at + size], lo + master >= len(data) and b == len(tokens))
+            size = int(tokens[a:b].sizes.sum())
+            write_block(w, tokens[a:b], part[at : at + size], final and hi == len(whole) and b == len(tokens), p.search)
             at += size
+    if not final:
+        w.bits(0, 3)
+        w.align()
+        w.out += b"\0\0\xff\xff"
     return w.finish()
 
 
@@ -387,14 +576,14 @@ def inflate(data: bytes, limit: int = 0) -> bytes:
     return out
 
 
-def best_deflate(data: bytes, level: int = 6, passes: int | None = None) -> bytes:
-    """The smallest of zlib's strategies at its best effort and, from level 2 on, this encoder for small inputs."""
+def best_deflate(data: bytes, level: int = 6, passes: int | None = None, rounds: int = 0) -> bytes:
+    """The smallest of zlib's strategies at its best effort and, from level 3 on, of this encoder."""
     found = []
     for strategy in (zlib.Z_DEFAULT_STRATEGY, zlib.Z_FILTERED, zlib.Z_RLE, zlib.Z_HUFFMAN_ONLY, zlib.Z_FIXED):
         c = zlib.compressobj(9, zlib.DEFLATED, -15, 9, strategy)
         found.append(c.compress(data) + c.flush())
         if level <= 1:
             break
-    if level >= 3 and len(data) <= 1 << 16:
-        found.append(deflate(data, level, passes=passes))
+    if level >= 3:
+        found.append(deflate(data, level, passes=passes, rounds=rounds))
     return min(found, key=len)
