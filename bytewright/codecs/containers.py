@@ -65,12 +65,13 @@ def gzip_classify(data: bytes) -> str:
     return "extras" if fields["has_extra"] or fields["has_comment"] else "gzip"
 
 
-def gunzip(data: bytes) -> tuple[bytes, list[GzipMember]]:
+def gunzip(data: bytes, most: int = MOST_BYTES) -> tuple[bytes, list[GzipMember]]:
     """The content of all members; bytes after the last that begin no member are ignored.
 
-    A truncated stream, a wrong CRC and a wrong length are errors.
+    A truncated stream, a wrong CRC, a wrong length and more than ``most`` bytes of content are errors.
     """
-    parts, members, pos = [], [], 0
+    parts, members, pos, total = [], [], 0, 0
+    view = memoryview(data)
     while pos < len(data):
         try:
             fields, start = gzip_header(data, pos)
@@ -78,14 +79,22 @@ def gunzip(data: bytes) -> tuple[bytes, list[GzipMember]]:
             if members:
                 break
             raise
-        stream = zlib.decompressobj(-15)
+        stream, found, fed = zlib.decompressobj(-15), [], start
         try:
-            body = stream.decompress(data[start:])
+            while not stream.eof and fed < len(data):
+                rest, fed = view[fed : fed + (1 << 20)], min(fed + (1 << 20), len(data))
+                while rest and not stream.eof:
+                    found.append(stream.decompress(rest, 1 << 24))
+                    total += len(found[-1])
+                    if total > most:
+                        raise FormatError("too big")
+                    rest = stream.unconsumed_tail
         except zlib.error as e:
             raise FormatError("stream") from e
-        tail = len(data) - len(stream.unused_data)
+        tail = fed - len(stream.unused_data)
         if not stream.eof or tail + 8 > len(data):
             raise FormatError("truncated")
+        body = b"".join(found)
         crc, size = struct.unpack_from("<II", data, tail)
         if crc != zlib.crc32(body) or size != len(body) & 0xFFFFFFFF:
             raise FormatError("checksum")
@@ -97,14 +106,19 @@ def gunzip(data: bytes) -> tuple[bytes, list[GzipMember]]:
     return b"".join(parts), members
 
 
-def gzip_encode(content: bytes, level: int = 3, name: str | None = None, mtime: int = 0) -> bytes:
-    """One member; the name is reduced to its last path component."""
+def gzip_frame(body: bytes, crc32: int, size: int, name: str | None = None, mtime: int = 0) -> bytes:
+    """A member around a raw DEFLATE stream; the name is reduced to its last path component."""
     base = os.path.basename(name).encode("latin-1", "replace") if name else b""
     head = b"\x1f\x8b\x08" + bytes([8 if base else 0]) + struct.pack("<IBB", mtime, 2, 3) + (base + b"\0" if base else b"")
-    return head + best_deflate(content, level) + struct.pack("<II", zlib.crc32(content), len(content) & 0xFFFFFFFF)
+    return head + body + struct.pack("<II", crc32, size & 0xFFFFFFFF)
 
 
-def gzip_optimize(data: bytes, level: int = 3, strict: bool = False, name: str | None = None) -> tuple[bytes, str]:
+def gzip_encode(content: bytes, level: int = 3, name: str | None = None, mtime: int = 0, passes: int | None = None, rounds: int = 0) -> bytes:
+    """One member."""
+    return gzip_frame(best_deflate(content, level, passes, rounds), zlib.crc32(content), len(content), name, mtime)
+
+
+def gzip_optimize(data: bytes, level: int = 3, strict: bool = False, name: str | None = None, passes: int | None = None, rounds: int = 0) -> tuple[bytes, str]:
     """The result and a status: ``created``, ``smaller``, ``kept`` or why it was refused.
 
     A new member is kept even if it is larger; a rewrite only if it is smaller.
@@ -115,14 +129,14 @@ def gzip_optimize(data: bytes, level: int = 3, strict: bool = False, name: str |
         return data, "too big"
     kind = gzip_classify(data)
     if kind == "none":
-        return gzip_encode(data, level, name), "created"
+        return gzip_encode(data, level, name, 0, passes, rounds), "created"
     if kind == "error" or (kind == "extras" and strict):
         return data, "refused"
     try:
         content, members = gunzip(data)
     except FormatError as e:
         return data, f"error: {e}"
-    made = gzip_encode(content, level, members[0].name, members[0].mtime)
+    made = gzip_encode(content, level, members[0].name, members[0].mtime, passes, rounds)
     if len(made) < len(data) and gunzip(made)[0] == content:
         return made, "smaller"
     return data, "kept"
@@ -181,12 +195,20 @@ def zip_entries(data: bytes) -> tuple[list[ZipEntry], int]:
         if end + 22 > len(data):
             continue
         count, size, offset = struct.unpack_from("<HII", data, end + 10)
-        base = end - size - offset
+        last = end
+        if count == 0xFFFF or 0xFFFFFFFF in (size, offset):
+            # ZIP64: a locator, and before it the large end record.
+            last = end - 20 - 56
+            if last < 0 or data[end - 20 : end - 16] != b"PK\6\7" or data[last : last + 4] != b"PK\6\6":
+                reason = "large end record"
+                continue
+            count, size, offset = struct.unpack_from("<QQQ", data, last + 32)
+        base = last - size - offset
         if base < 0:
             reason = "directory bounds"
             continue
         try:
-            return _directory(data, base, base + offset, end, count), base
+            return _directory(data, base, base + offset, last, count), base
         except FormatError as e:
             reason = str(e)
     raise FormatError(reason)
@@ -218,7 +240,7 @@ def _directory(data: bytes, base: int, at: int, end: int, count: int) -> list[Zi
 
 
 def zip_write(entries: list[ZipEntry], prefix: bytes = b"") -> bytes:
-    """An archive without extra fields, descriptors and comments."""
+    """An archive without extra fields, descriptors and comments; from 65,535 entries on with ZIP64 end records."""
     out, directory = bytearray(prefix), bytearray()
     for e in entries:
         flags, local = e.flags & ~8, len(out) - len(prefix)
@@ -226,6 +248,11 @@ def zip_write(entries: list[ZipEntry], prefix: bytes = b"") -> bytes:
         out += b"PK\3\4" + common + b"\0\0" + e.name + e.data
         directory += b"PK\1\2" + struct.pack("<H", e.version_made) + common + struct.pack("<HHHHII", 0, 0, 0, e.internal, e.external, local) + e.name
     start = len(out) - len(prefix)
+    if len(entries) >= 0xFFFF:
+        large = b"PK\6\6" + struct.pack("<QHHIIQQQQ", 44, 45, 45, 0, 0, len(entries), len(entries), len(directory), start)
+        place = start + len(directory)
+        directory += large + b"PK\6\7" + struct.pack("<IQI", 0, place, 1) + b"PK\5\6" + struct.pack("<HHHHIIH", 0, 0, 0xFFFF, 0xFFFF, 0xFFFFFFFF, 0xFFFFFFFF, 0)
+        return bytes(out + directory)
     return bytes(out + directory + b"PK\5\6" + struct.pack("<HHHHIIH", 0, 0, len(entries), len(entries), len(directory), start, 0))
 
 
@@ -256,7 +283,7 @@ def zip_create(files: list[tuple[str, bytes]], existing: bytes = b"", date: int
     return zip_write(entries, existing[:base])
 
 
-def _nested(name: bytes, content: bytes, level: int, depth: int) -> bytes:
+def _nested(name: bytes, content: bytes, level: int, depth: int, passes: int | None, rounds: int) -> bytes:
     """A smaller form of a PNG or ZIP inside an archive; other content as it is."""
     from .png import PngError, optimize
 
@@ -265,18 +292,18 @@ def _nested(name: bytes, content: bytes, level: int, depth: int) -> bytes:
     ending = name.rsplit(b".", 1)[1]
     if ending in (b"png", b"PNG"):
         try:
-            return optimize(content, level)
+            return optimize(content, level, passes=passes, rounds=rounds)
         except (PngError, zlib.error):
             return content
     if content[:4] == b"PK\3\4" and depth < 8:
         try:
-            return zip_optimize(content, level, depth=depth + 1)
+            return zip_optimize(content, level, depth=depth + 1, passes=passes, rounds=rounds)
         except FormatError:
             return content
     return content
 
 
-def zip_optimize(data: bytes, level: int = 3, strict: bool = False, depth: int = 0) -> bytes:
+def zip_optimize(data: bytes, level: int = 3, strict: bool = False, depth: int = 0, passes: int | None = None, rounds: int = 0) -> bytes:
     """The archive with each entry as the smallest of stored, old and new; the input if that is not smaller."""
     entries, base = zip_entries(data)
     out = []
@@ -285,12 +312,12 @@ def zip_optimize(data: bytes, level: int = 3, strict: bool = False, depth: int =
         if content is None:
             out.append(e)
             continue
-        inner = content if strict else _nested(e.name, content, level, depth)
+        inner = content if strict else _nested(e.name, content, level, depth, passes, rounds)
         changed = {"crc32": zlib.crc32(inner), "size": len(inner)}
         if e.method == 0 or not inner:
             out.append(replace(e, method=0, data=inner, **changed))
             continue
-        packed = best_deflate(inner, level)
+        packed = best_deflate(inner, level, passes, rounds)
         if len(inner) <= len(packed) and (len(inner) <= len(e.data) or inner != content):
             out.append(replace(e, method=0, data=inner, **changed))
         elif inner != content or len(packed) < len(e.data):

@@ -191,12 +191,57 @@ def line_score(kind: int, line: np.ndarray, measure: str) -> float:
     raise ValueError(measure)
 
 
+#: zlib effort of the strategies that carry a compressor's state from line to line.
+INCREMENTAL = {"incremental": 2, "incremental2": 6, "incremental3": 1}
+
+
+def _deflated(options: list[list[np.ndarray]], types: list[int]) -> int:
+    return len(zlib.compress(b"".join(bytes([k]) + options[y][k].tobytes() for y, k in enumerate(types)), 9))
+
+
+def _incremental(options: list[list[np.ndarray]], effort: int) -> list[int]:
+    """Per line the filter after which the stream so far is smallest, ties to the highest type; its state is kept."""
+    out, state = [], zlib.compressobj(effort, zlib.DEFLATED, 15, 8, zlib.Z_FILTERED)
+    for lines in options:
+        tries = []
+        for k in range(5):
+            trial = state.copy()
+            size = len(trial.compress(bytes([k]) + lines[k].tobytes())) + len(trial.copy().flush(zlib.Z_SYNC_FLUSH))
+            tries.append((size, -k, trial))
+        best = min(tries, key=lambda t: t[:2])
+        out.append(-best[1])
+        state = best[2]
+    return out
+
+
+def _genetic(lines: np.ndarray, options: list[list[np.ndarray]], step: int, rnd: random.Random, people: int = 19, children: int = 3, crossover: float = 0.9, mutation: float = 0.01, stale: int = 500) -> list[int]:
+    """A population of whole filter choices: parents are chosen by rank, children replace the worst, until ``stale``
+    generations bring nothing better."""
+    n = len(options)
+    first = [[k] * n for k in range(5)] + [choose_filters(lines, step, s) for s in ("minsum", "entropy")]
+    first += [[rnd.randrange(5) for _ in range(n)] for _ in range(people - len(first))]
+    ranked = sorted((_deflated(options, x), x) for x in first)
+    idle = 0 if n > 1 else stale
+    while idle < stale:
+        best = ranked[0][0]
+        born = []
+        for _ in range(children):
+            a, b = (ranked[min(int(rnd.random() ** 2 * people), people - 1)][1] for _ in range(2))
+            cut = rnd.randrange(n) if rnd.random() < crossover else n
+            child = [rnd.randrange(5) if rnd.random() < mutation else k for k in a[:cut] + b[cut:]]
+            born.append((_deflated(options, child), child))
+        ranked = sorted([*ranked[: people - children], *born])
+        idle = 0 if ranked[0][0] < best else idle + 1
+    return ranked[0][1]
+
+
 def choose_filters(lines: np.ndarray, step: int, strategy: str, given: list[int] | None = None, seed: int = 1) -> list[int]:
     """A filter type per scanline.
 
     ``0`` to ``4``: that type; ``minsum``, ``distinct_bytes``, ``distinct_bigrams``, ``entropy``, ``deflate``: the
-    best line by line, ties to the lowest type; ``given``: the types passed in; ``incremental``: by a compressor that
-    carries its state from line to line; ``genetic``: a seeded population over whole images.
+    best line by line, ties to the lowest type; ``given``: the types passed in; ``incremental`` (three efforts): by a
+    compressor that carries its state from line to line; ``cheap``: the best of the three; ``genetic``: a seeded
+    population over whole images.
     """
     n = len(lines)
     if strategy in "01234":
@@ -205,38 +250,19 @@ def choose_filters(lines: np.ndarray, step: int, strategy: str, given: list[int]
         return list(given or [0] * n)[:n] + [0] * (n - len(given or []))
     zero = np.zeros(lines.shape[1] if n else 0, np.uint8)
     options = [[filter_line(k, lines[y], lines[y - 1] if y else zero, step) for k in range(5)] for y in range(n)]
-    if strategy == "incremental":
-        out, state = [], zlib.compressobj(9)
-        for y in range(n):
-            tries = []
-            for k in range(5):
-                trial = state.copy()
-                size = len(trial.compress(bytes([k]) + options[y][k].tobytes())) + len(trial.copy().flush(zlib.Z_SYNC_FLUSH))
-                tries.append((size, k, trial))
-            best = min(tries, key=lambda t: t[:2])
-            out.append(best[1])
-            state = best[2]
-        return out
+    if strategy in INCREMENTAL:
+        return _incremental(options, INCREMENTAL[strategy])
+    if strategy == "cheap":
+        tries = [_incremental(options, effort) for effort in INCREMENTAL.values()]
+        return min(tries, key=lambda types: (_deflated(options, types), tries.index(types)))
     if strategy == "genetic":
-        rnd = random.Random(seed)
-        size = lambda types: len(zlib.compress(b"".join(bytes([k]) + options[y][k].tobytes() for y, k in enumerate(types)), 9))
-        people = [[k] * n for k in range(5)] + [choose_filters(lines, step, s) for s in ("minsum", "entropy")]
-        people += [[rnd.randrange(5) for _ in range(n)] for _ in range(5)]
-        ranked = sorted((size(x), x) for x in people)
-        stale = 0
-        while stale < 40 and n > 1:
-            (_, a), (_, b) = rnd.sample(ranked[:6], 2)
-            cut = rnd.randrange(n)
-            child = [rnd.randrange(5) if rnd.random() < 0.01 else k for k in a[:cut] + b[cut:]]
-            score = size(child)
-            stale = 0 if score < ranked[0][0] else stale + 1
-            if score < ranked[-1][0]:
-                ranked = sorted([*ranked[:-1], (score, child)])
-        return ranked[0][1]
+        return _genetic(lines, options, step, random.Random(seed))
     return [min(range(5), key=lambda k: (line_score(k, options[y][k], strategy), k)) for y in range(n)]
 
 
-STRATEGIES = ("0", "1", "2", "3", "4", "minsum", "distinct_bytes", "distinct_bigrams", "entropy", "deflate", "incremental", "genetic")
+STRATEGIES = ("0", "1", "2", "3", "4", "minsum", "distinct_bytes", "distinct_bigrams", "entropy", "deflate", *INCREMENTAL)
+#: Further strategies, tried when asked for.
+BRUTE, CHEAP = ("genetic",), ("cheap",)
 
 
 def apply_filters(lines: np.ndarray, step: int, types: list[int]) -> bytes:
@@ -588,15 +614,113 @@ def palette_orders(palette: tuple[tuple[int, ...], ...], counts: dict[tuple[int,
     return list(made)
 
 
-#: Filter strategies tried by level.
-LEVEL_STRATEGIES = {1: ("0", "minsum"), 2: ("0", "distinct_bigrams"), 3: ("0", "deflate"), 4: ("0", "incremental")}
+@dataclass(frozen=True)
+class Text:
+    """A text chunk: tEXt, zTXt (compressed) or iTXt (UTF-8, may be compressed, with a language and a translated keyword)."""
+
+    kind: bytes
+    keyword: str
+    text: str
+    compressed: bool = False
+    language: str = ""
+    translated: str = ""
+
+
+def read_text(chunk: Chunk) -> Text:
+    """The content of a text chunk; a broken one raises."""
+    parts = chunk.data.split(b"\0", 1)
+    if len(parts) < 2 or not 1 <= len(parts[0]) <= 79:
+        raise PngError("keyword")
+    keyword, rest = parts[0].decode("latin-1"), parts[1]
+    try:
+        if chunk.kind == b"tEXt":
+            return Text(chunk.kind, keyword, rest.decode("latin-1"))
+        if chunk.kind == b"zTXt":
+            if rest[:1] != b"\0":
+                raise PngError("text compression")
+            return Text(chunk.kind, keyword, zlib.decompress(rest[1:]).decode("latin-1"), True)
+        packed, method = rest[0], rest[1]
+        language, translated, body = rest[2:].split(b"\0", 2)
+        if method or packed > 1:
+            raise PngError("text compression")
+        return Text(chunk.kind, keyword, (zlib.decompress(body) if packed else body).decode(), bool(packed), language.decode("latin-1"), translated.decode())
+    except (IndexError, UnicodeDecodeError, ValueError, zlib.error) as e:
+        raise PngError("text chunk") from e
+
+
+def write_text(text: Text, compress: Callable[[bytes], bytes] | None = None) -> Chunk:
+    """The chunk of a text; ``compress`` makes the zlib stream of a compressed one."""
+    pack = compress or (lambda raw: zlib.compress(raw, 9))
+    head = text.keyword.encode("latin-1") + b"\0"
+    if text.kind == b"tEXt":
+        return Chunk(text.kind, head + text.text.encode("latin-1"))
+    if text.kind == b"zTXt":
+        return Chunk(text.kind, head + b"\0" + pack(text.text.encode("latin-1")))
+    body = text.text.encode()
+    middle = bytes([int(text.compressed), 0]) + text.language.encode("latin-1") + b"\0" + text.translated.encode() + b"\0"
+    return Chunk(text.kind, head + middle + (pack(body) if text.compressed else body))
+
+
+TEXT_KINDS = (b"tEXt", b"zTXt", b"iTXt")
+
+
+def texts(data: bytes) -> list[Text]:
+    """The text chunks of a file, in order."""
+    return [read_text(c) for c in chunks(data) if c.kind in TEXT_KINDS]
+
+
+def _smaller_texts(image: Image, compress: Callable[[bytes], bytes]) -> list[tuple[int, Chunk]]:
+    """The kept chunks, compressed texts as the smaller of old and new; broken ones as they are."""
+    out = []
+    for group, chunk in image.extra:
+        if chunk.kind in (b"zTXt", b"iTXt"):
+            try:
+                text = read_text(chunk)
+                made = write_text(text, compress)
+                if len(made.data) < len(chunk.data) and read_text(made) == text:
+                    chunk = made
+            except PngError:
+                pass
+        out.append((group, chunk))
+    return out
+
+
+@dataclass(frozen=True)
+class PngPlan:
+    """What a level does: the filter that is tried against none, what it is given for being chosen, and whether a pass
+    without filters at a lower level comes first."""
+
+    filtered: str
+    bonus: float = 0.0
+    before: int = 0
+
+
+#: The plan of each level.
+PLANS: dict[int, PngPlan] = {
+    1: PngPlan("minsum"),
+    2: PngPlan("distinct_bigrams"),
+    3: PngPlan("deflate"),
+    4: PngPlan("incremental"),
+    **{n: PngPlan("incremental", 0.015) for n in (5, 6, 7, 8)},
+    9: PngPlan("incremental", 0.015, before=3),
+}
+
+
+def plan_strategies(image: Image, mode: Mode, level: int) -> tuple[str, ...]:
+    """The filter strategy of a level: none or its filter, by the size that zlib makes of the lines."""
+    plan = PLANS[min(max(level, 1), 9)]
+    h = Header(image.pixels.shape[1], image.pixels.shape[0], mode.depth, mode.color)
+    lines = pack_samples(to_samples(image, mode), mode.depth)
+    size = lambda name: len(zlib.compress(apply_filters(lines, h.pixel_bytes, choose_filters(lines, h.pixel_bytes, name)), 9))
+    return (plan.filtered,) if size(plan.filtered) * (1 - plan.bonus) < size("0") else ("0",)
 
 
-def optimize(data: bytes, level: int = 3, strict: bool = True, strip_extra: bool = False, reuse: bool = False, all_filters: bool = False, palette_sort: int = 0, passes: int | None = None) -> bytes:
+def optimize(data: bytes, level: int = 3, strict: bool = True, strip_extra: bool = False, reuse: bool = False, all_filters: bool = False, palette_sort: int = 0, passes: int | None = None, rounds: int = 0, brute: bool = False, cheap: bool = False) -> bytes:
     """The smallest verified rewrite, never larger than the input.
 
-    Animated and signed files are returned as they are.  Candidates are every filter strategy of the level with and
-    without a palette, and some palette orders from level 5 on; each is decoded and compared before it may win.
+    Animated and signed files are returned as they are.  Candidates are the level's filter strategy (all of them with
+    ``all_filters``, ``brute`` and ``cheap`` for more) with and without a palette, and some palette orders from level
+    5 on; each is decoded and compared before it may win.  Compressed texts are coded again.
     """
     kinds = {c.kind for c in chunks(data)}
     if kinds & (ANIMATION | {b"dSIG"}):
@@ -606,19 +730,18 @@ def optimize(data: bytes, level: int = 3, strict: bool = True, strip_extra: bool
     starts = [clean_alpha(image, how) for how in (HIDDEN if level >= 4 else HIDDEN[:1])] if hidden else [image]
     best = strip(data) if strip_extra else data
     for start in starts:
-        best = _smallest(start, image, best, level, strict, strip_extra, reuse, all_filters, palette_sort, passes)
+        best = _smallest(start, image, best, level, strict, strip_extra, reuse, all_filters, palette_sort, passes, rounds, brute, cheap)
     return best
 
 
-def _smallest(start: Image, image: Image, best: bytes, level: int, strict: bool, strip_extra: bool, reuse: bool, all_filters: bool, palette_sort: int, passes: int | None) -> bytes:
+def _smallest(start: Image, image: Image, best: bytes, level: int, strict: bool, strip_extra: bool, reuse: bool, all_filters: bool, palette_sort: int, passes: int | None, rounds: int, brute: bool, cheap: bool) -> bytes:
     """The smallest verified encoding of ``start``, or ``best``."""
     from .deflate import best_deflate
 
-    def compress(raw: bytes) -> bytes:
-        body = best_deflate(raw, level, passes)
+    def compress(raw: bytes, at: int = level) -> bytes:
+        body = best_deflate(raw, at, passes, rounds)
         return b"\x78\xda" + body + struct.pack(">I", zlib.adler32(raw))
 
-    strategies = ("given",) if reuse else STRATEGIES if all_filters else LEVEL_STRATEGIES[min(max(level, 1), 4)]
     modes = [choose_mode(start)]
     if modes[0].color == 3:
         tries = palette_sort or (6 if level >= 5 else 0)
@@ -630,13 +753,21 @@ def _smallest(start: Image, image: Image, best: bytes, level: int, strict: bool,
             modes += [Mode(3, modes[0].depth, order) for order in orders]
         if start.pixels.shape[0] * start.pixels.shape[1] <= 4096:
             modes.append(choose_mode(start, allow_palette=False))
+    start = Image(start.pixels, start.deep, [] if strip_extra else _smaller_texts(start, compress), start.filters, start.source)
+    plan = PLANS[min(max(level, 1), 9)]
     for mode in dict.fromkeys(modes):
-        for strategy in strategies:
-            if strategy == "given" and (image.source.interlace or (mode.color, mode.depth) != (image.source.color, image.source.depth)):
+        if reuse:
+            strategies = ("given",)
+            if image.source.interlace or (mode.color, mode.depth) != (image.source.color, image.source.depth):
                 continue
-            made = encode(start, mode, strategy, compress, keep_extra=not strip_extra)
-            if len(made) < len(best) and same_image(decode(made), image, hidden=strict):
-                best = made
+        else:
+            strategies = (*STRATEGIES, *(BRUTE if brute else ()), *(CHEAP if cheap else ())) if all_filters else plan_strategies(start, mode, level)
+        for strategy in strategies:
+            efforts = [plan.before, level] if plan.before and not reuse and not all_filters else [level]
+            for effort in efforts:
+                made = encode(start, mode, "0" if effort < level else strategy, lambda raw, at=effort: compress(raw, at))
+                if len(made) < len(best) and same_image(decode(made), image, hidden=strict):
+                    best = made
     return best
 
 
