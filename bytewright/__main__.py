@@ -9,14 +9,14 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .codecs import containers
-from .operators.recompress import optimize_files, overall_status
+from .operators.recompress import optimize_files, optimize_gzip_in_blocks, overall_status
 from .options import Options, parse_args
 from .plans.report import report
 from .runtime import ship
 from .sources.files import eligible, existing, scan_files
 from .sources.sinks import never_larger, write_files
 
-USAGE = "bytewright [-1..-9] [-strip] [-recurse] [-gzip] [-zip] [-keep] [-quiet] [--strict] [--reuse] [--allfilters] [--pal_sort=N] [--disable-png] [--disable-jpg] file..."
+USAGE = "bytewright [-1..-9] [-strip] [-progressive] [-autorotate[=force]] [-recurse] [-gzip] [-zip] [-keep] [-quiet] [--strict] [--reuse] [--allfilters] [--allfilters-b] [--allfilters-c] [--pal_sort=N] [--mt-deflate[=N]] [--mt-file[=N]] [--disable-png] [--disable-jpg] file..."
 
 
 def make_zip(inputs: list[str], options: Options) -> str:
@@ -59,13 +59,18 @@ def main(argv: list[str]) -> int:
     ship(spark)
     paths = [os.path.abspath(p) if "://" not in p else p for p in inputs]
     _, missing = existing(spark, paths)
+    if options.arithmetic:
+        print("--arithmetic: JPEG files are coded with Huffman codes")
     ready = eligible(scan_files(spark, paths, options), options)
-    results = optimize_files(ready.where("status = 'ready'"), options).cache()
+    chosen = ready.where("status = 'ready'")
+    in_blocks = F.lit(bool(options.mt_deflate)) & (F.col("kind") == "gzip")
+    results = optimize_files(chosen.where(~in_blocks), options).unionAll(optimize_gzip_in_blocks(chosen.where(in_blocks), options)).cache()
     code = overall_status(results).first().code | missing
     created = F.when(F.col("status") == "created", F.concat("path", F.lit(".gz"))).otherwise(F.col("path"))
     times = ready.select("path", "modificationTime").dropDuplicates(["path"])
-    written = write_files(never_larger(results).join(times, "path").withColumn("path", created), options.keep).collect()
-    code |= int(any(r.error for r in written))
+    changed = never_larger(results).unionAll(results.where("status = 'turned'")).dropDuplicates(["path"])
+    failed = write_files(changed.join(times, "path").withColumn("path", created), options.keep).agg(F.count("error").alias("n")).first().n
+    code |= int(failed > 0)
     if not options.quiet:
         print(report(results))
     return code

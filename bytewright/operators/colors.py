@@ -58,17 +58,3 @@ def neighbour_pairs(indexes: DataFrame, by: list[str], x: str, y: str, idx: str)
     both = indexes.select(*by, F.col(idx).alias("i"), across.alias("_across"), down.alias("_down"))
     both = both.select(*by, "i", F.explode(F.array("_across", "_down")).alias("j")).where("j IS NOT NULL")
     return both.groupBy(*by, F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).agg(F.count("*").alias("n"))
-
-
-def palette_grid(spark) -> DataFrame:
-    """The 120 ways to order a palette: what by, after which priority, where clear entries go, and the direction."""
-    ways = {
-        "ordering": ("global", "nearest", "nearest weighted", "neighbour"),
-        "priority": ("popularity", "rgb", "yuv", "lab", "msb"),
-        "transparency": ("ignore", "first", "sorted first"),
-        "direction": ("ascending", "descending"),
-    }
-    out = spark.range(1)
-    for name, values in ways.items():
-        out = out.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
-    return out.drop("id")

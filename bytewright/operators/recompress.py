@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..codecs import containers, deflate, png
+from ..codecs import containers, deflate, jpeg, png
 from ..options import Options
 from ..runtime import map_arrow
+from ..sources.archives import BROKEN
 from .statistics import as_bytes
 
 STRATEGIES = {"default": zlib.Z_DEFAULT_STRATEGY, "filtered": zlib.Z_FILTERED, "rle": zlib.Z_RLE, "huffman": zlib.Z_HUFFMAN_ONLY, "fixed": zlib.Z_FIXED}
@@ -52,36 +55,113 @@ def savings(results: DataFrame, by: list[str]) -> DataFrame:
     return out.withColumns({"pct": pct, "note": note})
 
 
+_RESULT = "path string, kind string, before long, after long, status string, content binary"
+_RESULT_TYPES = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+
+
+def _results(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(_RESULT_TYPES)], names=["path", "kind", "before", "after", "status", "content"])
+
+
 def optimize_files(files: DataFrame, options: Options = Options()) -> DataFrame:
     """Rewrite each file of ``files(path, content, kind)``: ``path, kind, before, after, status, content``.
 
-    gzip, ZIP and PNG results are decoded and compared before they count; a file that fails is a row with its reason.
-    JPEG files are only stripped of metadata (and only when asked): re-coding their scans needs a codec that is not
-    at hand.
+    Results are decoded and compared before they count; a file that fails is a row with its reason.  With
+    ``mt_file`` the files are dealt over that many tasks; with ``mt_deflate`` those that ``optimize_gzip_in_blocks`` takes
+    are for the caller to leave out.
     """
     o = options
 
     def one(path: str, data: bytes, kind: str) -> tuple[bytes, str]:
         if o.zip or data[:4] == b"PK\3\4":
-            return containers.zip_optimize(data, o.level, o.strict), ""
+            return containers.zip_optimize(data, o.level, o.strict, passes=o.iterations, rounds=o.twice), ""
         if kind == "gzip":
-            return containers.gzip_optimize(data, o.level, o.strict, path)
+            return containers.gzip_optimize(data, o.level, o.strict, path, o.iterations, o.twice)
         if kind == "png":
-            return png.optimize(data, o.level, o.strict, o.strip, o.reuse, o.all_filters, o.palette_sort, o.iterations), ""
-        return (containers.jpeg_strip(data) if o.strip else data), ""
+            return png.optimize(data, o.level, o.strict, o.strip, o.reuse, o.all_filters, o.palette_sort, o.iterations, o.twice, o.all_filters_brute, o.all_filters_cheap), ""
+        return jpeg.optimize(data, o.level, o.progressive, o.strip, o.autorotate)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, data, kind in zip(*(batch.column(c).to_pylist() for c in range(3))):
-                data = data or b""
+            rows, held = [], 0
+            for path, cell, kind in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                data = cell.as_py() or b""
                 try:
                     made, status = one(path, data, kind)
-                except (ValueError, zlib.error) as e:
+                except BROKEN as e:
                     made, status = data, f"error: {e}"
                 status = status or ("smaller" if len(made) < len(data) else "kept")
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((path, pa.string()), (kind, pa.string()), (len(data), pa.int64()), (len(made), pa.int64()), (status, pa.string()), (made, pa.binary()))], names=["path", "kind", "before", "after", "status", "content"])
+                rows.append((path, kind, len(data), len(made), status, made))
+                held += len(made)
+                if held >= 4 << 20 or len(rows) >= 1024:
+                    yield _results(rows)
+                    rows, held = [], 0
+            if rows:
+                yield _results(rows)
 
-    return map_arrow(files.select("path", "content", "kind"), run, "path string, kind string, before long, after long, status string, content binary")
+    picked = files.select("path", "content", "kind")
+    return map_arrow(picked.repartition(o.mt_file) if o.mt_file else picked, run, _RESULT)
+
+
+def optimize_gzip_in_blocks(files: DataFrame, options: Options = Options(), master: int = 1_000_000) -> DataFrame:
+    """``optimize_files`` for gzip output, a large file's master blocks in tasks of their own.
+
+    Each block is coded with the 32 KiB before it as its window and ends at a byte border; the blocks of a file are
+    joined in order, and the result is inflated and compared.
+    """
+    o = options
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, cell in zip(batch.column(0).to_pylist(), batch.column(1)):
+                data = cell.as_py() or b""
+                name, mtime, reason, content, known = os.path.basename(path), 0, None, data, containers.gzip_classify(data)
+                try:
+                    if not data:
+                        reason = "empty"
+                    elif known == "error" or known == "extras" and o.strict:
+                        reason = "refused"
+                    elif known != "none":
+                        content, members = containers.gunzip(data)
+                        name, mtime = members[0].name, members[0].mtime
+                except BROKEN as e:
+                    reason = f"error: {e}"
+                blocks = range(0, len(content), master) if reason is None else [0]
+                for at in blocks:
+                    piece = content[max(0, at - deflate.WINDOW) : at + master] if reason is None else data
+                    values = (path, at, min(at, deflate.WINDOW), at + master >= len(content), len(data), reason or ("created" if known == "none" else "smaller"), zlib.crc32(content), len(content), name, mtime, piece)
+                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary()))], names=names)
+
+    names = ["path", "at", "window", "last", "before", "status", "crc", "size", "name", "mtime", "data"]
+    schema = "path string, at long, window long, last boolean, before long, status string, crc long, size long, name string, mtime long, data binary"
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for window, last, status, cell in zip(*(batch.column(c).to_pylist() for c in (2, 3, 5, 10))):
+                good = status in ("created", "smaller")
+                out.append(deflate.deflate(cell[window:], o.level, master, o.iterations, o.twice, cell[:window], last) if good else cell)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:10], pa.array(out, pa.binary())], names=names)
+
+    def join(table: pa.Table) -> pa.Table:
+        table = table.sort_by("at")
+        first = {n: table.column(n)[0].as_py() for n in names[:10]}
+        body, status = b"".join(table.column("data").to_pylist()), first["status"]
+        if status in ("created", "smaller"):
+            made = containers.gzip_frame(body, first["crc"], first["size"], first["name"], first["mtime"])
+            if zlib.crc32(containers.gunzip(made)[0]) != first["crc"]:
+                raise ValueError(f"{first['path']} does not decode")
+            status = status if status == "created" or len(made) < first["before"] else "kept"
+        else:
+            made = body
+        return pa.Table.from_batches([_results([(first["path"], "gzip", first["before"], first["before"] if status == "kept" else len(made), status, None if status == "kept" else made)])])
+
+    pieces = map_arrow(files.select("path", "content"), cut, schema)
+    coded = map_arrow(pieces.repartition("path", "at"), code, schema)
+    joined = coded.groupBy("path").applyInArrow(join, _RESULT)
+    kept = files.select(F.col("path").alias("_path"), F.col("content").alias("_content"))
+    back = joined.join(kept, F.col("path") == F.col("_path"), "left")
+    return back.select("path", "kind", "before", "after", "status", F.coalesce("content", "_content").alias("content"))
 
 
 def overall_status(results: DataFrame) -> DataFrame:
@@ -91,24 +171,35 @@ def overall_status(results: DataFrame) -> DataFrame:
 
 
 def block_plan(files: DataFrame, key: str, content: str, level: int = 3) -> DataFrame:
-    """How this encoder would cut each file: ``key, block, tokens, bytes, literals, matches, fixed_bits, dynamic_bits``."""
+    """How this encoder would cut each file: ``key, block, tokens, bytes, literals, matches, fixed_bits, dynamic_bits``.
+
+    The matches of many small files are searched together.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = deflate.LEVELS[level]
         for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                tokens = deflate.optimal_tokens(data, deflate.Matches(data, p.chain), p.passes)
-                cuts = [0, *deflate.split_points(tokens, p.least_split), len(tokens)]
+            names, cells = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            s = 0
+            while s < len(cells):
+                e, held = s, 0
+                while e < len(cells) and (e == s or held + len(cells[e]) <= 1 << 20):
+                    held, e = held + len(cells[e]), e + 1
+                data, bounds = b"".join(cells[s:e]), np.concatenate([[0], np.cumsum([len(c) for c in cells[s:e]])])
+                matches = deflate.Matches(data, p.chain, bounds)
                 rows = []
-                for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                    part = tokens[a:b]
-                    litlen, dist = deflate.histogram(part)
-                    extra = deflate.extra_bits(part)
-                    matches = sum(1 for _, d in part if d)
-                    rows.append((name, k, len(part), sum(v if d else 1 for v, d in part), len(part) - matches, matches, 3 + extra + deflate.fixed_bits(litlen, dist), 3 + extra + deflate.block_lengths(litlen, dist)[0]))
+                for name, lo, hi in zip(names[s:e], bounds[:-1].tolist(), bounds[1:].tolist()):
+                    tokens = deflate.optimal_tokens(data, matches, p.passes, lo, hi)
+                    cuts = [0, *deflate.split_points(tokens, p.least_split), len(tokens)]
+                    for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                        part = tokens[a:b]
+                        litlen, dist = deflate.histogram(part)
+                        extra, found = deflate.extra_bits(part), int((part.distance > 0).sum())
+                        rows.append((name, k, len(part), int(part.sizes.sum()), len(part) - found, found, 3 + extra + deflate.fixed_bits(litlen, dist), 3 + extra + deflate.block_lengths(litlen, dist, p.search)[0]))
                 kinds = (pa.string(), *[pa.int64()] * 7)
-                names = ["key", "block", "tokens", "bytes", "literals", "matches", "fixed_bits", "dynamic_bits"]
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names=names)
+                fields = ["key", "block", "tokens", "bytes", "literals", "matches", "fixed_bits", "dynamic_bits"]
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names=fields)
+                s = e
 
     rows = files.select(F.col(key).cast("string").alias("key"), as_bytes(content).alias("data"))
     return map_arrow(rows, run, "key string, block long, tokens long, bytes long, literals long, matches long, fixed_bits long, dynamic_bits long")

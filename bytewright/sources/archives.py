@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ..codecs import containers, png
+from ..codecs import containers, jpeg, png
 from ..runtime import map_arrow, ship
 
 
@@ -16,18 +17,32 @@ def _rows(names: list[str], kinds: list[pa.DataType], rows: list[tuple]) -> pa.R
     return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)], names=names)
 
 
+#: What broken input raises in a codec; all become rows with an error.
+BROKEN = (ValueError, zlib.error, struct.error, IndexError, KeyError, EOFError, OverflowError)
+_BATCH_ROWS, _BATCH_BYTES = 4096, 4 << 20
+
+
 def _each(files: DataFrame, key: str, content: str, one, fields: list[tuple[str, str, pa.DataType]]) -> DataFrame:
-    """Rows that ``one`` makes of each cell's bytes; an error is a row with ``error`` set."""
+    """Rows that ``one`` makes of each cell's bytes; an error is a row with ``error`` set.  Batches are bounded in rows and
+    bytes."""
     names = [key, *(n for n, _, _ in fields), "error"]
     kinds = [pa.string(), *(k for _, _, k in fields), pa.string()]
+    wide = [c for c, k in enumerate(kinds) if pa.types.is_binary(k)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows, held = [], 0
             for name, cell in zip(batch.column(0).to_pylist(), batch.column(1)):
                 try:
-                    rows = [(name, *r, None) for r in one(cell.as_py() or b"")]
-                except (ValueError, zlib.error) as e:
-                    rows = [(name, *[None] * len(fields), str(e))]
+                    made = [(name, *r, None) for r in one(cell.as_py() or b"")]
+                except BROKEN as e:
+                    made = [(name, *[None] * len(fields), str(e) or type(e).__name__)]
+                rows += made
+                held += sum(len(r[c] or b"") for r in made for c in wide)
+                if len(rows) >= _BATCH_ROWS or held >= _BATCH_BYTES:
+                    yield _rows(names, kinds, rows)
+                    rows, held = [], 0
+            if rows:
                 yield _rows(names, kinds, rows)
 
     schema = ", ".join([f"{key} string", *(f"{n} {t}" for n, t, _ in fields), "error string"])
@@ -84,6 +99,30 @@ def jpeg_segments(files: DataFrame, key: str = "path", content: str = "content")
     return _each(files, key, content, one, [("idx", "int", pa.int32()), ("marker", "int", pa.int32()), ("length", "long", pa.int64()), ("orientation", "int", pa.int32())])
 
 
+def png_texts(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
+    """One row per text chunk: place, type, keyword, language, translated keyword, text, and whether it is compressed."""
+
+    def one(data: bytes):
+        for k, t in enumerate(png.texts(data)):
+            yield k, t.kind.decode("latin-1"), t.keyword, t.language, t.translated, t.text, t.compressed
+
+    text = [(n, "string", pa.string()) for n in ("type", "keyword", "language", "translated", "text")]
+    return _each(files, key, content, one, [("idx", "int", pa.int32()), *text, ("compressed", "boolean", pa.bool_())])
+
+
+def jpeg_coefficients(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
+    """One row per block that holds part of the image: component, block row and column, and its 64 coefficients along the
+    zigzag."""
+
+    def one(data: bytes):
+        for c in jpeg.read(data).components:
+            for y in range(c.size[0]):
+                for x in range(c.size[1]):
+                    yield c.name, y, x, c.blocks[y, x].tolist()
+
+    return _each(files, key, content, one, [("component", "int", pa.int32()), ("y", "int", pa.int32()), ("x", "int", pa.int32()), ("coefficients", "array<int>", pa.list_(pa.int32()))])
+
+
 def build_zips(entries: DataFrame, archive: str, name: str, content: str, level: int = 3) -> DataFrame:
     """One ZIP archive per group: ``archive, n_entries, zip``.  An archive is one task's work, as its format is one
     file; groups are the caller's choice of archives."""
