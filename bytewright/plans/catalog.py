@@ -17,27 +17,8 @@ from ..functions import columns as C
 from ..operators import colors, recompress, scanlines, statistics
 from ..runtime import map_arrow
 from ..sources import archives
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under its name, with its SQL where there is one."""
-
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from .images import SQL_PIXELS, coarse, part_colors, pixels, quantised
+from .registry import ORACLE_SQL, QUERIES, query, table
 
 _SQL_BYTES = "unnest(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT)))"
 
@@ -140,15 +121,17 @@ def fixed_block_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""
-    WITH h AS (SELECT lang, byte, count(*) AS n FROM (SELECT lang, {_SQL_BYTES} AS byte FROM documents) GROUP BY ALL),
-    a AS (SELECT byte, n FROM h WHERE lang = 'en'), b AS (SELECT byte, n FROM h WHERE lang = 'de')
+    WITH h AS (SELECT odd, byte, count(*) AS n FROM (SELECT doc_id % 2 AS odd, {_SQL_BYTES} AS byte FROM documents) GROUP BY ALL),
+    a AS (SELECT byte, n FROM h WHERE odd = 0), b AS (SELECT byte, n FROM h WHERE odd = 1)
     SELECT byte, 0.75::DOUBLE * coalesce(a.n, 0) + 0.25::DOUBLE * coalesce(b.n, 0) AS n FROM a FULL JOIN b USING (byte)
     """
 )
 def blended_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = byte_histogram(spark, sf_dir)
-    part = lambda lang: counts.where(F.col("key") == lang).select("byte", "n")
-    return statistics.blend(part("en"), part("de"), ["byte"], 0.25)
+    """The byte histogram of even documents, a quarter of the way towards that of odd ones."""
+    docs = table(spark, sf_dir, "documents").select((F.col("doc_id") % 2).alias("odd"), "text")
+    counts = statistics.byte_counts(docs, "odd", "text").groupBy("key", "byte").agg(F.sum("n").alias("n"))
+    part = lambda odd: counts.where(F.col("key") == odd).select("byte", "n")
+    return statistics.blend(part("0"), part("1"), ["byte"], 0.25)
 
 
 @query(
@@ -170,14 +153,9 @@ def crc32_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Scanlines
 
 
-def quantised(column: str = "embedding") -> Column:
-    """A vector with entries from -1 to 1 as bytes."""
-    return F.transform(column, lambda x: F.least(F.greatest(F.floor((x.cast("double") + 1) * 127.5), F.lit(0)), F.lit(255)).cast("int"))
-
-
 _SQL_LINES = """
 lines AS (SELECT label, vec_id, list_transform(embedding, lambda x: CAST(least(greatest(floor((x::DOUBLE + 1) * 127.5), 0), 255) AS BIGINT)) AS v FROM embeddings),
-pairs AS (SELECT label, vec_id, v, coalesce(lag(v) OVER (PARTITION BY label ORDER BY vec_id), list_transform(v, lambda x: 0)) AS u FROM lines),
+pairs AS (SELECT label, vec_id, v, coalesce(lag(v) OVER (PARTITION BY label, vec_id // 64 ORDER BY vec_id), list_transform(v, lambda x: 0)) AS u FROM lines),
 sides AS (SELECT label, vec_id, v, u, list_transform(range(1, len(v) + 1), lambda i: CASE WHEN i > 4 THEN v[i - 4] ELSE 0 END) AS l,
   list_transform(range(1, len(v) + 1), lambda i: CASE WHEN i > 4 THEN u[i - 4] ELSE 0 END) AS c FROM pairs),
 filtered AS (
@@ -198,22 +176,26 @@ _SQL_SCORES = {
 
 
 def scan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select("label", "vec_id", quantised().alias("line"))
+    """Lines of images of at most 64 lines: those of a label whose ids follow each other."""
+    return table(spark, sf_dir, "embeddings").select("label", F.expr("vec_id div 64").alias("image"), "vec_id", quantised().alias("line"))
+
+
+IMAGE = ["label", "image"]
 
 
 @query(f"WITH {_SQL_LINES} SELECT label, vec_id, CAST(filter AS INTEGER) AS filter, {_SQL_SCORES['minsum']} AS score FROM filtered")
 def filter_minsum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All five filters of every line with their minimum sums."""
-    return scanlines.filter_scores(scan_lines(spark, sf_dir), ["label"], "vec_id", "line", 4, "minsum")
+    return scanlines.filter_scores(scan_lines(spark, sf_dir), IMAGE, "vec_id", "line", 4, "minsum").drop("image")
 
 
 def _best(measure: str) -> None:
     score = _SQL_SCORES[measure]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        scores = scanlines.filter_scores(scan_lines(spark, sf_dir), ["label"], "vec_id", "line", 4, measure)
+        scores = scanlines.filter_scores(scan_lines(spark, sf_dir), IMAGE, "vec_id", "line", 4, measure)
         scores = scores.withColumn("score", F.round("score", 9)) if measure == "entropy" else scores
-        return scanlines.best_filter(scores, ["label"], "vec_id")
+        return scanlines.best_filter(scores, IMAGE, "vec_id").drop("image")
 
     run.__name__ = f"best_filter_{measure}"
     query(
@@ -229,45 +211,52 @@ for _measure in scanlines.MEASURES:
     _best(_measure)
 
 
-@query(f"WITH {_SQL_LINES} SELECT CAST(label AS VARCHAR) AS key, vec_id AS y, list_transform(v, lambda x: CAST(x AS INTEGER)) AS line FROM lines")
+@query(f"WITH {_SQL_LINES} SELECT concat_ws(chr(1), CAST(label AS VARCHAR), CAST(vec_id // 64 AS VARCHAR)) AS key, vec_id AS y, list_transform(v, lambda x: CAST(x AS INTEGER)) AS line FROM lines")
 def unfilter_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each line under its best filter, undone again."""
     lines = scan_lines(spark, sf_dir)
-    best = scanlines.best_filter(scanlines.filter_scores(lines, ["label"], "vec_id", "line", 4, "minsum"), ["label"], "vec_id")
-    both = scanlines.with_above(lines, ["label"], "vec_id", "line").join(best, ["label", "vec_id"])
+    best = scanlines.best_filter(scanlines.filter_scores(lines, IMAGE, "vec_id", "line", 4, "minsum"), IMAGE, "vec_id")
+    both = scanlines.with_above(lines, IMAGE, "vec_id", "line").join(best, [*IMAGE, "vec_id"])
     coded = F.when(F.col("filter") == 0, scanlines.filtered(0, F.col("line"), F.col("above"), 4))
     for k in range(1, 5):
         coded = coded.when(F.col("filter") == k, scanlines.filtered(k, F.col("line"), F.col("above"), 4))
-    return scanlines.unfiltered(both.select("label", "vec_id", "filter", coded.alias("line")), ["label"], "vec_id", "filter", "line", 4)
+    return scanlines.unfiltered(both.select(*IMAGE, "vec_id", "filter", coded.alias("line")), IMAGE, "vec_id", "filter", "line", 4)
 
 
 # Symbols and codes
 
 
+# Fixed values in the SQL: the least length and distance of each symbol of RFC 1951.
 @query(
     """
     WITH bases AS (SELECT [3,4,5,6,7,8,9,10,11,13,15,17,19,23,27,31,35,43,51,59,67,83,99,115,131,163,195,227,258] AS b),
-    n AS (SELECT unnest(range(3, 259)) AS length)
-    SELECT length, CAST(256 + len(list_filter(b, lambda x: x <= length)) AS INTEGER) AS symbol,
-      CAST(CASE WHEN length = 258 OR length < 11 THEN 0 ELSE (len(list_filter(b, lambda x: x <= length)) - 5) // 4 END AS INTEGER) AS extra
-    FROM n, bases
+    n AS (SELECT 3 + event_id % 256 AS length FROM events)
+    SELECT CAST(256 + len(list_filter(b, lambda x: x <= length)) AS INTEGER) AS symbol,
+      CAST(CASE WHEN length = 258 OR length < 11 THEN 0 ELSE (len(list_filter(b, lambda x: x <= length)) - 5) // 4 END AS INTEGER) AS extra, count(*) AS n, CAST(min(length) AS BIGINT) AS least, CAST(max(length) AS BIGINT) AS most
+    FROM n, bases GROUP BY ALL
     """
 )
 def deflate_length_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(3, 259).select(F.col("id").alias("length"), C.length_symbol(F.col("id")).alias("symbol"), C.length_extra_bits(F.col("id")).alias("extra"))
+    """The symbols of match lengths taken from events."""
+    length = (F.col("event_id") % 256 + 3).cast("long")
+    rows = table(spark, sf_dir, "events").select(length.alias("length"))
+    return rows.groupBy(C.length_symbol(F.col("length")).alias("symbol"), C.length_extra_bits(F.col("length")).alias("extra")).agg(F.count("*").alias("n"), F.min("length").alias("least"), F.max("length").alias("most"))
 
 
 @query(
     """
     WITH bases AS (SELECT [1,2,3,4,5,7,9,13,17,25,33,49,65,97,129,193,257,385,513,769,1025,1537,2049,3073,4097,6145,8193,12289,16385,24577] AS b),
-    n AS (SELECT unnest(range(1, 32769)) AS distance)
-    SELECT distance, CAST(len(list_filter(b, lambda x: x <= distance)) - 1 AS INTEGER) AS symbol,
-      CAST(greatest((len(list_filter(b, lambda x: x <= distance)) - 3) // 2, 0) AS INTEGER) AS extra
-    FROM n, bases
+    n AS (SELECT 1 + event_id * 7919 % 32768 AS distance FROM events)
+    SELECT CAST(len(list_filter(b, lambda x: x <= distance)) - 1 AS INTEGER) AS symbol,
+      CAST(greatest((len(list_filter(b, lambda x: x <= distance)) - 3) // 2, 0) AS INTEGER) AS extra, count(*) AS n, CAST(min(distance) AS BIGINT) AS least, CAST(max(distance) AS BIGINT) AS most
+    FROM n, bases GROUP BY ALL
     """
 )
 def deflate_distance_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(1, 32769).select(F.col("id").alias("distance"), C.distance_symbol(F.col("id")).alias("symbol"), C.distance_extra_bits(F.col("id")).alias("extra"))
+    """The symbols of match distances taken from events."""
+    distance = (F.col("event_id") * 7919 % 32768 + 1).cast("long")
+    rows = table(spark, sf_dir, "events").select(distance.alias("distance"))
+    return rows.groupBy(C.distance_symbol(F.col("distance")).alias("symbol"), C.distance_extra_bits(F.col("distance")).alias("extra")).agg(F.count("*").alias("n"), F.min("distance").alias("least"), F.max("distance").alias("most"))
 
 
 @query(
@@ -333,10 +322,10 @@ def gzip_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("path", "name", "members", F.md5("content").alias("digest"), "error")
 
 
-@query("SELECT CAST(page_id % 16 AS VARCHAR) AS archive, 'page/' || page_id || '.html' AS name, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS size, true AS intact, NULL::VARCHAR AS error FROM pages")
+@query("SELECT CAST(page_id // 1000 AS VARCHAR) AS archive, 'page/' || page_id || '.html' AS name, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS size, true AS intact, NULL::VARCHAR AS error FROM pages")
 def zip_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages packed into sixteen archives and read back entry by entry."""
-    pages = table(spark, sf_dir, "pages").select((F.col("page_id") % 16).cast("string").alias("archive"), F.concat(F.lit("page/"), "page_id", F.lit(".html")).alias("name"), statistics.as_bytes("html").alias("content"))
+    """Pages packed into archives of at most a thousand and read back entry by entry."""
+    pages = table(spark, sf_dir, "pages").select(F.expr("cast(page_id div 1000 AS string)").alias("archive"), F.concat(F.lit("page/"), "page_id", F.lit(".html")).alias("name"), statistics.as_bytes("html").alias("content"))
     made = archives.build_zips(pages, "archive", "name", "content", level=1)
     return archives.zip_entries(made, "archive", "zip").select("archive", "name", "size", "intact", "error")
 
@@ -344,29 +333,9 @@ def zip_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Images
 
 
-_SQL_PIXELS = """
-q AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(least(greatest(floor((x::DOUBLE + 1) * 127.5), 0), 255) AS BIGINT) // 64 * 85) AS v FROM embeddings),
-pixels AS (SELECT vec_id, i AS at, i % 4 AS x, i // 4 AS y, v[4 * i + 1] AS r, v[4 * i + 2] AS g, v[4 * i + 3] AS b, CASE WHEN v[4 * i + 4] > 85 THEN 255 ELSE 0 END AS a
-  FROM (SELECT vec_id, v, unnest(range(0, len(v) // 4)) AS i FROM q))
-"""
-
-
-def coarse(column: str = "embedding") -> Column:
-    """Sixteen RGBA pixels with four levels a colour and alpha on or off."""
-    levels = F.transform(quantised(column), lambda x: (F.floor(x / 64) * 85).cast("int"))
-    return F.transform(levels, lambda v, i: F.when(i % 4 == 3, F.when(v > 85, 255).otherwise(0)).otherwise(v))
-
-
-def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", coarse().alias("v"))
-    rows = rows.select("vec_id", "v", F.explode(F.sequence(F.lit(0), F.floor(F.size("v") / 4).cast("int") - 1)).alias("at"))
-    sample = lambda k: F.get("v", F.col("at") * 4 + k).cast("long")
-    return rows.select("vec_id", "at", (F.col("at") % 4).alias("x"), F.floor(F.col("at") / 4).alias("y"), sample(0).alias("r"), sample(1).alias("g"), sample(2).alias("b"), sample(3).alias("a"))
-
-
 @query(
     f"""
-    WITH {_SQL_PIXELS}, s AS (
+    WITH {SQL_PIXELS}, s AS (
       SELECT vec_id, count(*) AS pixels, least(257, count(DISTINCT CASE WHEN a = 0 THEN 0 ELSE ((r * 256 + g) * 256 + b) * 256 + a END)) AS colors,
         bool_and(r = g AND g = b) AS gray, bool_and(a = 255) AS opaque,
         max(CASE WHEN r = g AND g = b THEN CASE WHEN r % 255 = 0 THEN 1 WHEN r % 85 = 0 THEN 2 WHEN r % 17 = 0 THEN 4 ELSE 8 END ELSE 8 END) AS bits
@@ -388,7 +357,7 @@ def color_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""
-    WITH {_SQL_PIXELS}, i AS (SELECT vec_id, x, y, r // 85 AS idx FROM pixels),
+    WITH {SQL_PIXELS}, i AS (SELECT vec_id, x, y, r // 85 AS idx FROM pixels),
     n AS (SELECT a.idx AS i, b.idx AS j FROM i a JOIN i b ON a.vec_id = b.vec_id AND ((b.x = a.x + 1 AND b.y = a.y) OR (b.x = a.x AND b.y = a.y + 1)))
     SELECT least(i, j) AS i, greatest(i, j) AS j, count(*) AS n FROM n GROUP BY ALL
     """
@@ -402,11 +371,6 @@ def neighbour_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SQL_COLORS = "c AS (SELECT p_size % 8 AS image, p_partkey * 37 % 256 AS r, p_partkey * 11 % 256 AS g, p_size * 5 % 256 AS b, CASE WHEN p_partkey % 9 = 0 THEN 128 ELSE 255 END AS a FROM part), k AS (SELECT *, count(*) AS n FROM c GROUP BY ALL)"
 
 
-def part_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part")
-    return p.select((F.col("p_size") % 8).alias("image"), (F.col("p_partkey") * 37 % 256).alias("r"), (F.col("p_partkey") * 11 % 256).alias("g"), (F.col("p_size") * 5 % 256).cast("long").alias("b"), F.when(F.col("p_partkey") % 9 == 0, 128).otherwise(255).cast("long").alias("a"))
-
-
 def _ordered(name: str, key: Callable[[], Column], sql: str, descending: bool = False) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         counts = colors.color_counts(part_colors(spark, sf_dir), ["image"])
@@ -423,16 +387,6 @@ _ordered("msb", lambda: C.msb_key(F.col("r"), F.col("g"), F.col("b")), _SQL_MSB)
 _ordered("yuv", lambda: F.col("r") * 299 + F.col("g") * 587 + F.col("b") * 114, "r * 299 + g * 587 + b * 114")
 
 
-@query(
-    """
-    SELECT o.ordering, p.priority, t.transparency, d.direction FROM (VALUES ('global'), ('nearest'), ('nearest weighted'), ('neighbour')) o(ordering),
-      (VALUES ('popularity'), ('rgb'), ('yuv'), ('lab'), ('msb')) p(priority), (VALUES ('ignore'), ('first'), ('sorted first')) t(transparency), (VALUES ('ascending'), ('descending')) d(direction)
-    """
-)
-def palette_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return colors.palette_grid(spark)
-
-
 @query("WITH u AS (SELECT DISTINCT p_size AS v FROM part) SELECT CAST(min(c.v) AS BIGINT) AS p_size FROM (SELECT 0 AS v UNION ALL SELECT v + 1 FROM u) c LEFT JOIN u USING (v) WHERE u.v IS NULL")
 def least_unused_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.least_unused(table(spark, sf_dir, "part"), "p_size")
@@ -443,7 +397,7 @@ def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanlines.encode_images(rows, "vec_id", "width", "samples")
 
 
-@query(f"WITH {_SQL_PIXELS} SELECT CAST(vec_id AS VARCHAR) AS key, count(DISTINCT ((r * 256 + g) * 256 + b) * 256 + a) AS colors, true AS intact FROM pixels GROUP BY vec_id")
+@query(f"WITH {SQL_PIXELS} SELECT CAST(vec_id AS VARCHAR) AS key, count(DISTINCT ((r * 256 + g) * 256 + b) * 256 + a) AS colors, true AS intact FROM pixels GROUP BY vec_id")
 def png_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every image written as PNG, decoded and compared."""
     return image_files(spark, sf_dir).select("key", "colors", "intact")
@@ -467,14 +421,14 @@ def png_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """
     SELECT CASE WHEN x % 8 = 0 AND y % 8 = 0 THEN 1 WHEN y % 8 = 0 AND x % 4 = 0 THEN 2 WHEN y % 4 = 0 AND x % 4 = 0 THEN 3 WHEN y % 4 = 0 AND x % 2 = 0 THEN 4
-      WHEN y % 2 = 0 AND x % 2 = 0 THEN 5 WHEN y % 2 = 0 THEN 6 ELSE 7 END::INTEGER AS pass, count(*) AS n
-    FROM (SELECT unnest(range(0, 100)) AS x), (SELECT unnest(range(0, 60)) AS y_) t(y) GROUP BY pass
+      WHEN y % 2 = 0 AND x % 2 = 0 THEN 5 WHEN y % 2 = 0 THEN 6 ELSE 7 END::INTEGER AS pass, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids
+    FROM (SELECT event_id, event_id % 100 AS x, event_id // 100 AS y FROM events) GROUP BY pass
     """
 )
 def interlace_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pixels of a 100 by 60 image in each interlace pass."""
-    grid = spark.range(6000).select((F.col("id") % 100).alias("x"), F.floor(F.col("id") / 100).alias("y"))
-    return grid.groupBy(C.adam7_pass(F.col("x"), F.col("y")).alias("pass")).agg(F.count("*").alias("n"))
+    """Events as the pixels of an image 100 wide: how many each interlace pass holds."""
+    pixel = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 100).alias("x"), F.expr("event_id div 100").alias("y"))
+    return pixel.groupBy(C.adam7_pass(F.col("x"), F.col("y")).alias("pass")).agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 
 
 @query("SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 10 BETWEEN 1 AND 8 THEN o_orderkey % 10 ELSE 0 END AS INTEGER) AS orientation FROM orders")
