@@ -57,6 +57,62 @@ def test_deflate_round_trip(level):
         assert D.inflate(D.deflate(data, level)) == data
 
 
+def test_every_match_is_one():
+    rnd = random.Random(2)
+    data = b"".join(rnd.choice([b"alpha ", b"beta", b"x", b"\0" * 40]) for _ in range(1500)) + bytes(rnd.randrange(4) for _ in range(3000))
+    for chain, every in ((4, False), (20_000, False), (64, True)):
+        found = D.Matches(data, chain, every=every)
+        for i in range(0, len(data), 7):
+            steps = found.at(i)
+            for n, d in steps:
+                assert data[i : i + n] == (data[i - d : i] * (n // d + 1))[:n] and 3 <= n <= 258 and d <= i
+            if steps and not every:
+                assert [n for n, _ in steps] == sorted({n for n, _ in steps}) and steps[-1] == (found.best_length[i], found.best_distance[i])
+            if chain == 20_000 and i % 49 == 0:
+                longest = max((n for j in range(max(0, i - 32768), i) if data[j : j + 3] == data[i : i + 3] for n in [next((k for k in range(3, 259) if i + k >= len(data) or k == 258 or data[j + k] != data[i + k]), 258)]), default=0)
+                assert (steps[-1][0] if steps else 0) == longest
+
+
+def test_rows_do_not_see_each_other():
+    rows = [b"abcabcabc", b"abcabc", b"", b"xabc"]
+    bounds = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    together = D.Matches(b"".join(rows), 32, bounds)
+    for k, row in enumerate(rows):
+        alone = D.Matches(row, 32)
+        assert [together.at(int(bounds[k]) + i) for i in range(len(row))] == [alone.at(i) for i in range(len(row))]
+
+
+def test_streams_follow_each_other():
+    rnd = random.Random(4)
+    data = b"".join(rnd.choice([b"one ", b"two ", b"three\n", bytes([rnd.randrange(256)])]) for _ in range(3000))
+    cut = len(data) // 3
+    for level in (2, 3):
+        parts = D.deflate(data[:cut], level, final=False) + D.deflate(data[cut:], level, window=data[:cut])
+        assert D.inflate(parts) == data
+    assert D.inflate(D.deflate(data, 4, master=700, rounds=1)) == data
+    assert len(D.deflate(data, 4, rounds=1)) <= len(zlib.compress(data, 9))
+
+
+def test_package_merge_is_optimal():
+    rnd = random.Random(5)
+    for _ in range(60):
+        counts = [rnd.choice([0, 1, 2, 3, 5, 8, 13, 400, 9000]) for _ in range(rnd.randrange(3, 7))]
+        used = [n for n in counts if n]
+        for limit in (3, 4, 7):
+            if 2 <= len(used) <= 1 << limit:
+                got = H.limited_lengths(counts, limit)
+                best = min(sum(n * k for n, k in zip(used, lengths)) for lengths in __import__("itertools").product(range(1, limit + 1), repeat=len(used)) if sum(2.0**-k for k in lengths) <= 1)
+                assert sum(n * k for n, k in zip(counts, got)) == best
+
+
+def test_smoothings_keep_used_symbols():
+    rnd = random.Random(6)
+    for _ in range(200):
+        counts = [rnd.choice([0, 0, 1, 2, 3, 50, 51, 52]) for _ in range(60)]
+        for way in (H.smoothed, H.strided):
+            assert all(b > 0 for a, b in zip(counts, way(counts)) if a > 0)
+
+
 @given(st.binary(max_size=600))
 @settings(max_examples=40, deadline=None)
 def test_deflate_any_bytes(data):
@@ -85,6 +141,47 @@ def test_inflate_is_strict():
         D.inflate(whole + b"y")
 
 
+def test_large_archives_and_members():
+    entries = [C.ZipEntry(b"%d" % k, 0, 0, 0, 0x21, 0, 0, 0, 0) for k in range(70_000)]
+    made = C.zip_write(entries, b"head")
+    back, base = C.zip_entries(made)
+    assert len(back) == 70_000 and base == 4 and len(zipfile.ZipFile(io.BytesIO(made)).namelist()) == 70_000
+    many = gzip.compress(b"x", mtime=0) * 20_000
+    assert C.gunzip(many)[0] == b"x" * 20_000
+    with pytest.raises(C.FormatError):
+        C.gunzip(gzip.compress(bytes(5_000_000)), most=1_000_000)
+
+
+def test_text_chunks():
+    for text in (P.Text(b"tEXt", "Title", "é plain"), P.Text(b"zTXt", "Note", "long " * 50, True), P.Text(b"iTXt", "Über", "日本 " * 30, True, "ja", "訳"), P.Text(b"iTXt", "k", "x")):
+        assert P.read_text(P.write_text(text)) == text
+    for kind, body in ((b"tEXt", b"no end"), (b"zTXt", b"k\0\1abc"), (b"zTXt", b"k\0\0abc"), (b"iTXt", b"k\0\0"), (b"tEXt", b"\0x"), (b"iTXt", b"k\0\0\0a\0b\0\xff")):
+        with pytest.raises(P.PngError):
+            P.read_text(P.Chunk(kind, body))
+    made = image(4, 4, "rgb")
+    made.extra.append((2, P.Chunk(b"zTXt", b"k\0\0" + zlib.compress(b"again " * 99, 0))))
+    small = P.optimize(P.encode(made, P.choose_mode(made)), 3)
+    assert [t.text for t in P.texts(small)] == ["again " * 99] and len(small) < 400
+
+
+def test_plan_of_each_level():
+    assert sorted(P.PLANS) == list(range(1, 10)) and P.PLANS[9].before == 3 and P.PLANS[4].bonus < P.PLANS[5].bonus
+    made = image(12, 12, "gray")
+    data = P.encode(made, P.Mode(6, 8), "0")
+    for level in (1, 5, 9):
+        assert P.same_image(P.decode(P.optimize(data, level, passes=1)), made)
+    assert P.same_image(P.decode(P.optimize(data, 2, all_filters=True, cheap=True, passes=0)), made)
+
+
+def test_genetic_filters_are_no_worse_than_plain_ones():
+    made = image(6, 9, "rgb")
+    lines = P.pack_samples(P.to_samples(made, P.Mode(2, 8)), 8)
+    types = P.choose_filters(lines, 3, "genetic")
+    size = lambda t: len(zlib.compress(P.apply_filters(lines, 3, t), 9))
+    assert size(types) <= min(size([k] * 6) for k in range(5)) and types == P.choose_filters(lines, 3, "genetic")
+    assert size(P.choose_filters(lines, 3, "cheap")) == min(size(P.choose_filters(lines, 3, s)) for s in P.INCREMENTAL)
+
+
 def image(height, width, kind, seed=0):
     r = np.random.default_rng(seed)
     px = np.full((height, width, 4), 255, np.uint16)
@@ -186,9 +283,11 @@ def test_hidden_colours_follow_the_filter():
 
 def test_short_matches_become_cheaper_literals():
     litlen = [2] * 257 + [12] * 31
-    tokens = [(97, 0), (98, 0), (99, 0), (3, 3), (20, 3)]
-    assert D.cheaper_literals(tokens, b"abcabc" + b"abc" * 7, litlen, [9] * 32) == [(97, 0), (98, 0), (99, 0), (97, 0), (98, 0), (99, 0), (20, 3)]
-    assert D.cheaper_literals(tokens, b"abcabc" + b"abc" * 7, [0] * 257 + [12] * 31, [9] * 32) == tokens
+    pairs = lambda t: list(zip(t.value.tolist(), t.distance.tolist()))
+    tokens = D.tokens_of([97, 98, 99, 3, 20], [0, 0, 0, 3, 3])
+    raw = b"abcabc" + b"abc" * 7
+    assert pairs(D.cheaper_literals(tokens, raw, litlen, [9] * 32)) == [(97, 0), (98, 0), (99, 0), (97, 0), (98, 0), (99, 0), (20, 3)]
+    assert pairs(D.cheaper_literals(tokens, raw, [0] * 257 + [12] * 31, [9] * 32)) == pairs(tokens)
 
 
 def test_gzip():

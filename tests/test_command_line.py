@@ -27,6 +27,28 @@ def test_files_are_optimised_in_place(spark, tmp_path, capsys):
     assert main([str(tmp_path / "missing.png")]) == 1 and main(["-help"]) == 0
 
 
+def test_flags_take_effect(spark, tmp_path, capsys):
+    from bytewright.codecs import jpeg
+    from bytewright.options import parse_args
+
+    part = jpeg.Component(1, 1, 1, 0, blocks=np.arange(128, dtype=np.int32).reshape(1, 2, 64) % 50)
+    orientation = (0xE1, b"Exif\0\0MM\0*\0\0\0\x08\0\1\1\x12\0\3\0\0\0\1\0\6\0\0\0\0\0\0")
+    picture = jpeg.Jpeg(16, 8, {0: (1,) * 64}, [part], [orientation])
+    picture.lay_out()
+    (tmp_path / "p.jpg").write_bytes(jpeg.write(picture))
+    assert main(["-progressive", "-strip", "-autorotate", str(tmp_path / "p.jpg")]) == 0
+    turned = jpeg.read((tmp_path / "p.jpg").read_bytes())
+    assert (turned.width, turned.height) == (8, 16) and not turned.segments
+    text = b"alpha beta gamma " * 4000
+    (tmp_path / "t.txt").write_bytes(text)
+    assert main(["-3", "-gzip", "--mt-deflate=4", "--mt-file=2", str(tmp_path / "t.txt")]) == 0
+    assert gzip.decompress((tmp_path / "t.txt.gz").read_bytes()) == text
+    main(["--arithmetic", "-quiet", str(tmp_path / "p.jpg")])
+    assert "--arithmetic" in capsys.readouterr().out
+    options = parse_args(["-20015", "--allfilters-c"])[0]
+    assert (options.level, options.iterations, options.twice, options.all_filters_cheap) == (9, 15, 2, True)
+
+
 def test_zip(tmp_path, capsys):
     (tmp_path / "d" / "empty").mkdir(parents=True)
     (tmp_path / "d" / "x.txt").write_bytes(b"x" * 500)

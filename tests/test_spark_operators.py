@@ -13,7 +13,8 @@ from bytewright.codecs import containers, png
 from bytewright.functions import columns as C
 from bytewright.operators import recompress, scanlines, statistics
 from bytewright.options import Options, parse_args
-from bytewright.plans import catalog
+from bytewright.plans import catalog, catalog_codecs  # noqa: F401
+from bytewright.plans.registry import ORACLE_SQL, QUERIES
 from bytewright.sources import archives, files, sinks
 from bytewright.streaming.watch import watch
 
@@ -138,18 +139,45 @@ def test_watched_folder_equals_the_batch(spark, tmp_path):
     assert key(spark.read.parquet(str(tmp_path / "out"))) == key(batch)
 
 
+def test_gzip_in_blocks(spark):
+    rnd = np.random.default_rng(3)
+    big = b"".join(rnd.choice([b"alpha ", b"beta ", b"gamma\n", b"\0\1\2"], 4000).tolist())
+    c = zlib.compressobj(0, zlib.DEFLATED, -15)
+    loose = containers.gzip_frame(c.compress(big) + c.flush(), zlib.crc32(big), len(big), "n", 5)
+    rows = [("a/new.txt", big), ("b.gz", loose), ("c", b""), ("d", b"\x1f\x8b\x08\x20" + b"\0" * 20), ("e", loose[:-3]), ("f", gzip.compress(b"tiny", 9, mtime=0))]
+    made = {r.path: r for r in recompress.optimize_gzip_in_blocks(spark.createDataFrame(rows, "path string, content binary"), Options(level=3), master=5000).collect()}
+    assert {k: r.status for k, r in made.items()} == {"a/new.txt": "created", "b.gz": "smaller", "c": "empty", "d": "refused", "e": "error: truncated", "f": "kept"}
+    for k in ("a/new.txt", "b.gz"):
+        assert gzip.decompress(made[k].content) == big and made[k].after == len(made[k].content) < len(big)
+    assert containers.gunzip(made["b.gz"].content)[1][0].mtime == 5 and made["e"].content == loose[:-3] and made["f"].content == rows[5][1]
+
+
+def test_texts_and_coefficients_as_rows(spark):
+    from bytewright.codecs import jpeg
+
+    image = png.Image(np.full((2, 2, 4), 9, np.uint16), extra=[(1, png.write_text(png.Text(b"iTXt", "k", "é", True, "fr", "c")))])
+    data = png.encode(image, png.choose_mode(image))
+    found = archives.png_texts(spark.createDataFrame([("p", data), ("q", data[:50])], "path string, content binary")).collect()
+    assert [(r.path, r.keyword, r.text, r.language, r.compressed) for r in found if not r.error] == [("p", "k", "é", "fr", True)] and sum(bool(r.error) for r in found) == 1
+    part = jpeg.Component(1, 1, 1, 0, blocks=np.arange(128, dtype=np.int32).reshape(1, 2, 64))
+    picture = jpeg.Jpeg(16, 8, {0: (1,) * 64}, [part], [])
+    picture.lay_out()
+    rows = archives.jpeg_coefficients(spark.createDataFrame([("j", jpeg.write(picture, True))], "path string, content binary")).collect()
+    assert [(r.x, r.coefficients) for r in sorted(rows, key=lambda r: r.x)] == [(0, list(range(64))), (1, list(range(64, 128)))]
+
+
 def norm(value):
-    return round(value, 9) if isinstance(value, float) else value
+    return round(value, 9) if isinstance(value, float) else tuple(map(norm, value)) if isinstance(value, list) else value
 
 
-@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "embeddings", "pages", "conversations", "events", "orders", "lineitem", "part", "nation"):
+    for table in ("documents", "embeddings", "pages", "conversations", "events", "orders", "lineitem", "part", "nation", "benchmark"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{DATA}/sf0.001/{table}.parquet')")
-    got = catalog.QUERIES[name](spark, f"{DATA}/sf0.001")
+    got = QUERIES[name](spark, f"{DATA}/sf0.001")
     columns = sorted(got.columns)
-    cursor = con.execute(catalog.ORACLE_SQL[name])
+    cursor = con.execute(ORACLE_SQL[name])
     names = [d[0] for d in cursor.description]
     assert sorted(names) == columns
     want = [tuple(norm(r[names.index(c)]) for c in columns) for r in cursor.fetchall()]
@@ -159,9 +187,9 @@ def test_query_equals_sql(spark, name):
 
 @pytest.mark.parametrize("name", ["savings_report", "gzip_best_level", "crc32_text"])
 def test_other_queries_run(spark, name):
-    assert catalog.QUERIES[name](spark, f"{DATA}/sf0.001").count() > 0
+    assert QUERIES[name](spark, f"{DATA}/sf0.001").count() > 0
 
 
 def test_crc_agrees(spark):
-    for r in catalog.QUERIES["crc32_text"](spark, f"{DATA}/sf0.001").join(spark.read.parquet(f"{DATA}/sf0.001/documents.parquet"), "doc_id").collect():
+    for r in QUERIES["crc32_text"](spark, f"{DATA}/sf0.001").join(spark.read.parquet(f"{DATA}/sf0.001/documents.parquet"), "doc_id").collect():
         assert r.crc32 == zlib.crc32((r.text or "").encode())
