@@ -147,7 +147,7 @@ def _locate(p: PassageParams):
                 picked = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(hashes.view(np.int64)), pa.array(digests, pa.binary()), part.column(0).take(picked), part.column(2).take(picked), pa.array((at - words.bounds[row]).astype(np.int32)), pa.array(count.astype(np.int32))],
-                    names=["phrase", "segment", "doc_id", "whole", "at", "n"],
+                    names=["phrase", "segment", "doc_id", "tag", "at", "n"],
                 )
 
     return run
@@ -175,7 +175,7 @@ def _windows(p: PassageParams):
                     picked = pa.array(rows)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([_digest(words.text(w, w + p.window)) for w in some.tolist()], pa.binary()), part.column(0).take(picked), part.column(2).take(picked), pa.array((some - words.bounds[rows]).astype(np.int32))],
-                        names=["window", "doc_id", "whole", "at"],
+                        names=["window", "doc_id", "tag", "at"],
                     )
 
     return run
@@ -254,22 +254,24 @@ def remove_repeated_passages(docs: DataFrame, params: PassageParams = PassagePar
     uses = keep(first.select("doc_id", "whole", "tag", F.explode(F.array_distinct("phrases")).alias("phrase")), "pas-uses")
     # The sides that hot phrases, runs and windows are joined with are tables, so that AQE can split a hot partition.
     repeated = keep(uses.groupBy("phrase").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("phrase"), "pas-repeated")
+    # From here on a document is its id and the tag of its text.
     per_doc = uses.join(repeated, "phrase").groupBy("doc_id", "whole", "tag").agg(F.collect_list("phrase").alias("phrases"))
-    shards = keep(rows.join(per_doc, ["doc_id", "tag"]).select("doc_id", "text", "whole", "phrases").dropDuplicates(["doc_id", "whole"]), "pas-shards")
+    shards = rows.join(per_doc, ["doc_id", "tag"]).select("doc_id", "text", "tag", "phrases", "whole").dropDuplicates(["doc_id", "tag"])
+    shards = keep(shards, "pas-shards")
 
-    runs = keep(map_arrow(shards, _locate(p), "phrase long, segment binary, doc_id long, whole binary, at int, n int"), "pas-runs")
+    runs = keep(map_arrow(shards.drop("whole"), _locate(p), "phrase long, segment binary, doc_id long, tag long, at int, n int"), "pas-runs")
     firsts = keep(runs.groupBy("phrase", "segment").agg(F.min("doc_id").alias("owner")), "pas-firsts")
     differ = keep(firsts.groupBy("phrase").agg(F.min("owner").alias("lo"), F.max("owner").alias("hi"), F.count("*").alias("c")).where("c > 1 AND lo < hi").select("phrase"), "pas-differ")
     judged = runs.join(firsts, ["phrase", "segment"])
-    later = judged.where("doc_id > owner").select("doc_id", "whole", F.struct("at", "n").alias("span"))
-    checked = judged.where("doc_id = owner").join(differ, "phrase").groupBy("doc_id", "whole").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
-    checked = shards.select("doc_id", "text", "whole").join(checked, ["doc_id", "whole"]).select("doc_id", "text", "whole", "spans")
-    windows = keep(map_arrow(checked, _windows(p), "window binary, doc_id long, whole binary, at int"), "pas-windows")
+    later = judged.where("doc_id > owner").select("doc_id", "tag", F.struct("at", "n").alias("span"))
+    checked = judged.where("doc_id = owner").join(differ, "phrase").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
+    checked = shards.select("doc_id", "text", "tag").join(checked, ["doc_id", "tag"]).select("doc_id", "text", "tag", "spans")
+    windows = keep(map_arrow(checked, _windows(p), "window binary, doc_id long, tag long, at int"), "pas-windows")
     firsts = windows.groupBy("window").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("hi")).where("owner < hi").select("window", "owner")
     firsts = keep(firsts, "pas-window-firsts")
-    single = windows.join(firsts, "window").where("doc_id > owner").select("doc_id", "whole", F.struct("at", F.lit(1).alias("n")).alias("span"))
-    gone = later.unionAll(single).groupBy("doc_id", "whole").agg(F.collect_list("span").alias("spans"))
-    cleaned = shards.select("doc_id", "text", "whole").join(gone, ["doc_id", "whole"]).select("doc_id", "text", "whole", "spans")
+    single = windows.join(firsts, "window").where("doc_id > owner").select("doc_id", "tag", F.struct("at", F.lit(1).alias("n")).alias("span"))
+    gone = later.unionAll(single).groupBy("doc_id", "tag").agg(F.collect_list("span").alias("spans"))
+    cleaned = shards.drop("phrases").join(gone, ["doc_id", "tag"]).select("doc_id", "text", "whole", "spans")
     cleaned = settle(map_arrow(cleaned, _remove(p), "doc_id long, whole binary, n_words long, n_removed long, text string"), "pas-cleaned")
     discard(*made)
     return PassageResult(cleaned, whole)
