@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from .deflate import best_deflate, inflate
@@ -239,21 +240,54 @@ def _directory(data: bytes, base: int, at: int, end: int, count: int) -> list[Zi
     return out
 
 
+class ZipStream:
+    """Writes an archive without extra fields, descriptors and comments, entry by entry; from 65,535 entries on with ZIP64
+    end records.  Only the directory is held."""
+
+    def __init__(self, write: Callable[[bytes], object], prefix: bytes = b""):
+        self.write, self.place, self.count, self.directory = write, 0, 0, bytearray()
+        if prefix:
+            write(prefix)
+
+    def add(self, e: ZipEntry) -> None:
+        flags = e.flags & ~8
+        common = struct.pack("<HHHHHIIIH", 20, flags, e.method, e.time, e.date, e.crc32, len(e.data), e.size, len(e.name))
+        head = b"PK\3\4" + common + b"\0\0" + e.name
+        if self.place > 0xFFFFFFFE - len(head) - len(e.data):
+            raise FormatError("archive of 4 GiB or more")
+        self.write(head)
+        self.write(e.data)
+        self.directory += b"PK\1\2" + struct.pack("<H", e.version_made) + common + struct.pack("<HHHHII", 0, 0, 0, e.internal, e.external, self.place) + e.name
+        self.place += len(head) + len(e.data)
+        self.count += 1
+
+    def finish(self) -> None:
+        start, size = self.place, len(self.directory)
+        self.write(bytes(self.directory))
+        if self.count >= 0xFFFF:
+            self.write(b"PK\6\6" + struct.pack("<QHHIIQQQQ", 44, 45, 45, 0, 0, self.count, self.count, size, start) + b"PK\6\7" + struct.pack("<IQI", 0, start + size, 1))
+            self.write(b"PK\5\6" + struct.pack("<HHHHIIH", 0, 0, 0xFFFF, 0xFFFF, 0xFFFFFFFF, 0xFFFFFFFF, 0))
+        else:
+            self.write(b"PK\5\6" + struct.pack("<HHHHIIH", 0, 0, self.count, self.count, size, start, 0))
+
+
 def zip_write(entries: list[ZipEntry], prefix: bytes = b"") -> bytes:
-    """An archive without extra fields, descriptors and comments; from 65,535 entries on with ZIP64 end records."""
-    out, directory = bytearray(prefix), bytearray()
+    """An archive in memory."""
+    out = bytearray()
+    stream = ZipStream(out.extend, prefix)
     for e in entries:
-        flags, local = e.flags & ~8, len(out) - len(prefix)
-        common = struct.pack("<HHHHHIIIH", 20, flags, e.method, e.time, e.date, e.crc32, len(e.data), e.size, len(e.name))
-        out += b"PK\3\4" + common + b"\0\0" + e.name + e.data
-        directory += b"PK\1\2" + struct.pack("<H", e.version_made) + common + struct.pack("<HHHHII", 0, 0, 0, e.internal, e.external, local) + e.name
-    start = len(out) - len(prefix)
-    if len(entries) >= 0xFFFF:
-        large = b"PK\6\6" + struct.pack("<QHHIIQQQQ", 44, 45, 45, 0, 0, len(entries), len(entries), len(directory), start)
-        place = start + len(directory)
-        directory += large + b"PK\6\7" + struct.pack("<IQI", 0, place, 1) + b"PK\5\6" + struct.pack("<HHHHIIH", 0, 0, 0xFFFF, 0xFFFF, 0xFFFFFFFF, 0xFFFFFFFF, 0)
-        return bytes(out + directory)
-    return bytes(out + directory + b"PK\5\6" + struct.pack("<HHHHIIH", 0, 0, len(entries), len(entries), len(directory), start, 0))
+        stream.add(e)
+    stream.finish()
+    return bytes(out)
+
+
+def zip_entry(name: str, content: bytes, level: int = 3, date: int = 0x21, time: int = 0, passes: int | None = None, rounds: int = 0) -> ZipEntry:
+    """A new entry, stored if deflating does not help.  A directory ends with /."""
+    if not valid_archive_name(name):
+        raise FormatError(f"name: {name}")
+    packed = best_deflate(content, level, passes, rounds) if content else b""
+    method = 8 if content and len(packed) < len(content) else 0
+    return ZipEntry(name.encode(), method, 0, time, date, zlib.crc32(content), 0, len(content), 0, data=packed if method else content, external=0x10 if name.endswith("/") else 0)
 
 
 def zip_content(entry: ZipEntry) -> bytes | None:
@@ -273,13 +307,10 @@ def zip_create(files: list[tuple[str, bytes]], existing: bytes = b"", date: int
     names = {e.name.lower() for e in entries}
     entries = list(entries)
     for name, content in files:
-        raw = name.encode()
-        if not valid_archive_name(name) or raw.lower() in names:
+        if name.encode().lower() in names:
             raise FormatError(f"name: {name}")
-        names.add(raw.lower())
-        packed = best_deflate(content, level) if content else b""
-        method = 8 if content and len(packed) < len(content) else 0
-        entries.append(ZipEntry(raw, method, 0, time, date, zlib.crc32(content), 0, len(content), 0, data=packed if method else content, external=0x10 if name.endswith("/") else 0))
+        names.add(name.encode().lower())
+        entries.append(zip_entry(name, content, level, date, time))
     return zip_write(entries, existing[:base])
 
 
@@ -303,28 +334,25 @@ def _nested(name: bytes, content: bytes, level: int, depth: int, passes: int | N
     return content
 
 
+def zip_optimize_entry(e: ZipEntry, level: int = 3, strict: bool = False, depth: int = 0, passes: int | None = None, rounds: int = 0) -> ZipEntry:
+    """The entry as the smallest of stored, old and new; one that cannot be read as it is."""
+    content = zip_content(e)
+    if content is None:
+        return e
+    inner = content if strict else _nested(e.name, content, level, depth, passes, rounds)
+    changed = {"crc32": zlib.crc32(inner), "size": len(inner)}
+    if e.method == 0 or not inner:
+        return replace(e, method=0, data=inner, **changed)
+    packed = best_deflate(inner, level, passes, rounds)
+    if len(inner) <= len(packed) and (len(inner) <= len(e.data) or inner != content):
+        return replace(e, method=0, data=inner, **changed)
+    return replace(e, method=8, data=packed, **changed) if inner != content or len(packed) < len(e.data) else e
+
+
 def zip_optimize(data: bytes, level: int = 3, strict: bool = False, depth: int = 0, passes: int | None = None, rounds: int = 0) -> bytes:
-    """The archive with each entry as the smallest of stored, old and new; the input if that is not smaller."""
+    """The archive with each entry at its smallest; the input if that is not smaller."""
     entries, base = zip_entries(data)
-    out = []
-    for e in entries:
-        content = zip_content(e)
-        if content is None:
-            out.append(e)
-            continue
-        inner = content if strict else _nested(e.name, content, level, depth, passes, rounds)
-        changed = {"crc32": zlib.crc32(inner), "size": len(inner)}
-        if e.method == 0 or not inner:
-            out.append(replace(e, method=0, data=inner, **changed))
-            continue
-        packed = best_deflate(inner, level, passes, rounds)
-        if len(inner) <= len(packed) and (len(inner) <= len(e.data) or inner != content):
-            out.append(replace(e, method=0, data=inner, **changed))
-        elif inner != content or len(packed) < len(e.data):
-            out.append(replace(e, method=8, data=packed, **changed))
-        else:
-            out.append(e)
-    made = zip_write(out, data[:base])
+    made = zip_write([zip_optimize_entry(e, level, strict, depth, passes, rounds) for e in entries], data[:base])
     if len(made) >= len(data):
         return data
     check, _ = zip_entries(made)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import stat
 import zlib
 from collections.abc import Iterator
 
@@ -20,7 +21,13 @@ def never_larger(results: DataFrame, or_equal: bool = False) -> DataFrame:
 
 
 def replace_file(path: str, content: bytes, times: tuple[float, float] | None = None) -> None:
-    """Write beside the target, check what was written, then rename over it; ``times`` (atime, mtime) are restored."""
+    """Write beside the target, check what was written, then rename over it; ``times`` (atime, mtime) are restored.
+
+    A file that nobody may write is left alone; another keeps its permissions.
+    """
+    mode = stat.S_IMODE(os.stat(path).st_mode) if os.path.exists(path) else None
+    if mode is not None and not mode & (stat.S_IWUSR | stat.S_IWGRP | stat.S_IWOTH):
+        raise PermissionError(f"{path} is read-only")
     temporary = f"{path}.tmp"
     with open(temporary, "xb") as out:
         out.write(content)
@@ -28,6 +35,8 @@ def replace_file(path: str, content: bytes, times: tuple[float, float] | None =
         if zlib.crc32(back.read()) != zlib.crc32(content):
             os.unlink(temporary)
             raise OSError(f"write of {path} failed")
+    if mode is not None:
+        os.chmod(temporary, mode)
     os.replace(temporary, path)
     if times:
         os.utime(path, times)

@@ -49,7 +49,20 @@ def test_flags_take_effect(spark, tmp_path, capsys):
     assert (options.level, options.iterations, options.twice, options.all_filters_cheap) == (9, 15, 2, True)
 
 
-def test_zip(tmp_path, capsys):
+def test_read_only_files_stay(spark, tmp_path):
+    data = gzip.compress(b"x" * 5000, 1)
+    for name, mode in (("a.png", 0o444), ("b.txt", 0o640)):
+        (tmp_path / name).write_bytes(data)
+        os.chmod(tmp_path / name, mode)
+    from bytewright.sources.sinks import write_files
+
+    rows = [(f"file:{tmp_path}/a.png", b"new"), (f"file:{tmp_path}/b.txt", b"new")]
+    out = {os.path.basename(r.path): r.written for r in write_files(spark.createDataFrame(rows, "path string, content binary")).collect()}
+    assert out == {"a.png": False, "b.txt": True} and (tmp_path / "a.png").read_bytes() == data
+    assert os.stat(tmp_path / "b.txt").st_mode & 0o777 == 0o640 and not list(tmp_path.glob("*.tmp"))
+
+
+def test_zip(spark, tmp_path, capsys):
     (tmp_path / "d" / "empty").mkdir(parents=True)
     (tmp_path / "d" / "x.txt").write_bytes(b"x" * 500)
     assert main(["-zip", str(tmp_path / "d")]) == 0
