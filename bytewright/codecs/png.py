@@ -407,13 +407,17 @@ def color_statistics(image: Image) -> dict:
     return {"colors": colors[order], "counts": counts[order], "gray": gray, "alpha": bool((alpha != top).any()), "key": key, "narrow": narrow, "bits": bits, "pixels": len(flat)}
 
 
+#: Fixed value: images of at most so many pixels get no colour key.
+KEY_PIXELS = 49
+
+
 def choose_mode(image: Image, allow_palette: bool = True) -> Mode:
     """The smallest lossless mode: palette, gray, RGB, with key or alpha."""
     s = color_statistics(image)
     if not s["narrow"]:
         color = (0 if s["gray"] else 2) + (4 if s["alpha"] else 0)
         return Mode(color, 16)
-    key = s["key"] if s["pixels"] > 49 else None
+    key = s["key"] if s["pixels"] > KEY_PIXELS else None
     alpha = s["alpha"] and key is None
     n = len(s["colors"])
     pal_bits = 1 if n <= 2 else 2 if n <= 4 else 4 if n <= 16 else 8

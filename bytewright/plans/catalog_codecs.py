@@ -431,6 +431,30 @@ def png_every_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_arrow(rows, _kernel(_every_mode, fields), "vec_id long, color int, depth int, interlaced boolean, height long, sums array<bigint>, rewritten array<bigint>, lines long, comments array<string>")
 
 
+def _loose(key: int, samples: list[int]):
+    """An RGBA file whose pixels are stored, not compressed, in chunks of up to 40 bytes."""
+    image = png.Image(np.array(samples, np.uint16).reshape(-1, 4, 4))
+    whole = png.chunks(png.encode(image, png.Mode(6, 8), "0", lambda raw: zlib.compress(raw, 0)))
+    stream = b"".join(c.data for c in whole if c.kind == b"IDAT")
+    cut = [png.write_chunk(b"IDAT", stream[k : k + 40]) for k in range(0, len(stream), 40)]
+    yield key, png.SIGNATURE + png.write_chunk(b"IHDR", whole[0].data) + b"".join(cut) + png.write_chunk(b"IEND", b"")
+
+
+@query(
+    """
+    SELECT CAST(vec_id AS VARCHAR) AS path, CAST(s AS BIGINT) AS idat, CAST((s + 39) // 40 AS BIGINT) AS n_chunks, CAST(1 AS BIGINT) AS merged
+    FROM (SELECT vec_id, len(embedding) // 16 * 17 + 11 AS s FROM embeddings)
+    """
+)
+def png_idat_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The compressed size of images in many chunks, and how many chunks are left when they are joined."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long"), coarse().alias("samples"))
+    made = map_arrow(rows, _kernel(_loose, [("path", pa.int64()), ("content", pa.binary())]), "path long, content binary")
+    joined = map_arrow(made, _kernel(lambda path, data: [(path, png.strip(data))], [("path", pa.int64()), ("content", pa.binary())]), "path long, content binary")
+    merged = archives.png_idat_sizes(joined).select("path", F.col("n_chunks").alias("merged"))
+    return archives.png_idat_sizes(made).join(merged, "path")
+
+
 def _reduced(key: int, samples: list[int]):
     """A 16-bit RGBA file of the pixels, rewritten at level 1."""
     px = np.array(samples, np.uint16).reshape(-1, 4, 4)

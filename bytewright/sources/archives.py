@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..codecs import containers, jpeg, png
 from ..runtime import map_arrow, ship
@@ -83,6 +84,11 @@ def png_chunks(files: DataFrame, key: str = "path", content: str = "content") ->
     return _each(files, key, content, one, kinds)
 
 
+def png_idat_sizes(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
+    """The bytes of compressed pixels in each file, whatever the number of chunks."""
+    return png_chunks(files, key, content).where("type = 'IDAT'").groupBy(key).agg(F.sum("length").alias("idat"), F.count("*").alias("n_chunks"))
+
+
 def png_filter_types(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
     """One row per stored scanline with its filter type."""
     return _each(files, key, content, lambda data: enumerate(png.filter_types(data)), [("y", "int", pa.int32()), ("filter_type", "int", pa.int32())])
