@@ -145,7 +145,13 @@ def adler32_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.checksums(table(spark, sf_dir, "documents"), "doc_id", "text").select("key", "size", "adler32")
 
 
-@query()
+@query(
+    """
+    WITH b AS (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS bytes FROM documents),
+    t AS (SELECT list_transform(range(0, 256), lambda n: list_reduce(list_concat([n], range(0, 8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc)
+    SELECT doc_id, xor(list_reduce(list_concat([4294967295::BIGINT], bytes), lambda c, x: xor(crc[CAST(xor(c, x) & 255 AS BIGINT) + 1], c >> 8)), 4294967295::BIGINT) AS crc32 FROM b, t
+    """
+)
 def crc32_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.crc32(statistics.as_bytes("text")).alias("crc32"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -18,7 +19,7 @@ from ..operators import colors, recompress
 from ..operators.statistics import as_bytes
 from ..options import Options, level_options
 from ..runtime import map_arrow
-from ..sources import archives, files
+from ..sources import archives, files, sinks
 from ..streaming.watch import watch
 from .images import SQL_PIXELS, coarse, part_colors, pixels
 from .registry import query, shared_folder, table
@@ -214,6 +215,30 @@ def watched_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.agg(F.count("*").alias("files"), F.sum(F.octet_length(name)).cast("long").alias("bytes"), F.array_join(F.sort_array(F.collect_list(F.md5(name.cast("binary")))), ",").alias("digests"))
 
 
+@query(
+    """
+    SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN n_name WHEN n_nationkey % 3 = 1 THEN n_name || n_name ELSE n_name || '+' END AS content, CAST(1000000000 + n_nationkey AS BIGINT) AS modified FROM nation
+    """
+)
+def written_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations written as files, then over them what is smaller, and what was made anew; times are kept."""
+    path = shared_folder(spark, "written")
+    os.makedirs(path.removeprefix("file://"), exist_ok=True)
+    n = table(spark, sf_dir, "nation")
+    target = F.concat(F.lit(path + "/"), F.col("n_nationkey"), F.lit(".txt"))
+    moment = F.timestamp_seconds(F.col("n_nationkey") + 1_000_000_000)
+    rows = n.select(target.alias("path"), F.concat("n_name", "n_name").cast("binary").alias("content"), moment.alias("modificationTime"))
+    sinks.write_files(rows, keep_time=True).agg(F.count("written")).first()
+    case = F.col("n_nationkey") % 3
+    text = F.when(case == 0, F.col("n_name")).when(case == 1, F.concat("n_name", "n_name", "n_name")).otherwise(F.concat("n_name", F.lit("+")))
+    status = F.when(case == 2, "created").otherwise("kept")
+    again = n.select(target.alias("path"), text.cast("binary").alias("content"), moment.alias("modificationTime"), (2 * F.length("n_name")).alias("before"), F.length(text).alias("after"), status.alias("status"))
+    sinks.write_files(sinks.never_larger(again), keep_time=True).agg(F.count("written")).first()
+    back = spark.read.format("binaryFile").load(path)
+    key = n.schema["n_nationkey"].dataType
+    return back.select(F.regexp_extract("path", r"(\d+)\.txt$", 1).cast(key).alias("n_nationkey"), F.col("content").cast("string").alias("content"), F.unix_timestamp("modificationTime").alias("modified"))
+
+
 # Codes
 
 
@@ -254,7 +279,7 @@ def _order_lengths(key: int, quantities: list[int]):
         back: list[int] = []
         for symbol, extra in huffman.rle_code_lengths(lengths, even=even):
             back += [back[-1]] * (extra + 3) if symbol == 16 else [0] * (extra + (3 if symbol == 17 else 11)) if symbol > 16 else [symbol]
-        yield key, even, codes, back, len(lengths)
+        yield key, even, codes, back, len(lengths), huffman.two_distance_codes([*lengths, 0, 0])
 
 
 @query(
@@ -263,15 +288,17 @@ def _order_lengths(key: int, quantities: list[int]):
     l AS (SELECT k, list_transform(flatten(list_transform(q, lambda x: list_transform(range(0, 1 + x % 5), lambda y: x % 16))), lambda z: CAST(z AS INTEGER)) AS lengths FROM o),
     s AS (SELECT k, unnest(lengths) AS n, generate_subscripts(lengths, 1) AS i FROM l),
     c AS (SELECT k, i, n, CASE WHEN n > 0 THEN coalesce(sum(CASE WHEN n > 0 THEN 32768 >> n ELSE 0 END) OVER (PARTITION BY k ORDER BY n, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT >> (15 - n) ELSE 0 END AS code FROM s)
-    SELECT l.k AS l_orderkey, even, codes, lengths AS back, CAST(len(lengths) AS BIGINT) AS n FROM l JOIN (SELECT k, list(CAST(code AS BIGINT) ORDER BY i) AS codes FROM c GROUP BY k) x ON x.k = l.k, (VALUES (false), (true)) e(even)
+    SELECT l.k AS l_orderkey, even, codes, lengths AS back, CAST(len(lengths) AS BIGINT) AS n,
+      list_transform(list_concat(lengths, [0, 0]), lambda n, i: CAST(CASE WHEN n = 0 AND i <= 2 AND len(list_filter(lengths, lambda m: m > 0)) + CASE WHEN i = 2 AND lengths[1] = 0 THEN 1 ELSE 0 END < 2 THEN 1 ELSE n END AS INTEGER)) AS patched
+    FROM l JOIN (SELECT k, list(CAST(code AS BIGINT) ORDER BY i) AS codes FROM c GROUP BY k) x ON x.k = l.k, (VALUES (false), (true)) e(even)
     """
 )
 def canonical_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical codes of code lengths taken from orders, and the lengths themselves after run-length coding."""
     line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.col("l_quantity").cast("long").alias("q"))
     orders = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("long").alias("k")).agg(F.sort_array(F.collect_list(line)).alias("lines"))
-    fields = [("l_orderkey", pa.int64()), ("even", pa.bool_()), ("codes", pa.list_(pa.int64())), ("back", pa.list_(pa.int32())), ("n", pa.int64())]
-    return map_arrow(orders.select("k", "lines.q"), _kernel(_order_lengths, fields), "l_orderkey long, even boolean, codes array<bigint>, back array<int>, n long")
+    fields = [("l_orderkey", pa.int64()), ("even", pa.bool_()), ("codes", pa.list_(pa.int64())), ("back", pa.list_(pa.int32())), ("n", pa.int64()), ("patched", pa.list_(pa.int32()))]
+    return map_arrow(orders.select("k", "lines.q"), _kernel(_order_lengths, fields), "l_orderkey long, even boolean, codes array<bigint>, back array<int>, n long, patched array<int>")
 
 
 @query("SELECT o_orderkey, CAST(least(greatest(n % 10000, 1), 9) AS INTEGER) AS level, CAST(CASE WHEN n % 10000 > 9 THEN n % 10000 END AS INTEGER) AS iterations, CAST(n // 10000 AS INTEGER) AS twice FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey % 12 ELSE o_orderkey END AS n FROM orders)")
@@ -481,6 +508,38 @@ def png_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_arrow(rows, _kernel(_reduced, fields), "vec_id long, color int, colors long, pixels array<int>, smaller boolean").drop("color")
 
 
+_STRATEGIES = (*png.STRATEGIES, "given", *png.BRUTE, *png.CHEAP, "palettes")
+
+
+def _filtered(key: int, lines: list[list[int]]):
+    """An image under every filter strategy, and rewritten with other palettes, decoded again."""
+    px = np.array(lines, np.uint16).reshape(len(lines), -1, 4)
+    image = png.Image(px, filters=[k % 5 for k in range(len(lines))])
+    for name in _STRATEGIES:
+        if name == "palettes":
+            made = png.optimize(png.encode(image, png.Mode(6, 8)), 2, palette_sort=12)
+        else:
+            made = png.encode(image, png.Mode(6, 8), name)
+        back = png.decode(made)
+        yield key, name, ",".join(map(str, back.pixels.reshape(-1).tolist())), back.filters == image.filters if name == "given" else len(back.filters) == len(lines)
+
+
+@query(
+    f"""
+    WITH q AS (SELECT vec_id, list_transform({_SQL_QUANTISED}, lambda x: x // 64 * 85) AS v FROM embeddings),
+    c AS (SELECT vec_id, list_transform(v[1:len(v) // 4 * 4], lambda x, i: CASE WHEN i % 4 = 0 THEN CASE WHEN x > 85 THEN 255 ELSE 0 END ELSE x END) AS v FROM q),
+    i AS (SELECT CAST(vec_id // 16 AS BIGINT) AS image, md5(array_to_string(flatten(list(v ORDER BY vec_id)), ',')) AS digest FROM c GROUP BY image)
+    SELECT image, strategy, digest, true AS filters FROM i, (SELECT unnest([{", ".join(f"'{s}'" for s in _STRATEGIES)}]) AS strategy)
+    """
+)
+def png_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of up to sixteen lines under every filter strategy, decoded again."""
+    rows = table(spark, sf_dir, "embeddings").select(F.expr("cast(vec_id div 16 AS BIGINT)").alias("image"), F.struct("vec_id", coarse().alias("v")).alias("line"))
+    images = rows.groupBy("image").agg(F.sort_array(F.collect_list("line")).alias("lines")).select("image", "lines.v")
+    fields = [("image", pa.int64()), ("strategy", pa.string()), ("pixels", pa.string()), ("filters", pa.bool_())]
+    return map_arrow(images, _kernel(_filtered, fields), "image long, strategy string, pixels string, filters boolean").select("image", "strategy", F.md5(F.col("pixels").cast("binary")).alias("digest"), "filters")
+
+
 def _hidden(key: int, samples: list[int]):
     image = png.Image(np.array(samples, np.uint16).reshape(-1, 4, 4))
     for how in png.HIDDEN[:3]:
