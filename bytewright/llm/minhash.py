@@ -244,9 +244,9 @@ def first_of_each(docs: DataFrame, params: NearDupParams = NearDupParams()) -> D
     # One id with two spellings of one shingle set: the text of the smaller tag stays.
     ties = named.where("kept AND digest IS NOT NULL").groupBy("doc_id", "digest").agg(F.min("tag").alias("least"), F.max("tag").alias("most")).where("least < most")
     spelled = named.where("kept").join(ties, ["doc_id", "digest"]).where("tag > least").select("doc_id", "tag")
-    gone = settle(left_over.unionAll(spelled).distinct().select("doc_id", F.col("tag").alias("_tag")), "dup-gone")
-    rows = docs.withColumn("_tag", F.xxhash64(F.col("text").cast("string")))
-    return rows.join(gone, ["doc_id", "_tag"], "left_anti").dropDuplicates(["doc_id", "_tag"]).select(*docs.columns)
+    gone = settle(left_over.unionAll(spelled).distinct().select("doc_id", F.col("tag").alias("__text_tag")), "dup-gone")
+    rows = docs.withColumn("__text_tag", F.xxhash64(F.col("text").cast("string")))
+    return rows.join(gone, ["doc_id", "__text_tag"], "left_anti").dropDuplicates(["doc_id", "__text_tag"]).select(*docs.columns)
 
 
 ORACLE = r"""
