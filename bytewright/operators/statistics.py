@@ -63,6 +63,22 @@ def bigram_counts(files: DataFrame, key: str, content: str) -> DataFrame:
     return map_arrow(rows, _long_rows(["first", "second", "n"], one), "key string, first long, second long, n long")
 
 
+def distinct_counts(files: DataFrame, key: str, content: str) -> DataFrame:
+    """``key, bytes, bigrams``: how many different bytes and adjacent pairs each file has, from one reading."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            single, double = [], []
+            for cell in batch.column(1):
+                data = _buffer(cell)
+                single.append(len(np.unique(data)))
+                double.append(len(np.unique(data[:-1].astype(np.int32) << 8 | data[1:])) if len(data) > 1 else 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(single, pa.int64()), pa.array(double, pa.int64())], names=["key", "bytes", "bigrams"])
+
+    rows = files.select(F.col(key).cast("string").alias("key"), as_bytes(content).alias("data"))
+    return map_arrow(rows, run, "key string, bytes long, bigrams long")
+
+
 def run_counts(files: DataFrame, key: str, content: str) -> DataFrame:
     """``key, length, n``: how many runs of equal bytes of each length a file has."""
 

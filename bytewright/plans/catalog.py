@@ -86,10 +86,8 @@ def byte_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def distinct_bytes_and_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    single = statistics.byte_counts(docs, "doc_id", "text").groupBy("key").agg(F.count("*").alias("bytes"))
-    double = statistics.bigram_counts(docs, "doc_id", "text").groupBy("key").agg(F.count("*").alias("bigrams"))
-    return single.join(double, "key", "left").select("key", "bytes", F.coalesce("bigrams", F.lit(0)).cast("long").alias("bigrams"))
+    found = statistics.distinct_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.where("bytes > 0")
 
 
 @query(
@@ -419,9 +417,8 @@ def png_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def png_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of every image: IHDR first, IEND last, checksums right; and its stored scanlines."""
     files = image_files(spark, sf_dir).select(F.col("key").alias("path"), F.col("png").alias("content"))
-    parts = archives.png_chunks(files).groupBy("path").agg(F.min_by("type", "idx").alias("first"), F.max_by("type", "idx").alias("last"), F.every("crc_ok").alias("checked"))
-    lines = archives.png_filter_types(files).groupBy("path").agg(F.count("*").alias("lines"))
-    return parts.join(lines, "path").select("path", ((F.col("first") == "IHDR") & (F.col("last") == "IEND")).alias("framed"), "checked", "lines")
+    frames = archives.png_frames(files)
+    return frames.select("path", ((F.col("first") == "IHDR") & (F.col("last") == "IEND")).alias("framed"), "checked", "lines")
 
 
 @query(

@@ -84,6 +84,16 @@ def png_chunks(files: DataFrame, key: str = "path", content: str = "content") ->
     return _each(files, key, content, one, kinds)
 
 
+def png_frames(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
+    """One row per file: first and last chunk, whether all checksums hold, and the stored scanlines."""
+
+    def one(data: bytes):
+        found = png.chunks(data)
+        yield found[0].kind.decode("latin-1"), found[-1].kind.decode("latin-1"), all(c.crc_ok for c in found), len(png.filter_types(data))
+
+    return _each(files, key, content, one, [("first", "string", pa.string()), ("last", "string", pa.string()), ("checked", "boolean", pa.bool_()), ("lines", "long", pa.int64())])
+
+
 def png_idat_sizes(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
     """The bytes of compressed pixels in each file, whatever the number of chunks."""
     return png_chunks(files, key, content).where("type = 'IDAT'").groupBy(key).agg(F.sum("length").alias("idat"), F.count("*").alias("n_chunks"))
