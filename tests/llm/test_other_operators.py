@@ -843,6 +843,107 @@ def test_pipeline_keeps_every_text_of_a_repeated_id(spark):
     assert sorted([x for x in left if x[0] != 6], key=repr) == sorted([(1, a), (5, b), (None, a), (7, None), (8, ""), (9, "short")], key=repr)
 
 
+def near_groups(rows, percent):
+    """Components of rows by shared five-word shingles, pair by pair; rows without words stand alone."""
+    sets = []
+    for _, text in rows:
+        w = [x.translate({c: c + 32 for c in range(65, 91)}) for x in WORDS.findall(text or "")]
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    groups = {}
+    for i in range(len(rows)):
+        groups.setdefault(find(i), []).append(i)
+    return list(groups.values())
+
+
+def brute_mix(rows):
+    """How often each (doc_id, text, source) is taken."""
+    size = lambda t: len(WORDS.findall(t or ""))
+    sizes = {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + size(t)
+    order = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [s for s in sizes if s is None]
+    targets = water_fill(sizes, {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}, 1.5 * sum(sizes.values()))
+    out = {}
+    for s in sizes:
+        ranked = []
+        for k, t, x in rows:
+            if x == s:
+                tie = hashlib.md5((t or "").encode()).hexdigest()
+                u = (int(hashlib.md5((tie if k is None else str(k)).encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+                junk = len(re.findall(r"[#$%&*!|~^<>{}=\\]", t or "")) / max(len(t or ""), 1)
+                ranked.append((-np.log(u) / (1.0 if junk < 0.01 else 0.5 if junk < 0.05 else 0.25), k if k is not None else -(10**9), tie, k, t))
+        epochs = int(targets[s] // sizes[s]) if sizes[s] else 0
+        left, done = targets[s] - epochs * sizes[s], 0
+        for *_, k, t in sorted(ranked, key=lambda r: r[:3]):
+            extra = 0
+            if done + size(t) <= left:
+                extra = 1
+            elif done <= left:
+                extra = int(2 * int(left - done) >= size(t) and int(left - done) > 0)
+            done += size(t)
+            out[k, t, s] = epochs + extra
+    return out
+
+
+def test_pipeline_stages_equal_brute_force(spark, spec):
+    import corpus_pipeline as pipeline
+    from bytewright.llm.common import settle
+    from tokenizers import Tokenizer
+
+    sf = f"{DATA}/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    tables = [settle(docs, "t")]
+    for _, stage in pipeline.STAGES:
+        tables.append(settle(stage(spark, tables[-1], sf), "t"))
+    rows = [sorted(((r.doc_id, r.text, r.source) for r in t.collect()), key=repr) for t in tables[:-1]]
+    # Toxicity: the documents whose score by the fitted model passes the threshold go.
+    model = fit_toxicity(tables[0], spark.read.parquet(f"{sf}/labels.parquet"))
+    x = Scorer(model.terms, model.params).features(pa.array([t for _, t, _ in rows[0]]))
+    assert rows[1] == [r for r, f in zip(rows[0], x) if 1 / (1 + np.exp(-(f @ model.weights))) < model.params.threshold]
+    # Near-dedup: the smallest id of each group stays.
+    groups = near_groups([(k, t) for k, t, _ in rows[1]], 80)
+    assert rows[2] == sorted((min((rows[1][i] for i in g), key=lambda r: r[0]) for g in groups), key=repr)
+    # Secrets: every span is replaced, nothing else changes.
+    want = [(k, t if t is None else secret_scan.redacted(t, [(a, b) for _, a, b, _ in secret_scan.scan(t)]), s) for k, t, s in rows[2]]
+    assert rows[3] == sorted(want, key=repr) and all(not brute_secrets(t or "") for _, t, _ in rows[3])
+    # Mixing.
+    taken = {}
+    for r in rows[4]:
+        taken[r] = taken.get(r, 0) + 1
+    assert taken == {r: n for r, n in brute_mix(rows[3]).items() if n}
+    # Packing: all ids of all rows, each once, in sequences of at most 2048.
+    whole = Tokenizer.from_str(spec)
+    ids = sorted(tuple(whole.encode(t or "", add_special_tokens=False).ids + [1]) for _, t, _ in rows[4])
+    pieces, used = {}, {}
+    for r in tables[-1].collect():
+        used[r.sequence_id] = used.get(r.sequence_id, 0) + r.length
+        pieces.setdefault((r.doc_id, r.doc_tokens, r.start), []).append(tuple(r.ids))
+    assert max(used.values()) <= 2048 and sum(used.values()) == sum(map(len, ids))
+    got = []
+    for k, n, start in sorted(pieces, key=repr):
+        if start == 0:
+            for copy in range(len(pieces[k, n, 0])):
+                parts, at = [], 0
+                while at < n:
+                    piece = pieces[k, n, at][copy]
+                    parts += piece
+                    at += len(piece)
+                got.append(tuple(parts))
+    assert sorted(got) == ids
+
+
 def test_pipeline_of_empty_and_wide_tables(spark):
     import corpus_pipeline as pipeline
 
