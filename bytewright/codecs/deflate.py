@@ -84,7 +84,7 @@ class DeflateLevel:
 
 LEVELS: dict[int, DeflateLevel] = {
     1: DeflateLevel(8, 0, split=False, search=0),
-    2: DeflateLevel(32, 0, search=0),
+    2: DeflateLevel(16, 0, search=0),
     3: DeflateLevel(32, 1),
     4: DeflateLevel(64, 2),
     5: DeflateLevel(96, 3),

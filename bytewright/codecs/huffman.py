@@ -106,7 +106,7 @@ def two_distance_codes(lengths: list[int]) -> list[int]:
 
 def runs(values: list[int]) -> list[tuple[int, int]]:
     """(value, length) of each run of equal values."""
-    return [(v, sum(1 for _ in g)) for v, g in itertools.groupby(values)]
+    return [(v, len(list(g))) for v, g in itertools.groupby(values)]
 
 
 def rle_code_lengths(lengths: list[int], use16: bool = True, use17: bool = True, use18: bool = True, even: bool = False) -> list[tuple[int, int]]:

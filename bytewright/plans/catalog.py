@@ -1,4 +1,4 @@
-"""All queries outside ``llm``, by name, with their SQL.
+"""Queries over byte statistics, scanlines, codes, containers and names, with their SQL.
 
 A text, a page or a turn stands for a file; an embedding, quantised to bytes, for a scanline or sixteen pixels.
 """
