@@ -580,7 +580,7 @@ def palette_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _chained(image: int, entries: list[dict]):
     palette = tuple(tuple(e[c] for c in "rgba") for e in entries)
     order = png.nearest_palette(palette)
-    yield image, [list(c) for c in order]
+    yield image, " ".join("/".join(map(str, c)) for c in order)
 
 
 @query(
@@ -591,7 +591,7 @@ def _chained(image: int, entries: list[dict]):
       UNION ALL SELECT image, list_append(done, todo[n]), list_concat(todo[1:n - 1], todo[n + 1:]) FROM (
         SELECT *, list_position(list_transform(todo, lambda x: (x[1] - done[-1][1]) ** 2 + (x[2] - done[-1][2]) ** 2 + (x[3] - done[-1][3]) ** 2), list_min(list_transform(todo, lambda x: (x[1] - done[-1][1]) ** 2 + (x[2] - done[-1][2]) ** 2 + (x[3] - done[-1][3]) ** 2))) AS n
         FROM w WHERE len(todo) > 0))
-    SELECT CAST(image AS BIGINT) AS image, list_transform(done, lambda x: list_transform(x, lambda y: CAST(y AS INTEGER))) AS palette FROM w WHERE len(todo) = 0
+    SELECT CAST(image AS BIGINT) AS image, array_to_string(list_transform(done, lambda x: array_to_string(x, '/')), ' ') AS palette FROM w WHERE len(todo) = 0
     """
 )
 def nearest_palettes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -600,8 +600,8 @@ def nearest_palettes(spark: SparkSession, sf_dir: str) -> DataFrame:
     level = lambda c, n: (F.floor(c / n) * n).cast("int")
     entries = p.select((F.col("p_size") % 8).cast("long").alias("image"), level(F.col("p_partkey") * 37 % 256, 32).alias("r"), level(F.col("p_partkey") * 11 % 256, 64).alias("g"), (F.col("p_size") * 5 % 256).cast("int").alias("b"), F.lit(255).alias("a")).distinct()
     images = entries.groupBy("image").agg(F.sort_array(F.collect_list(F.struct("r", "g", "b", "a"))).alias("entries"))
-    fields = [("image", pa.int64()), ("palette", pa.list_(pa.list_(pa.int32())))]
-    return map_arrow(images, _kernel(_chained, fields), "image long, palette array<array<int>>")
+    fields = [("image", pa.int64()), ("palette", pa.string())]
+    return map_arrow(images, _kernel(_chained, fields), "image long, palette string")
 
 
 def _priorities() -> dict[str, Column]:
