@@ -88,9 +88,10 @@ def parse_args(argv: list[str]) -> tuple[Options, list[str], list[str]]:
         elif name in ("--mt-deflate", "--mt-file") and (not value or value.isdigit()):
             options = replace(options, **{name[2:].replace("-", "_"): int(value or os.cpu_count() or 1)})
         else:
-            match = [f for f in _FLAGS if len(arg) > 1 and not arg.startswith("--") and f.startswith(arg)]
+            # An abbreviation stands for the first flag that begins with it, a bare dash for the first of all.
+            match = next((f for f in _FLAGS if not arg.startswith("--") and f.startswith(arg)), None)
             if match:
-                options = replace(options, **_FLAGS[min(match, key=len)])
+                options = replace(options, **_FLAGS[match])
             else:
                 messages.append(f"unknown flag: {arg}")
     if options.autorotate and not options.strip:

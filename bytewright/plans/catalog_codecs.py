@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import os
 import struct
 import zlib
@@ -17,7 +18,7 @@ from ..codecs import containers, deflate, huffman, jpeg, png
 from ..functions import columns as C
 from ..operators import colors, recompress
 from ..operators.statistics import as_bytes
-from ..options import Options, level_options
+from ..options import Options, level_options, parse_args
 from ..runtime import map_arrow
 from ..sources import archives, files, sinks
 from ..streaming.watch import watch
@@ -197,6 +198,116 @@ def zip_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archives.zip_entries(built, "archive", "zip").select("archive", "name", "method", "size", "intact", "encrypted", "error")
 
 
+def _nested(key: int, html: str | None):
+    """A page in an archive in an archive, rewritten with and without a look inside."""
+    content = (html or "").encode()
+    loose = lambda name, data: containers.zip_write([containers.ZipEntry(name, 8, 0, 0, 0x21, zlib.crc32(data), 0, len(data), 0, data=zlib.compress(data, 0)[2:-4])])
+    inner = loose(b"page.html", content)
+    outer = loose(b"inner.zip", inner)
+    for strict in (False, True):
+        made = containers.zip_optimize(outer, 2, strict)
+        held = containers.zip_content(containers.zip_entries(made)[0][0])
+        back = containers.zip_entries(held)[0][0]
+        yield key, strict, containers.zip_content(back), held == inner, len(made) < len(outer)
+
+
+@query("SELECT page_id, strict, md5(coalesce(html, '')) AS digest, strict AS untouched, true AS smaller FROM pages, (VALUES (false), (true)) s(strict)")
+def nested_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages in archives in archives: only without ``strict`` is the inner one rewritten."""
+    fields = [("page_id", pa.int64()), ("strict", pa.bool_()), ("content", pa.binary()), ("untouched", pa.bool_()), ("smaller", pa.bool_())]
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("long"), "html")
+    made = map_arrow(pages, _kernel(_nested, fields), "page_id long, strict boolean, content binary, untouched boolean, smaller boolean")
+    return made.select("page_id", "strict", F.md5("content").alias("digest"), "untouched", "smaller")
+
+
+def _gzip_file(doc: int, text: str | None):
+    data = (text or "").encode()
+    packed = gzip.compress(data, 1, mtime=0)
+    yield f"{doc}.txt", "gzip", [data, packed, packed[:-2], b"", packed[:3] + b"\x40" + packed[4:]][doc % 5]
+
+
+@query(
+    """
+    WITH f AS (SELECT CASE WHEN doc_id % 5 = 3 OR doc_id % 5 = 0 AND coalesce(text, '') = '' THEN 'empty' WHEN doc_id % 5 = 0 THEN 'created' WHEN doc_id % 5 = 1 THEN 'rewritten' WHEN doc_id % 5 = 2 THEN 'error: truncated' ELSE 'refused' END AS status,
+      octet_length(encode(coalesce(text, ''))) AS n, doc_id FROM documents)
+    SELECT status, CAST(count(*) AS BIGINT) AS files, 1 AS overall, CAST(sum(CASE WHEN doc_id % 5 = 0 THEN n WHEN doc_id % 5 = 3 THEN 0 END) AS BIGINT) AS bytes FROM f GROUP BY status
+    """
+)
+def rewrite_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as gzip input of five kinds through the per-file rewrite: files of each status, and the status of the run."""
+    fields = [("path", pa.string()), ("kind", pa.string()), ("content", pa.binary())]
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
+    results = recompress.optimize_files(map_arrow(docs, _kernel(_gzip_file, fields), "path string, kind string, content binary"), Options(level=2, gzip=True))
+    status = F.when(F.col("status").isin("smaller", "kept"), "rewritten").otherwise(F.col("status"))
+    known = F.when(status.isin("created", "empty"), F.col("before"))
+    totals = results.groupBy(status.alias("status")).agg(F.count("*").alias("files"), F.sum(known).alias("bytes"))
+    return totals.crossJoin(F.broadcast(recompress.overall_status(results).select(F.col("code").cast("int").alias("overall"))))
+
+
+@query(
+    """
+    WITH s AS (SELECT CAST(doc_id AS VARCHAR) AS key, octet_length(encode(coalesce(text, ''))) AS n, length(coalesce(text, '')) AS c FROM documents),
+    k AS (SELECT key, n, unnest([{'a': c, 'k': 'chars'}, {'a': (n + 6) // 7 * 6, 'k': 'packed'}, {'a': n + 1, 'k': 'framed'}, {'a': c, 'k': 'again'}]) AS x FROM s),
+    b AS (SELECT key, n, min(ROW(x.a, x.k)) AS b FROM k GROUP BY key, n)
+    SELECT key, CAST(n AS BIGINT) AS before, CAST(least(b[1], n) AS BIGINT) AS after, CASE WHEN b[1] < n THEN b[2] ELSE 'stored' END AS candidate FROM b
+    """
+)
+def smallest_of_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The smallest of four candidates of known sizes, ties by name, stored if none is smaller."""
+    docs = table(spark, sf_dir, "documents")
+    n, c = F.octet_length(F.coalesce("text", F.lit(""))).cast("long"), F.length(F.coalesce("text", F.lit(""))).cast("long")
+    sizes = {"chars": c, "packed": F.floor((n + 6) / 7) * 6, "framed": n + 1, "again": c}
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("candidate"), v.cast("long").alias("after")) for k, v in sizes.items()]))
+    rows = docs.select(F.col("doc_id").cast("string").alias("key"), n.alias("before"), each.alias("x")).select("key", "before", "x.candidate", "x.after")
+    return recompress.smallest(rows, ["key"]).select("key", "before", "after", "candidate")
+
+
+# Arguments, and what they change.
+_ARGUMENTS = {
+    "-strip": "strip=True",
+    "-s": "strip=True",
+    "-": "strip=True",
+    "-prog": "progressive=True",
+    "-autorotate=force": "autorotate=1",
+    "-a": "autorotate=2",
+    "-rec": "recurse=True",
+    "-gzip": "gzip=True",
+    "-zip": "gzip=True,zip=True",
+    "-q": "quiet=True",
+    "-keep": "keep=True",
+    "--disable-png": "png=False",
+    "--disable-jpeg": "jpeg=False",
+    "--strict": "strict=True",
+    "--reuse": "reuse=True",
+    "--allfilters": "all_filters=True",
+    "--allfilters-b": "all_filters=True,all_filters_brute=True",
+    "--pal_sort=77": "palette_sort=77",
+    "--pal_sort=999": "palette_sort=120",
+    "--mt-deflate=3": "mt_deflate=3",
+    "--mt-file=2": "mt_file=2",
+    "-7": "level=7",
+    "-0": "level=1",
+    "-20015": "iterations=15,level=9,twice=2",
+    "--bogus": "unknown flag: --bogus",
+    "a file": "input: a file",
+}
+
+
+def _parsed(key: int, argument: str):
+    options, inputs, messages = parse_args([argument])
+    plain = Options(strict=False)
+    changed = [f"{k}={v}" for k, v in sorted(vars(options).items()) if getattr(plain, k) != v]
+    yield key, argument, ",".join([*changed, *(f"input: {i}" for i in inputs), *(m for m in messages if m.startswith("unknown"))])
+
+
+@query(f"SELECT o_orderkey AS key, [{', '.join(repr(a) for a in _ARGUMENTS)}][o_orderkey % {len(_ARGUMENTS)} + 1] AS argument, [{', '.join(repr(v) for v in _ARGUMENTS.values())}][o_orderkey % {len(_ARGUMENTS)} + 1] AS changes FROM orders")
+def parsed_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each argument of a command line changes."""
+    argument = F.element_at(F.array(*[F.lit(a) for a in _ARGUMENTS]), (F.col("o_orderkey") % len(_ARGUMENTS) + 1).cast("int"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long"), argument)
+    return map_arrow(rows, _kernel(_parsed, [("key", pa.int64()), ("argument", pa.string()), ("changes", pa.string())]), "key long, argument string, changes string")
+
+
 @query(
     """
     SELECT CAST(count(*) AS BIGINT) AS files, CAST(sum(octet_length(encode(coalesce(n_name, '')))) AS BIGINT) AS bytes, string_agg(md5(n_name), ',' ORDER BY md5(n_name)) AS digests FROM nation
