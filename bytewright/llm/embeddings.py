@@ -34,7 +34,7 @@ class CollisionParams:
     window: float = 1.5
     cell: float = 1.0
     miss: float = 1e-6
-    block_rows: int = 2048
+    block_rows: int = 8192
     seed: int = 77
 
     @property
@@ -182,8 +182,7 @@ def _pair_blocks(p: CollisionParams, rows: pa.Table, block: np.ndarray) -> pa.Re
     begin = np.where(left == right, here + 1, np.where(part == left, second, stop))
     counts = np.maximum(stop - begin, 0)
     rank, lo, hi = _windows(p, unit, block)
-    links = np.zeros(n, np.int64)
-    ends: list[tuple[np.ndarray, np.ndarray]] = []
+    links, roots = np.zeros(n, np.int64), np.arange(n)
     upto = np.cumsum(counts)
 
     def unseen(i: np.ndarray, j: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
@@ -216,12 +215,11 @@ def _pair_blocks(p: CollisionParams, rows: pa.Table, block: np.ndarray) -> pa.Re
                 near = np.einsum("ij,ij->i", unit[u], unit[v]) >= p.cosine
                 u, v = u[near], v[near]
                 links += np.bincount(u, copies[v], n).astype(np.int64) + np.bincount(v, copies[u], n).astype(np.int64) if len(u) else 0
-                ends.append((u, v))
+                a, b = roots[u], roots[v]
+                if (a != b).any():
+                    roots = _local_roots(n, a[a != b], b[a != b])[roots]
         s = e
-    u = np.concatenate([x[0] for x in ends]) if ends else np.zeros(0, np.int64)
-    v = np.concatenate([x[1] for x in ends]) if ends else np.zeros(0, np.int64)
     touched = np.flatnonzero(links)
-    roots = _local_roots(n, u, v)
     return pa.RecordBatch.from_arrays([pa.array(rep[touched]), pa.array(links[touched]), pa.array(rep[roots[touched]])], names=["rep", "links", "other"])
 
 
