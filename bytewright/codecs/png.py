@@ -561,10 +561,15 @@ def encode(image: Image, mode: Mode, strategy: str = "entropy", compress: Callab
     return b"".join([*out, *groups[1], write_chunk(b"IDAT", stream), *groups[2], write_chunk(b"IEND", b"")])
 
 
-def strip(data: bytes) -> bytes:
-    """The file without ancillary chunks other than tRNS and animation, its IDAT chunks joined."""
+def essential(chunk: Chunk) -> bool:
+    """The plain policy of a strip: critical chunks, tRNS and animation stay."""
+    return not chunk.ancillary or chunk.kind == b"tRNS" or chunk.kind in ANIMATION
+
+
+def strip(data: bytes, policy: Callable[[Chunk], bool] = essential) -> bytes:
+    """The file without the ancillary chunks that the policy drops, its IDAT chunks joined."""
     all_chunks = chunks(data)
-    keep = [c for c in all_chunks if not c.ancillary or c.kind == b"tRNS" or c.kind in ANIMATION]
+    keep = [c for c in all_chunks if not c.ancillary or policy(c)]
     image = b"".join(c.data for c in keep if c.kind == b"IDAT")
     out, done = [SIGNATURE], False
     for c in keep:

@@ -164,6 +164,15 @@ def test_text_chunks():
     assert [t.text for t in P.texts(small)] == ["again " * 99] and len(small) < 400
 
 
+def test_strip_policies():
+    made = image(3, 3, "rgb")
+    made.extra += [(1, P.Chunk(b"gAMA", b"\0\0\1\0")), (1, P.write_text(P.Text(b"tEXt", "k", "v")))]
+    data = P.encode(made, P.Mode(2, 8))
+    kinds = lambda d: {c.kind for c in P.chunks(d)}
+    assert kinds(P.strip(data)) == {b"IHDR", b"IDAT", b"IEND"} and kinds(P.strip(data, lambda c: c.kind == b"gAMA")) == {b"IHDR", b"gAMA", b"IDAT", b"IEND"}
+    assert P.same_image(P.decode(P.strip(data, lambda c: False)), made)
+
+
 def test_plan_of_each_level():
     assert sorted(P.PLANS) == list(range(1, 10)) and P.PLANS[9].before == 3 and P.PLANS[4].bonus < P.PLANS[5].bonus
     made = image(12, 12, "gray")
