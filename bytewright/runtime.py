@@ -32,8 +32,12 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-#: Resident memory, in pages of 4 KiB, from which a worker gives memory back at the end of a task.
-_MANY_PAGES = (256 << 20) // 4096
+#: Most bytes of an Arrow batch that goes to a kernel.  Spark's default of 64 MB is held several times over: by the JVM, by
+#: the pipe and by the worker.
+BATCH_BYTES = 8 << 20
+#: Resident memory, in pages of 4 KiB, from which a worker gives memory back at the end of a task: little above what one
+#: with nothing to do has.
+_MANY_PAGES = (136 << 20) // 4096
 
 
 def _give_back() -> None:
@@ -49,6 +53,13 @@ def _give_back() -> None:
         pass
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches, unless it states a bound itself."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def tidy(function):
     """An Arrow kernel that gives its memory back when its task ends."""
 
@@ -62,6 +73,7 @@ def tidy(function):
 
 
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
-    """``mapInArrow`` with the package at hand."""
+    """``mapInArrow`` with the package at hand and batches bounded in bytes."""
     ship(df.sparkSession)
+    bound_batches(df.sparkSession)
     return df.mapInArrow(tidy(function), schema)

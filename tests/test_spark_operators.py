@@ -139,6 +139,20 @@ def test_watched_folder_equals_the_batch(spark, tmp_path):
     assert key(spark.read.parquet(str(tmp_path / "out"))) == key(batch)
 
 
+def test_batches_are_bounded_in_bytes(spark):
+    import pyarrow as pa
+
+    from bytewright import runtime
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    rows = spark.range(64).coalesce(1).select(F.repeat(F.lit("x"), 1 << 20).alias("t"))
+    found = [r.n for r in runtime.map_arrow(rows, sizes, "n long").collect()]
+    assert sum(found) >= 64 << 20 and max(found) <= runtime.BATCH_BYTES + (2 << 20)
+
+
 def test_gzip_in_blocks(spark):
     rnd = np.random.default_rng(3)
     big = b"".join(rnd.choice([b"alpha ", b"beta ", b"gamma\n", b"\0\1\2"], 4000).tolist())
