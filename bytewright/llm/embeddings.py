@@ -56,7 +56,7 @@ class CollisionParams:
         """Lines per key and number of keys for a label of ``rows`` rows."""
         near = 1.0 - self.distance * math.sqrt(2 / math.pi) / self.cell
         far = 0.27 * self.cell
-        lines = min(24, max(4, math.ceil(math.log(16.0 * max(rows, 1)) / -math.log(far))))
+        lines = min(24, max(4, math.ceil(math.log(2.0 * max(rows, 2)) / -math.log(far))))
         return lines, math.ceil(math.log(self.miss) / math.log1p(-(near**lines)))
 
 
