@@ -290,14 +290,21 @@ def extra_bits(tokens: Tokens) -> int:
 def block_lengths(litlen: list[int], dist: list[int], search: int = 1) -> tuple[int, list[int], list[int]]:
     """Bits (header and symbols, without extra bits) and code lengths of the best way to smooth the counts and to limit
     the lengths: ``search`` 0 takes the counts as they are, 1 tries two smoothings, 2 also limits from 15 down to 9."""
-    best = None
+    best, seen = None, set()
     ways = [lambda c: c, smoothed, strided][: 3 if search else 1]
     for limit in range(15, 8 if search > 1 else 14, -1):
         for way in ways:
             x, y = limited_lengths(way(litlen[:286]) + litlen[286:], limit), two_distance_codes(limited_lengths(way(dist[:30]) + dist[30:], limit))
-            bits = header_choice(x, y, search)[0] + sum(n * k for n, k in zip(litlen, x)) + sum(n * k for n, k in zip(dist, y))
+            # A limit that no code reaches changes nothing.
+            if (key := (*x, *y)) in seen:
+                continue
+            seen.add(key)
+            bits = header_choice(x, y, min(search, 1))[0] + sum(n * k for n, k in zip(litlen, x)) + sum(n * k for n, k in zip(dist, y))
             if best is None or bits < best[0]:
                 best = (bits, x, y)
+    if search > 1:
+        bits, x, y = best
+        best = (bits - header_choice(x, y, 1)[0] + header_choice(x, y, search)[0], x, y)
     return best
 
 
